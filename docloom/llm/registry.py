@@ -12,6 +12,7 @@ MODULES = (
     "splitting",
     "leakage",
     "mixing",
+    "spam",
 )
 
 
