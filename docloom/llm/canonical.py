@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.runtime import table, written
 
 #: Edits a name of that length may differ in, as SQL over ``len``.
-LIMIT_SQL = "CASE WHEN len <= 4 THEN 0 WHEN len <= 7 THEN 1 WHEN len <= 10 THEN 2 ELSE cast(ceil(len * 0.3) AS int) END"
+LIMIT_SQL = "CASE WHEN len <= 4 THEN 0 WHEN len <= 7 THEN 1 WHEN len <= 10 THEN 2 ELSE cast(floor(len * 0.28) AS int) END"
 #: Edits the segments must allow for: more, as two swapped letters count as one difference but are two edits.
 EDITS_SQL = "CASE WHEN len <= 4 THEN 0 WHEN len <= 10 THEN accepted + 1 ELSE accepted END"
 SALTS = 8
