@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = (
     "canonical",
     "batchdedup",
+    "pii",
     "neighbors",
     "splitting",
     "leakage",
