@@ -125,10 +125,10 @@ def _nearest(left: str) -> str:
 def _right(text: str, at: int) -> str:
     m = _WORD.search(text, at, at + 25)
     if not m:
-        return "$"
+        return ""
     word = m.group()
     if re.search(r"[.!?;:]\s|\n|[。！？]", text[at: m.start()]):
-        return "$"  # another sentence says nothing about this one
+        return ""  # another sentence says nothing about this one
     return ("(" if "(" in text[at: m.start()] else "") + (word[:2] if _CJK.match(word[0]) else re.sub(r"\d+", "9", word.lower()))
 
 
