@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Modules in problem order; each has QUERIES and may have ORACLE.
 MODULES = (
+    "sentences",
     "canonical",
     "batchdedup",
     "pii",
