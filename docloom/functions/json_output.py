@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import coerced, strip, to_bool
+from docloom.functions.text import coerced, strip, to_bool, with_coerced
 
 #: Kinds of sensitive data and the labels they are shown with.
 CONFIDENTIAL_LABELS = {
@@ -48,40 +48,45 @@ def bool_field(v: Column, name: str) -> Column:
         _kind(inner) == "STRING", to_bool(F.try_variant_get(v, f"$.{name}", "string")))
 
 
-def category_of(raw: Column, categories: Column) -> Column:
-    """``struct(category, subcategory)`` resolved against ``array<struct<name, subs>>``; null if unresolved.
+def with_category(df: DataFrame, raw: str, categories: str) -> DataFrame:
+    """Adds ``category`` and ``subcategory``, resolved against ``array<struct<name, subs>>``; both null if unresolved.
 
-    The subcategory is required exactly where the category lists any.
+    The subcategory is required exactly where the category lists any. Steps are columns of
+    their own: in one expression each would be evaluated many times over.
     """
-    v = recovered(raw)
-    names = F.transform(categories, lambda x: x["name"])
-    name = coerced(text_field(v, "category"), names)
-    subs = F.element_at(F.filter(categories, lambda x: x["name"] == name), -1)["subs"]
-    sub = coerced(text_field(v, "subcategory"), subs)
-    none = F.coalesce(F.size(subs), F.lit(0)) <= 0
-    return F.when(name.isNotNull() & (none | sub.isNotNull()), F.struct(name.alias("category"), F.when(~none, sub).alias("subcategory")))
-
-
-def department_of(raw: Column, departments: Column) -> Column:
-    return coerced(text_field(recovered(raw), "department"), departments)
-
-
-def confidential_of(raw: Column) -> Column:
-    """``struct(contains_sensitive, types)``; null if the flag or any listed type cannot be resolved."""
-    v = recovered(raw)
-    flag = bool_field(v, "contains_sensitive")
-    member = F.try_variant_get(v, "$.types", "variant")
-    listed = F.try_variant_get(v, "$.types", "array<string>")
+    kept = df.columns
+    df = df.withColumn("_v", recovered(F.col(raw)))
+    df = df.withColumn("_c", text_field(F.col("_v"), "category")).withColumn("_s", text_field(F.col("_v"), "subcategory"))
+    df = with_coerced(df.withColumn("_names", F.transform(categories, lambda x: x["name"])), "_name", "_c", "_names")
+    df = df.withColumn("_subs", F.try_element_at(F.filter(categories, lambda x: x["name"] == F.col("_name")), F.lit(-1))["subs"])
+    df = with_coerced(df, "_sub", "_s", "_subs")
+    ok = F.col("_name").isNotNull() & ((F.coalesce(F.size("_subs"), F.lit(0)) <= 0) | F.col("_sub").isNotNull())
+    return df.select(*kept, F.when(ok, F.col("_name")).alias("category"), F.when(ok, F.col("_sub")).alias("subcategory"))
+
+
+def with_department(df: DataFrame, raw: str, departments: str) -> DataFrame:
+    """Adds ``department``, resolved against ``array<string>``."""
+    kept = df.columns
+    df = df.withColumn("_v", recovered(F.col(raw))).withColumn("_d", text_field(F.col("_v"), "department"))
+    return with_coerced(df, "department", "_d", departments).select(*kept, "department")
+
+
+def with_confidential(df: DataFrame, raw: str) -> DataFrame:
+    """Adds ``contains_sensitive`` and ``types``; both null if the flag or any listed type cannot be resolved."""
+    kept = df.columns
     known = F.array(*[F.lit(t) for t in CONFIDENTIAL_LABELS])
-    types = F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda t: coerced(t, known))
-    bad = F.exists(types, lambda t: t.isNull()) | (member.isNotNull() & listed.isNull())
-    return F.when(flag.isNotNull() & ~F.coalesce(bad, F.lit(False)), F.struct(flag.alias("contains_sensitive"), types.alias("types")))
+    df = df.withColumn("_v", recovered(F.col(raw)))
+    df = df.withColumn("_flag", bool_field(F.col("_v"), "contains_sensitive")).withColumn("_member", F.try_variant_get("_v", "$.types", "variant").isNotNull())
+    df = df.withColumn("_listed", F.try_variant_get("_v", "$.types", "array<string>"))
+    df = df.withColumn("_types", F.transform(F.coalesce("_listed", F.array().cast("array<string>")), lambda t: coerced(t, known)))
+    ok = F.col("_flag").isNotNull() & ~F.exists("_types", lambda t: t.isNull()) & ~(F.col("_member") & F.col("_listed").isNull())
+    return df.select(*kept, F.when(ok, F.col("_flag")).alias("contains_sensitive"), F.when(ok, F.col("_types")).alias("types"))
 
 
 def rendered_confidential(flag: Column, types: Column) -> Column:
     """The report as text: kinds are listed once, and only if the flag is set."""
     label = F.create_map(*[F.lit(x) for pair in CONFIDENTIAL_LABELS.items() for x in pair])
-    lines = F.array_join(F.transform(F.array_distinct(types), lambda t: F.concat(F.lit("- "), F.coalesce(F.element_at(label, t), t))), "\n")
+    lines = F.array_join(F.transform(F.array_distinct(types), lambda t: F.concat(F.lit("- "), F.coalesce(F.try_element_at(label, t), t))), "\n")
     listed = F.concat(F.lit("Dane wrażliwe: TAK\nWykryte typy:\n"), lines)
     return F.when(~flag, F.lit("Dane wrażliwe: NIE")).when(F.coalesce(F.size(types), F.lit(0)) <= 0, F.lit("Dane wrażliwe: TAK")).otherwise(listed)
 

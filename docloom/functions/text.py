@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Python and Unicode understand it, for Java's regular expressions.
@@ -84,4 +84,13 @@ def coerced(value: Column, vocabulary: Column, *, threshold: float = 0.80, tie:
     scored = F.transform(vocabulary, lambda v: F.struct(similarity(value, v).alias("s"), v.alias("v")))
     best = F.array_max(F.transform(scored, lambda x: x["s"]))
     winners = F.filter(scored, lambda x: x["s"] >= best - tie)
-    return F.when(value.isNotNull() & (best >= threshold) & (F.size(winners) == 1), F.element_at(winners, 1)["v"])
+    return F.when(value.isNotNull() & (best >= threshold) & (F.size(winners) == 1), F.try_element_at(winners, F.lit(1))["v"])
+
+
+def with_coerced(df: DataFrame, out: str, value: str, vocabulary: str, *, threshold: float = 0.80, tie: float = 0.02) -> DataFrame:
+    """``coerced`` as a column, computed in steps so that no similarity is worked out twice."""
+    scores = F.transform(vocabulary, lambda v: F.struct(similarity(F.col(value), v).alias("s"), v.alias("v")))
+    df = df.withColumn("_scores", scores).withColumn("_best", F.array_max(F.transform("_scores", lambda x: x["s"])))
+    df = df.withColumn("_won", F.filter("_scores", lambda x: x["s"] >= F.col("_best") - tie))
+    one = F.when(F.col(value).isNotNull() & (F.col("_best") >= threshold) & (F.size("_won") == 1), F.try_element_at("_won", F.lit(1))["v"])
+    return df.withColumn(out, one).drop("_scores", "_best", "_won")

@@ -78,7 +78,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked(part, k)
 
 
-def usable_vectors(df: DataFrame, column: str, width: int) -> Column:
+def usable_vectors(column: str, width: int) -> Column:
     v = F.col(column)
     return v.isNotNull() & (F.size(v) == width) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e)) & F.exists(v, lambda e: e != 0)
 

@@ -14,7 +14,7 @@ def _cell(c: Column) -> Column:
 
 def is_table(data: Column) -> Column:
     """Not empty, and more than a single small header."""
-    filled = F.filter(F.element_at(data, 1), lambda c: c.isNotNull() & ~is_blank(c))
+    filled = F.filter(F.try_element_at(data, F.lit(1)), lambda c: c.isNotNull() & ~is_blank(c))
     return (F.size(data) > 0) & ~((F.size(filled) < 2) & (F.size(data) < 2))
 
 
@@ -27,7 +27,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     t = docs.select("file_id", F.posexplode("tables").alias("table_no", "_t")).select("file_id", "table_no", F.col("_t.data").alias("data")).where(
         F.col("data").isNotNull() & (F.size("data") > 0))
     t = t.where(is_table(F.col("data")))
-    t = t.withColumn("_h", F.transform(F.element_at("data", 1), _cell)).withColumn("_b", F.slice("data", 2, F.greatest(F.size("data") - 1, F.lit(0))))
+    t = t.withColumn("_h", F.transform(F.try_element_at("data", F.lit(1)), _cell)).withColumn("_b", F.slice("data", 2, F.greatest(F.size("data") - 1, F.lit(0))))
     # to_json keeps the first place and the last value of a name that occurs twice
     named = F.transform("_b", lambda row: F.transform(row, lambda c, j: F.struct(
         F.when(j < F.size("_h"), F.get("_h", j)).otherwise(F.concat(F.lit("column_"), (j + 1).cast("string"))).alias("n"), _cell(c).alias("v"))))
@@ -35,7 +35,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 
     def as_object(row: Column) -> Column:
         keys = F.array_distinct(F.transform(row, lambda x: x["n"]))
-        return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(row, lambda x: x["n"] == k), -1)["v"])))
+        return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.try_element_at(F.filter(row, lambda x: x["n"] == k), F.lit(-1))["v"])))
 
     parent = F.concat(F.lit("["), F.array_join(F.transform(F.filter("_n", lambda r: F.size(r) > 0), as_object), ","), F.lit("]"))
     t = t.withColumn("parent", parent)

@@ -9,6 +9,7 @@ from docloom.functions import json_output as J
 from docloom.functions.text import is_blank, strip, without_markdown
 from docloom.models import LanguageModel, asked
 from docloom.operators.chunking import parent_chunks
+from docloom.runtime import written
 
 TASK_TYPES = ("SUMMARY", "CATEGORY_SUBCATEGORY", "DEPARTMENT_ASSIGNMENT", "BASE_EXTRACTION", "CHECK_CONFIDENTIAL", "SUGGESTED_ACTION", "OTHER")
 PARAMS = ("CATEGORY_SUBCATEGORY struct<categories:array<struct<name:string,subcategories:array<struct<name:string>>>>>,"
@@ -31,7 +32,10 @@ def summaries(docs: DataFrame, model: LanguageModel, budget_chars: int = 10_500)
     fits = budget_chars + 3  # the budget is in whole tokens of 3.5 characters
     current = docs.select("file_id", F.coalesce("text", F.lit("")).alias("text"))
     for _ in range(REDUCE_PASSES):
+        current = written(current)
         long = current.where(F.length("text") > fits)
+        if long.isEmpty():
+            break
         parts = long.select("file_id", F.posexplode(parent_chunks(F.col("text"), budget_chars, min(200, budget_chars // 10))).alias("n", "part"))
         said = parts.select("file_id", "n", asked(F.lit("SUMMARY_PART"), F.col("part"), model).alias("s")).where(F.col("s").isNotNull() & ~is_blank(F.col("s")))
         joined = said.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]), "\n\n").alias("text"))
@@ -50,13 +54,13 @@ def resolved(answers: DataFrame, resolve, repair=None, *, repairs: int = MAX_REP
     return rows
 
 
-def recorded_categories(raw_answers: DataFrame, categories: Column) -> DataFrame:
-    """``(doc_id, category, subcategory)`` from recorded answers: the first attempt that resolves, else manual review.
+def recorded_categories(raw_answers: DataFrame, categories: str) -> DataFrame:
+    """``(doc_id, category, subcategory)`` from recorded answers, ``categories`` a column: the first attempt that resolves, else manual review.
 
     A later attempt stands for the repair call of the one before it.
     """
-    rows = raw_answers.where("task_type = 'CATEGORY_SUBCATEGORY'").withColumn("r", J.category_of(F.col("raw"), categories))
-    best = rows.groupBy("doc_id").agg(F.min_by("r", F.when(F.col("r").isNotNull(), F.col("attempt"))).alias("r"))
+    rows = J.with_category(raw_answers.where("task_type = 'CATEGORY_SUBCATEGORY'"), "raw", categories)
+    best = rows.groupBy("doc_id").agg(F.min(F.when(F.col("category").isNotNull(), F.struct("attempt", "category", "subcategory"))).alias("r"))
     return best.select("doc_id", F.coalesce(F.col("r.category"), F.lit(J.MANUAL_REVIEW)).alias("category"), F.col("r.subcategory").alias("subcategory"))
 
 
@@ -71,16 +75,17 @@ def dispatch(requests: DataFrame, summary: DataFrame, raw_answers: DataFrame, mo
     answers = raw_answers.groupBy("doc_id", "task_type").agg(F.max_by("raw", "attempt").alias("raw")).withColumnRenamed("doc_id", "document_id")
     rows = rows.join(answers, ["document_id", "task_type"], "left")
     kind = F.col("task_type")
-    vocabulary = F.transform(F.col("_p.CATEGORY_SUBCATEGORY.categories"), lambda c: F.struct(c["name"].alias("name"), F.transform(F.coalesce(c["subcategories"], F.array().cast("array<struct<name:string>>")), lambda s: s["name"]).alias("subs")))
-    category = J.category_of(F.col("raw"), vocabulary)
-    report = J.confidential_of(F.col("raw"))
+    rows = rows.withColumn("_voc", F.transform(F.col("_p.CATEGORY_SUBCATEGORY.categories"), lambda c: F.struct(c["name"].alias("name"), F.transform(F.coalesce(c["subcategories"], F.array().cast("array<struct<name:string>>")), lambda s: s["name"]).alias("subs"))))
+    rows = J.with_category(rows, "raw", "_voc")
+    rows = J.with_department(rows.withColumn("_dep", F.col("_p.DEPARTMENT_ASSIGNMENT.departments")), "raw", "_dep")
+    rows = J.with_confidential(rows, "raw")
     said = without_markdown(asked(kind, F.when(kind == "OTHER", F.col("_p.OTHER.query")).otherwise(F.col("summary")), model))
     manual = F.lit(J.MANUAL_REVIEW)
     result = (F.when(kind == "SUMMARY", F.col("summary"))
-              .when(kind == "CATEGORY_SUBCATEGORY", F.coalesce(F.concat_ws(" / ", category["category"], category["subcategory"]), manual))
-              .when(kind == "DEPARTMENT_ASSIGNMENT", F.coalesce(J.department_of(F.col("raw"), F.col("_p.DEPARTMENT_ASSIGNMENT.departments")), manual))
+              .when(kind == "CATEGORY_SUBCATEGORY", F.when(F.col("category").isNotNull(), F.concat_ws(" / ", "category", "subcategory")).otherwise(manual))
+              .when(kind == "DEPARTMENT_ASSIGNMENT", F.coalesce("department", manual))
               .when(kind == "BASE_EXTRACTION", F.coalesce(J.rendered_extraction(J.extraction_of(F.col("raw"))), manual))
-              .when(kind == "CHECK_CONFIDENTIAL", F.coalesce(J.rendered_confidential(report["contains_sensitive"], report["types"]), manual))
+              .when(kind == "CHECK_CONFIDENTIAL", F.coalesce(J.rendered_confidential(F.col("contains_sensitive"), F.col("types")), manual))
               .when(kind.isin("SUGGESTED_ACTION", "OTHER"), said))
     error = F.when(~kind.isin(*TASK_TYPES), F.concat(F.lit("unknown task type "), kind)).when(result.isNull(), F.lit("no result"))
     return rows.select("document_id", "task_id", "task_type", J.payload(F.col("document_id"), F.col("task_id"), kind, result, error).alias("payload"))

@@ -4,12 +4,421 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from docloom.functions import json_output as J
+from docloom.functions import text as X
+from docloom.models import HashedEncoder, RecordedModel
+from docloom.operators import chunking, collection, ingest, retrieval, tables, tasks
+from docloom.runtime import table, written
+from docloom.sources import uploads as U
+from docloom.streaming.arrivals import event_counts
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: White space of Unicode for engines whose ``\s`` is ASCII.
+WS = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NWS = WS.replace("[", "[^", 1)
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{WS}+', ''), '{WS}+$', '')"
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null")
+
+
+def _text_parents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").where("is_search and hierarchy = 'parent' and type = 'text' and contents is not null")
+
+
+# --- text -----------------------------------------------------------------------
+
+def content_hash(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+
+
+def upload_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Uploads whose stated hash is not that of their bytes."""
+    rows = table(spark, d, "documents_in").select("seq", F.coalesce("content_hash", F.lit("")).alias("stated"), X.content_hash(F.col("content")).alias("actual"))
+    return rows.where("stated <> actual")
+
+
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents_in").select("seq", U.page_text(F.col("pages")).alias("page_text"), tasks.summary_text(F.col("pages")).alias("summary_text"))
+    return rows.select("seq", F.length("page_text").alias("chars"), F.md5("page_text").alias("page_md5"), F.md5("summary_text").alias("summary_md5"))
+
+
+def mime_filter(spark: SparkSession, d: str) -> DataFrame:
+    taken, other = U.admitted(table(spark, d, "documents_in"))
+    both = taken.withColumn("admitted", F.lit(True)).unionByName(other.withColumn("admitted", F.lit(False)))
+    return both.groupBy("content_type", "admitted").agg(F.count("*").alias("n"))
+
+
+def preview(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", X.preview(F.col("text"), 2000).alias("preview"))
+
+
+def strip_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.md5(X.without_markdown(F.col("text"))).alias("plain_md5"))
+
+
+def token_route(spark: SparkSession, d: str) -> DataFrame:
+    n = X.token_estimate(F.col("text"))
+    return _docs(spark, d).select("doc_id", n.alias("tokens"), F.when(n <= 3000, F.lit("single")).otherwise(F.lit("map_reduce")).alias("route"))
+
+
+def context_route(spark: SparkSession, d: str) -> DataFrame:
+    text = collection.document_text(table(spark, d, "chunks"))
+    return text.select("file_id", F.length("text").alias("chars"), retrieval.route(F.length("text"), 500).alias("route"))
+
+
+# --- chunking -------------------------------------------------------------------
+
+def hard_split(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.posexplode(chunking.windows(F.col("text"), 1500, 200)).alias("pos", "piece"))
+
+
+def overlap_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Parents led by the end of the parent before them in their file."""
+    previous = F.lag("contents").over(Window.partitionBy("file_id").orderBy("parent_id", "id"))
+    lead = F.regexp_replace(F.when(F.length("_p") > 150, F.substring("_p", -150, 150)).otherwise(F.col("_p")), r"(?U)^[\s\x1c-\x1f]+", "")
+    rows = _text_parents(spark, d).select("id", "file_id", "parent_id", "contents").withColumn("_p", previous)
+    return rows.select("id", F.when(F.col("_p").isNull(), F.col("contents")).otherwise(X.strip(F.concat(lead, F.lit(" "), F.col("contents")))).alias("chunk"))
+
+
+def sentences(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.posexplode(chunking.sentence_array(F.col("text"))).alias("pos", "sentence"))
+
+
+def parent_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.posexplode(chunking.parent_chunks(F.col("text"))).alias("pos", "chunk"))
+
+
+def child_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _text_parents(spark, d).select("id", F.posexplode(chunking.child_chunks(F.col("contents"))).alias("pos", "chunk"))
+
+
+def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = chunking.text_rows(_docs(spark, d).select(F.col("doc_id").alias("file_id"), "text"))
+    return rows.select("file_id", chunking.composed_id(F.col("file_id"), F.col("local")).alias("parent_id"), "child_ord", "child")
+
+
+def table_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents_in").select(F.col("seq").alias("file_id"), "tables").where("tables is not null")
+    return tables.chunks(rows).withColumnRenamed("file_id", "seq")
+
+
+# --- collection -----------------------------------------------------------------
+
+def _incoming(spark: SparkSession, d: str) -> DataFrame:
+    return collection.incoming_of(table(spark, d, "documents_in"))
+
+
+def dedup_cascade(spark: SparkSession, d: str) -> DataFrame:
+    rows = collection.cascade(_incoming(spark, d), table(spark, d, "chunks"))
+    return rows.withColumn("canonical_file_id", F.coalesce("canonical_file_id", F.lit(-1)))
+
+
+def alias_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = collection.alias_rows(dedup_cascade(spark, d), _incoming(spark, d), 64)
+    return rows.withColumn("width", F.size("dense_embedding")).drop("dense_embedding")
+
+
+def resolve_scope(spark: SparkSession, d: str) -> DataFrame:
+    return collection.scope(table(spark, d, "chunks"))
+
+
+def document_text(spark: SparkSession, d: str) -> DataFrame:
+    return collection.document_text(table(spark, d, "chunks"))
+
+
+def collection_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").groupBy("hierarchy", "type", "is_search").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("files"), F.sum(F.length("contents")).alias("chars"))
+
+
+def ingest_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What the uploads add to the collection: cut, keyed, embedded, with alias rows."""
+    return ingest.ingested(table(spark, d, "documents_in"), table(spark, d, "chunks"), HashedEncoder())
+
+
+# --- retrieval ------------------------------------------------------------------
+
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    """For every vector whose id is divisible by 100, the ten best of all vectors."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return retrieval.dense(v, v.where("id % 100 = 0").withColumnRenamed("id", "qid"), 10)
+
+
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), "text")
+    asked = table(spark, d, "bench_items").where("text is not null").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return retrieval.bm25(docs, asked, 10)
+
+
+def _children(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").where("is_search and hierarchy = 'child' and contents is not null").where(retrieval.usable_vectors("dense_embedding", 64))
+
+
+def _asked(children: DataFrame) -> DataFrame:
+    return children.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("contents").alias("query"), F.col("dense_embedding").alias("v"))
+
+
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+    children = _children(spark, d)
+    asked = _asked(children)
+    vectors = retrieval.dense(children.select("id", F.col("dense_embedding").alias("v")), asked.select("qid", "v"), 100)
+    words = retrieval.bm25(children.select("id", F.col("contents").alias("text")), asked.select("qid", "query"), 100)
+    return retrieval.fused([vectors, words], 50)
+
+
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """For every usable child whose id is divisible by 100, its hybrid hits among all children."""
+    return _hybrid(spark, d)
+
+
+def parent_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.parents_of(_hybrid(spark, d), table(spark, d, "chunks")).select("qid", "parent_id", "file_id", "type")
+
+
+def _reranked(spark: SparkSession, d: str) -> DataFrame:
+    parents = retrieval.parents_of(_hybrid(spark, d), table(spark, d, "chunks"))
+    return retrieval.reranked(parents, _asked(_children(spark, d)).select("qid", "query"), 10)
+
+
+def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _reranked(spark, d).select("qid", "parent_id", "score", "rank")
+
+
+def rag_context(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.context(_reranked(spark, d), everywhere=True).select("qid", F.length("context").alias("chars"), F.md5("context").alias("context_md5"))
+
+
+# --- answers and tasks -------------------------------------------------------------
+
+def parse_json(spark: SparkSession, d: str) -> DataFrame:
+    v = J.recovered(F.col("raw"))
+    return table(spark, d, "raw_answers").select("doc_id", "attempt", "task_type", v.isNotNull().alias("parsed"), J.text_field(v, "category").alias("category"), J.text_field(v, "subcategory").alias("subcategory"))
+
+
+def _names(spark: SparkSession, d: str) -> Column:
+    listed = table(spark, d, "taxonomy").where("subcategory is null").agg(F.array_sort(F.collect_list("category")).alias("names"))
+    return listed.scalar()
+
+
+def coerce_category(spark: SparkSession, d: str) -> DataFrame:
+    """Category answers coerced to the closed vocabulary by edit similarity alone."""
+    rows = table(spark, d, "structured_output").select("answer_id", "category", _names(spark, d).alias("_v"))
+    values = X.with_coerced(rows.select("category", "_v").where("category is not null").distinct(), "coerced", "category", "_v").select("category", "coerced")
+    return rows.select("answer_id", "category").join(values, "category", "left").select("answer_id", "coerced")
+
+
+def _categories(spark: SparkSession, d: str) -> Column:
+    entries = table(spark, d, "taxonomy").groupBy("category").agg(F.array_sort(F.collect_list("subcategory")).alias("subs"))
+    return entries.agg(F.array_sort(F.collect_list(F.struct(F.col("category").alias("name"), "subs"))).alias("c")).scalar()
+
+
+def resolve_category(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded answers resolved to category and subcategory, later attempts repairing earlier ones."""
+    rows = table(spark, d, "raw_answers").withColumn("_cats", _categories(spark, d))
+    return tasks.recorded_categories(rows, "_cats")
+
+
+def confidential_report(spark: SparkSession, d: str) -> DataFrame:
+    """Reports with their kinds coerced; an unknown kind voids the report."""
+    known = F.array(*[F.lit(t) for t in J.CONFIDENTIAL_LABELS])
+    rows = table(spark, d, "confidential_reports").select("document_id", "task_id", "contains_sensitive", F.transform(F.coalesce("types", F.array().cast("array<string>")), lambda t: X.coerced(t, known)).alias("t"))
+    ok = F.col("contains_sensitive").isNotNull() & ~F.exists("t", lambda t: t.isNull())
+    return rows.select("document_id", "task_id", F.when(ok, J.rendered_confidential(F.col("contains_sensitive"), F.col("t"))).otherwise(F.lit(J.MANUAL_REVIEW)).alias("report"))
+
+
+def category_listing(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "taxonomy").groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("subcategory")), ", ").alias("subcategories"))
+    return rows.select("category", F.when(F.col("subcategories") == "", F.concat(F.lit("- "), F.col("category"))).otherwise(F.concat(F.lit("- "), F.col("category"), F.lit(": "), F.col("subcategories"))).alias("line"))
+
+
+def task_params(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters of task requests, flattened."""
+    p = F.from_json(F.coalesce("params", F.lit("{}")), tasks.PARAMS)
+    rows = table(spark, d, "task_requests").select("task_id", "requested_at", "task_type", p.alias("p"))
+    return rows.select("task_id", F.unix_micros("requested_at").alias("at_us"), "task_type", F.coalesce(F.size("p.CATEGORY_SUBCATEGORY.categories"), F.lit(-1)).alias("categories"),
+                       F.col("p.OTHER.query").alias("query"))
+
+
+def latest_requests(spark: SparkSession, d: str) -> DataFrame:
+    """One row a task: the request that came last, however late it was written."""
+    last = Window.partitionBy("task_id").orderBy(F.col("requested_at").desc(), "document_id", "task_type")
+    return table(spark, d, "task_requests").withColumn("rn", F.row_number().over(last)).where("rn = 1").select("task_id", "document_id", "task_type", F.unix_micros("requested_at").alias("at_us"))
+
+
+def summaries(spark: SparkSession, d: str) -> DataFrame:
+    docs = collection.document_text(table(spark, d, "chunks"))
+    return tasks.summaries(docs, RecordedModel())
+
+
+def task_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.dispatch(table(spark, d, "task_requests"), written(summaries(spark, d)), table(spark, d, "raw_answers"), RecordedModel())
+
+
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_counts(table(spark, d, "events").select("ts", "event_type", "value"))
+    return rows.select(F.unix_micros(F.col("window_start").cast("timestamp")).alias("start_us"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    content_hash, upload_hash, page_text, mime_filter, preview, strip_markdown, token_route, context_route, hard_split, overlap_chunks, sentences, parent_chunks, child_chunks,
+    chunk_rows, table_chunks, dedup_cascade, alias_rows, resolve_scope, document_text, collection_counts, ingest_rows, dense_topk, bm25_topk, hybrid_topk, parent_lookup,
+    rerank_topk, rag_context, parse_json, coerce_category, resolve_category, confidential_report, category_listing, task_params, latest_requests, summaries, task_dispatch, event_windows)}
+
+
+# --- the same in SQL ----------------------------------------------------------------
+
+_BM25 = """
+    words AS (SELECT id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM corpus),
+    stats AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM words),
+    asked_terms AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+')) AS term FROM asked),
+    tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM words) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    sparse AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+        SELECT qid, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))), 6) AS score
+        FROM asked_terms JOIN tf USING (term) JOIN df USING (term), stats GROUP BY qid, id))"""
+
+_HYBRID = f"""
+    children AS (SELECT * FROM chunks WHERE is_search AND hierarchy = 'child' AND contents IS NOT NULL AND len(dense_embedding) = 64
+        AND NOT list_bool_or(list_transform(dense_embedding, lambda e: isnan(e))) AND list_bool_or(list_transform(dense_embedding, lambda e: e <> 0))),
+    corpus AS (SELECT id, contents AS text FROM children),
+    asked AS (SELECT id AS qid, contents AS query, dense_embedding AS v FROM children WHERE id % 100 = 0),
+    {_BM25},
+    dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+        SELECT qid, c.id, round(list_inner_product(v::DOUBLE[], c.dense_embedding::DOUBLE[]), 6) AS score FROM asked, children c)),
+    legs AS (SELECT qid, id, rank FROM dense WHERE rank <= 100 UNION ALL SELECT qid, id, rank FROM sparse WHERE rank <= 100),
+    fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+        SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM legs GROUP BY qid, id)) WHERE rank <= 50)"""
+
+_PARENTS = f"""{_HYBRID},
+    hit_parents AS (SELECT DISTINCT qid, parent_id FROM fused JOIN chunks USING (id) WHERE parent_id IS NOT NULL),
+    fragments AS (SELECT qid, p.* FROM hit_parents JOIN chunks p USING (parent_id) WHERE p.is_search AND p.hierarchy = 'parent'),
+    reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent_id) AS rank FROM (
+        SELECT f.qid, f.parent_id, f.file_id, f.filename, f.contents, CASE WHEN len(q) > 0 THEN round(len(list_filter(q, lambda t: list_contains(w, t)))::DOUBLE / len(q), 6) ELSE 0.0 END AS score
+        FROM (SELECT fragments.*, list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS q, regexp_extract_all(lower(coalesce(contents, '')), '[\\p{{L}}\\p{{N}}]+') AS w
+              FROM fragments JOIN asked USING (qid)) f)) WHERE rank <= 10)"""
+
+_SCOPE = """
+    files AS (SELECT file_id, max(is_search::INT) AS searchable, max(content_hash) AS content_hash FROM chunks GROUP BY file_id),
+    targets AS (SELECT content_hash, min(file_id) AS canonical_file_id FROM files WHERE searchable = 1 AND content_hash <> '' GROUP BY content_hash),
+    scope AS (SELECT file_id, file_id AS canonical_file_id FROM files WHERE searchable = 1
+              UNION ALL SELECT f.file_id, t.canonical_file_id FROM files f JOIN targets t USING (content_hash) WHERE f.searchable = 0 AND f.content_hash <> '')"""
+
+_DOCUMENT_TEXT = f"""{_SCOPE},
+    whole AS (SELECT file_id AS canonical_file_id, string_agg(coalesce(contents, ''), chr(10) ORDER BY parent_id, id) AS text FROM chunks
+              WHERE is_search AND hierarchy = 'parent' AND type = 'text' GROUP BY file_id),
+    document_texts AS (SELECT scope.file_id, text FROM scope JOIN whole USING (canonical_file_id))"""
+
+_CASCADE = f"""
+    incoming AS (SELECT seq, file_id, filename, coalesce(content_hash, '') AS content_hash,
+        coalesce(list_bool_or(list_transform(pages, lambda p: p IS NOT NULL AND regexp_matches(p, '{NWS}'))), false)
+        OR coalesce(list_bool_or(list_transform(tables, lambda t: len(t.data) > 1)), false) AS has_rows FROM documents_in),
+    turns AS (SELECT *, row_number() OVER (PARTITION BY file_id, has_rows ORDER BY seq) AS turn, file_id IN (SELECT file_id FROM chunks) AS stored FROM incoming),
+    canonical AS (SELECT content_hash, min(file_id) AS canonical FROM chunks WHERE is_search AND content_hash <> '' GROUP BY content_hash),
+    fresh AS (SELECT t.*, c.canonical, row_number() OVER (PARTITION BY t.content_hash ORDER BY seq) AS rn, first_value(file_id) OVER (PARTITION BY t.content_hash ORDER BY seq) AS first_file
+              FROM turns t LEFT JOIN canonical c ON t.content_hash = c.content_hash WHERE has_rows AND turn = 1 AND NOT stored),
+    decided AS (SELECT t.seq, t.file_id,
+        CASE WHEN NOT t.has_rows THEN 'empty' WHEN f.seq IS NULL THEN 'skip' WHEN f.content_hash = '' THEN 'full' WHEN f.canonical IS NOT NULL OR f.rn > 1 THEN 'alias' ELSE 'full' END AS action,
+        CASE WHEN f.seq IS NULL THEN NULL WHEN f.content_hash = '' THEN f.file_id WHEN f.canonical IS NOT NULL THEN f.canonical ELSE f.first_file END AS canonical_file_id
+        FROM turns t LEFT JOIN fresh f ON t.seq = f.seq)"""
+
+_PLAIN = "regexp_replace(translate({}, 'ąćęłńóśźż', 'ACELNOSZQ'), '[^\\x00-\\x7F]', '~', 'g')"  # one byte a character, so that edits count characters
+
+
+def _squash(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '{WS}+', ' ', 'g'))"
+
+
+_CLEAN = "regexp_replace(raw, '```(json)?', '', 'gi')"
+
+ORACLE: dict[str, str] = {
+    "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL",
+    "upload_hash": "SELECT * FROM (SELECT seq, coalesce(content_hash, '') AS stated, sha256(content) AS actual FROM documents_in) WHERE stated <> actual",
+    "page_text": f"""
+        SELECT seq, length(t) AS chars, md5(t) AS page_md5, md5(s) AS summary_md5 FROM (
+            SELECT seq, {_strip("array_to_string(pages, chr(10) || chr(10))")} AS t,
+                   array_to_string(list_transform(list_filter(pages, lambda p: p IS NOT NULL), lambda p: {_strip("p")}), chr(10) || chr(10)) AS s FROM documents_in)""",
+    "mime_filter": f"SELECT content_type, coalesce(content_type IN ({', '.join(repr(t) for t in U.CONTENT_TYPES)}), false) AS admitted, count(*) AS n FROM documents_in GROUP BY ALL",
+    "preview": """SELECT doc_id, CASE WHEN length(text) <= 2000 THEN text ELSE substr(text, 1, 2000) || '… [truncated ' || (length(text) - 2000) || ' of ' || length(text) || ' chars]' END AS preview
+        FROM documents WHERE text IS NOT NULL""",
+    "token_route": """SELECT doc_id, floor(length(text) / 3.5)::INT AS tokens, CASE WHEN floor(length(text) / 3.5) <= 3000 THEN 'single' ELSE 'map_reduce' END AS route
+        FROM documents WHERE text IS NOT NULL""",
+    "context_route": f"WITH {_DOCUMENT_TEXT} SELECT file_id, length(text) AS chars, CASE WHEN length(text) <= 1750 THEN 'full' ELSE 'retrieval' END AS route FROM document_texts",
+    "hard_split": f"""
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, piece FROM (
+            SELECT doc_id, i, substr(text, i + 1, 1500) AS piece FROM (SELECT doc_id, text, unnest(range(0, length(text), 1300)) AS i FROM documents WHERE text IS NOT NULL))
+        WHERE regexp_matches(piece, '{NWS}')""",
+    "overlap_chunks": f"""
+        SELECT id, CASE WHEN p IS NULL THEN contents ELSE {_strip(f"regexp_replace(right(p, 150), '^{WS}+', '') || ' ' || contents")} END AS chunk FROM (
+            SELECT id, contents, lag(contents) OVER (PARTITION BY file_id ORDER BY parent_id, id) AS p FROM chunks
+            WHERE is_search AND hierarchy = 'parent' AND type = 'text' AND contents IS NOT NULL)""",
+    "sentences": f"""
+        WITH split_up AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?]){WS}+', '\\1' || chr(1), 'g'), '\\n{{2,}}', chr(1), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL),
+        placed AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM split_up),
+        fragments AS (SELECT doc_id, i, {_strip("part")} AS f FROM placed WHERE regexp_matches(part, '{NWS}')),
+        tested AS (SELECT *, lower(rtrim(regexp_extract(f, '({NWS}+)$', 1), '.')) AS w FROM fragments),
+        marked AS (SELECT *, CASE WHEN f LIKE '%.' AND (length(w) <= 1 OR regexp_full_match(w, '[0-9]+')
+            OR regexp_replace(w, '[^a-ząćęłńóśźż0-9.]', '', 'g') IN ({', '.join(repr(a) for a in sorted(chunking.ABBREVIATIONS))})) THEN 0 ELSE 1 END AS ends FROM tested),
+        grouped AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM marked)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS pos, sentence FROM (
+            SELECT doc_id, g, string_agg(f, ' ' ORDER BY i) AS sentence FROM grouped GROUP BY doc_id, g)""",
+    "dedup_cascade": f"WITH {_CASCADE} SELECT seq, file_id, action, coalesce(canonical_file_id, -1) AS canonical_file_id FROM decided",
+    "alias_rows": f"""WITH {_CASCADE}
+        SELECT d.file_id, d.file_id AS parent_id, 'parent' AS hierarchy, 'text' AS type, u.filename, u.content_hash, false AS is_search, 'x' AS contents, 64 AS width
+        FROM decided d JOIN documents_in u USING (seq) WHERE action = 'alias'""",
+    "resolve_scope": f"WITH {_SCOPE} SELECT * FROM scope",
+    "document_text": f"WITH {_DOCUMENT_TEXT} SELECT * FROM document_texts",
+    "collection_counts": "SELECT hierarchy, type, is_search, count(*) AS n, count(DISTINCT file_id) AS files, sum(length(contents))::BIGINT AS chars FROM chunks GROUP BY ALL",
+    "dense_topk": """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+            SELECT q.vec_id AS qid, v.vec_id AS id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+            FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""",
+    "bm25_topk": f"""
+        WITH corpus AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), asked AS (SELECT item_id AS qid, text AS query FROM bench_items WHERE text IS NOT NULL), {_BM25}
+        SELECT qid, id, score, rank FROM sparse WHERE rank <= 10""",
+    "hybrid_topk": f"WITH {_HYBRID} SELECT qid, id, score, rank FROM fused",
+    "parent_lookup": f"WITH {_PARENTS} SELECT qid, parent_id, file_id, type FROM fragments",
+    "rerank_topk": f"WITH {_PARENTS} SELECT qid, parent_id, score, rank FROM reranked",
+    "rag_context": f"""WITH {_PARENTS}
+        SELECT qid, length(context) AS chars, md5(context) AS context_md5 FROM (
+            SELECT qid, string_agg('--- Fragment z dokumentu: ' || coalesce(nullif(filename, ''), 'ID ' || file_id) || ' ---' || chr(10) || coalesce(contents, '') || chr(10) || chr(10), '' ORDER BY rank) AS context
+            FROM reranked GROUP BY qid)""",
+    "parse_json": f"""
+        WITH cleaned AS (SELECT doc_id, attempt, task_type, {_strip(_CLEAN)} AS c FROM raw_answers),
+        found AS (SELECT *, CASE WHEN json_valid(c) THEN c WHEN json_valid(regexp_extract(c, '(?s)\\{{.*\\}}')) THEN regexp_extract(c, '(?s)\\{{.*\\}}') END AS j FROM cleaned)
+        SELECT doc_id, attempt, task_type, j IS NOT NULL AS parsed,
+               CASE WHEN json_type(json_extract(j, '$.category')) = 'VARCHAR' THEN json_extract_string(j, '$.category') END AS category,
+               CASE WHEN json_type(json_extract(j, '$.subcategory')) = 'VARCHAR' THEN json_extract_string(j, '$.subcategory') END AS subcategory FROM found""",
+    "coerce_category": f"""
+        WITH vocabulary AS (SELECT category AS name, {_PLAIN.format(_squash("category"))} AS n FROM taxonomy WHERE subcategory IS NULL),
+        entered AS (SELECT DISTINCT category, {_PLAIN.format(_squash("category"))} AS v FROM structured_output WHERE category IS NOT NULL),
+        scored AS (SELECT category, name, CASE WHEN greatest(length(v), length(n)) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(v, n)::DOUBLE / greatest(length(v), length(n)) END AS s FROM entered, vocabulary),
+        best AS (SELECT *, max(s) OVER (PARTITION BY category) AS b FROM scored),
+        won AS (SELECT category, min(name) AS coerced FROM best WHERE s >= b - 0.02::DOUBLE AND b >= 0.8::DOUBLE GROUP BY category HAVING count(*) = 1)
+        SELECT answer_id, coerced FROM structured_output LEFT JOIN won USING (category)""",
+    "category_listing": """
+        SELECT category, '- ' || category || CASE WHEN count(subcategory) > 0 THEN ': ' || string_agg(subcategory, ', ' ORDER BY subcategory) ELSE '' END AS line FROM taxonomy GROUP BY category""",
+    "task_params": """
+        SELECT task_id, epoch_us(requested_at) AS at_us, task_type, coalesce(json_array_length(json_extract(params, '$.CATEGORY_SUBCATEGORY.categories')), -1)::INT AS categories,
+               json_extract_string(params, '$.OTHER.query') AS query FROM task_requests""",
+    "latest_requests": """
+        SELECT task_id, document_id, task_type, epoch_us(requested_at) AS at_us FROM (
+            SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY requested_at DESC, document_id, task_type) AS rn FROM task_requests) WHERE rn = 1""",
+    "event_windows": """
+        SELECT epoch_us(ts) - epoch_us(ts) % 3600000000 AS start_us, event_type, count(*) AS n, round(round(sum(value), 4), 2) AS total FROM events GROUP BY ALL""",
+}
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
