@@ -58,19 +58,18 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     def cell(key, left: pa.Table, right: pa.Table) -> pa.Table:
         qids, ids = left.column("qid").to_numpy(), right.column("id").to_numpy()
+        if not len(qids) or not len(ids):
+            return pa.table({"qid": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
         q = np.asarray(left.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(len(qids), -1)
         x = np.asarray(right.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1)
         a, b, s = [], [], []
         order = np.argsort(ids)
         ids, x = ids[order], x[order]
         for i in range(0, len(qids), 256):
-            if not len(ids):
-                break
             score = np.round(q[i: i + 256] @ x.T, DIGITS)
             top = np.argsort(-score, axis=1, kind="stable")[:, :k]
             a.append(np.repeat(qids[i: i + 256], top.shape[1])), b.append(ids[top].ravel()), s.append(np.take_along_axis(score, top, 1).ravel())
-        empty = np.zeros(0)
-        return pa.table({"qid": np.concatenate(a) if a else empty.astype(np.int64), "id": np.concatenate(b) if b else empty.astype(np.int64), "score": np.concatenate(s) if s else empty})
+        return pa.table({"qid": np.concatenate(a), "id": np.concatenate(b), "score": np.concatenate(s)})
 
     spread = queries.select("qid", "v", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("cell"))
     cells = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(CELLS)).cast("int").alias("cell"))
