@@ -336,6 +336,16 @@ def _squash(x: str) -> str:
     return f"trim(regexp_replace(lower({x}), '{WS}+', ' ', 'g'))"
 
 
+def _similarity(a: str, b: str) -> str:
+    return f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) END"
+
+
+def _winner(scored: str, key: str, name: str) -> str:
+    """The only entry within 0.02 of the best, if that reaches 0.8."""
+    return (f"SELECT {key}, min({name}) AS coerced FROM (SELECT *, max(s) OVER (PARTITION BY {key}) AS b FROM {scored}) "
+            f"WHERE s >= b - 0.02::DOUBLE AND b >= 0.8::DOUBLE GROUP BY {key} HAVING count(*) = 1")
+
+
 _CLEAN = "regexp_replace(raw, '```(json)?', '', 'gi')"
 
 ORACLE: dict[str, str] = {
@@ -403,6 +413,33 @@ ORACLE: dict[str, str] = {
         best AS (SELECT *, max(s) OVER (PARTITION BY category) AS b FROM scored),
         won AS (SELECT category, min(name) AS coerced FROM best WHERE s >= b - 0.02::DOUBLE AND b >= 0.8::DOUBLE GROUP BY category HAVING count(*) = 1)
         SELECT answer_id, coerced FROM structured_output LEFT JOIN won USING (category)""",
+    "confidential_report": f"""
+        WITH kinds(kind, label) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in J.CONFIDENTIAL_LABELS.items())}),
+        reports AS (SELECT row_number() OVER () AS rid, * FROM confidential_reports),
+        entered AS (SELECT DISTINCT t, {_PLAIN.format(_squash("t"))} AS v FROM (SELECT unnest(types) AS t FROM reports) WHERE t IS NOT NULL),
+        scored AS (SELECT t, kind, {_similarity("v", "kind")} AS s FROM entered, kinds),
+        won AS ({_winner("scored", "t", "kind")}),
+        items AS (SELECT rid, i, coerced FROM (SELECT rid, unnest(types) AS t, generate_subscripts(types, 1) AS i FROM reports) LEFT JOIN won USING (t)),
+        firsts AS (SELECT rid, coerced, min(i) AS i FROM items GROUP BY rid, coerced),
+        listed AS (SELECT rid, bool_or(coerced IS NULL) AS bad, string_agg('- ' || label, chr(10) ORDER BY i) AS lines FROM firsts LEFT JOIN kinds ON coerced = kind GROUP BY rid)
+        SELECT document_id, task_id, CASE WHEN contains_sensitive IS NULL OR coalesce(bad, false) THEN '{J.MANUAL_REVIEW}' WHEN NOT contains_sensitive THEN 'Dane wrażliwe: NIE'
+            WHEN lines IS NULL THEN 'Dane wrażliwe: TAK' ELSE 'Dane wrażliwe: TAK' || chr(10) || 'Wykryte typy:' || chr(10) || lines END AS report FROM reports LEFT JOIN listed USING (rid)""",
+    "resolve_category": f"""
+        WITH cleaned AS (SELECT row_number() OVER () AS rid, doc_id, attempt, {_strip(_CLEAN)} AS c FROM raw_answers WHERE task_type = 'CATEGORY_SUBCATEGORY'),
+        found AS (SELECT *, CASE WHEN json_valid(c) THEN c WHEN json_valid(regexp_extract(c, '(?s)\\{{.*\\}}')) THEN regexp_extract(c, '(?s)\\{{.*\\}}') END AS j FROM cleaned),
+        fields AS (SELECT rid, doc_id, attempt, CASE WHEN json_type(json_extract(j, '$.category')) = 'VARCHAR' THEN json_extract_string(j, '$.category') END AS cat,
+                          CASE WHEN json_type(json_extract(j, '$.subcategory')) = 'VARCHAR' THEN json_extract_string(j, '$.subcategory') END AS sub FROM found),
+        plain AS (SELECT *, {_PLAIN.format(_squash("cat"))} AS vc, {_PLAIN.format(_squash("sub"))} AS vs FROM fields),
+        names AS (SELECT DISTINCT category, {_PLAIN.format(_squash("category"))} AS n FROM taxonomy),
+        c_scored AS (SELECT rid, category, {_similarity("vc", "n")} AS s FROM plain, names WHERE cat IS NOT NULL),
+        c_won AS ({_winner("c_scored", "rid", "category")}),
+        subs AS (SELECT category, subcategory, {_PLAIN.format(_squash("subcategory"))} AS n FROM taxonomy WHERE subcategory IS NOT NULL),
+        s_scored AS (SELECT p.rid, subcategory, {_similarity("vs", "n")} AS s FROM plain p JOIN c_won USING (rid) JOIN subs ON subs.category = c_won.coerced WHERE sub IS NOT NULL),
+        s_won AS ({_winner("s_scored", "rid", "subcategory")}),
+        done AS (SELECT doc_id, attempt, c_won.coerced AS category, s_won.coerced AS subcategory FROM plain JOIN c_won USING (rid) LEFT JOIN s_won USING (rid)
+                 WHERE s_won.coerced IS NOT NULL OR c_won.coerced NOT IN (SELECT category FROM subs)),
+        first_done AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY attempt, category, subcategory) AS rn FROM done)
+        SELECT d.doc_id, coalesce(f.category, '{J.MANUAL_REVIEW}') AS category, f.subcategory FROM (SELECT DISTINCT doc_id FROM plain) d LEFT JOIN first_done f ON d.doc_id = f.doc_id AND rn = 1""",
     "category_listing": """
         SELECT category, '- ' || category || CASE WHEN count(subcategory) > 0 THEN ': ' || string_agg(subcategory, ', ' ORDER BY subcategory) ELSE '' END AS line FROM taxonomy GROUP BY category""",
     "task_params": """
