@@ -160,7 +160,7 @@ named AS (
 mapping AS (SELECT *, explode(sequence(0, {SALTS - 1})) AS salt FROM <mapping>),
 first_field AS (
     SELECT a.*, coalesce(m.entry_id, -1) AS category_entry
-    FROM (SELECT *, pmod(answer_id, {SALTS}) AS salt FROM <answers>) a
+    FROM (SELECT *, pmod(coalesce(answer_id, 0), {SALTS}) AS salt FROM <answers>) a
     LEFT JOIN mapping m ON m.field = 'category' AND a.category = m.value AND a.salt = m.salt),
 second_field AS (
     SELECT a.answer_id, a.category, a.subcategory, a.category_entry, m.name, m.entries, m.entry_id AS subcategory_entry, t.category AS category_name
