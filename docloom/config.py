@@ -13,7 +13,7 @@ class ConfigError(ValueError):
 
 @dataclass(frozen=True)
 class Settings:
-    provider: str = "ollama"
+    provider: str = "local"
     model: str = ""
     encoder: str = ""
     collection: str = "file_embeddings"
@@ -34,7 +34,7 @@ class Settings:
     debug: bool = False
 
     def validate(self) -> Settings:
-        if self.provider not in ("ollama", "watsonx"):
+        if self.provider not in ("local", "hosted"):
             raise ConfigError(f"unknown provider {self.provider!r}")
         for name in ("parent_size", "child_size", "parent_id_factor", "rerank_pool", "rerank_top_k", "summary_budget_tokens", "max_pending", "callback_attempts"):
             if getattr(self, name) < 1:
@@ -71,7 +71,7 @@ def load(values: Mapping[str, str] | None = None) -> Settings:
         except ValueError as e:
             raise ConfigError(f"{f.name.upper()}={raw!r} is not a {type(f.default).__name__}") from e
     # an explicit provider wins over one told by its key
-    given["provider"] = values.get("LLM_PROVIDER", "").strip().lower() or ("watsonx" if values.get("WATSONX_API_KEY") else "ollama")
+    given["provider"] = values.get("LLM_PROVIDER", "").strip().lower() or ("hosted" if values.get("LLM_API_KEY") else "local")
     given["model"] = gated(values, "MODEL", "")
     given["encoder"] = gated(values, "ENCODER", "")
     debug = _flag(values.get("DEBUG", ""))

@@ -346,6 +346,11 @@ def _winner(scored: str, key: str, name: str) -> str:
             f"WHERE s >= b - 0.02::DOUBLE AND b >= 0.8::DOUBLE GROUP BY {key} HAVING count(*) = 1")
 
 
+def _cell(c: str) -> str:
+    one_line = f"replace({c}, chr(10), ' ')"
+    return f"coalesce({_strip(one_line)}, '')"
+
+
 _CLEAN = "regexp_replace(raw, '```(json)?', '', 'gi')"
 
 ORACLE: dict[str, str] = {
@@ -379,6 +384,21 @@ ORACLE: dict[str, str] = {
         grouped AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM marked)
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS pos, sentence FROM (
             SELECT doc_id, g, string_agg(f, ' ' ORDER BY i) AS sentence FROM grouped GROUP BY doc_id, g)""",
+    "table_chunks": f"""
+        WITH t AS (SELECT seq, unnest(tables) AS t, generate_subscripts(tables, 1) - 1 AS table_no FROM documents_in WHERE tables IS NOT NULL),
+        d AS (SELECT seq, table_no, t.data AS data FROM t WHERE t.data IS NOT NULL AND len(t.data) > 0),
+        u AS (SELECT seq, table_no, list_transform(data[1], lambda c: {_cell("c")}) AS h, data[2:] AS body FROM d
+              WHERE NOT (len(list_filter(data[1], lambda c: c IS NOT NULL AND regexp_matches(c, '{NWS}'))) < 2 AND len(data) < 2)),
+        r AS (SELECT seq, table_no, h, unnest(body) AS r, generate_subscripts(body, 1) - 1 AS row_no FROM u),
+        c AS (SELECT seq, table_no, row_no, h, unnest(r) AS c, generate_subscripts(r, 1) AS j FROM r),
+        n AS (SELECT seq, table_no, row_no, j, j <= len(h) AS headed, CASE WHEN j <= len(h) THEN h[j] ELSE 'column_' || j END AS n, {_cell("c")} AS v FROM c),
+        members AS (SELECT seq, table_no, row_no, n, min(j) AS place, arg_max(v, j) AS v FROM n WHERE n <> '' GROUP BY seq, table_no, row_no, n),
+        objects AS (SELECT seq, table_no, row_no, '{{' || string_agg(to_json(n) || ':' || to_json(v), ',' ORDER BY place) || '}}' AS o FROM members GROUP BY seq, table_no, row_no),
+        parents AS (SELECT seq, table_no, '[' || string_agg(o, ',' ORDER BY row_no) || ']' AS parent FROM objects GROUP BY seq, table_no),
+        said AS (SELECT seq, table_no, row_no, 'W tej tabeli wiersz zawiera następujące dane: '
+                        || string_agg('wartość dla ' || chr(39) || n || chr(39) || ' to ' || chr(39) || v || chr(39), '; ' ORDER BY j) || '.' AS child
+                 FROM n WHERE headed AND n <> '' AND v <> '' GROUP BY seq, table_no, row_no)
+        SELECT seq, table_no, row_no, parent, child FROM said JOIN parents USING (seq, table_no)""",
     "dedup_cascade": f"WITH {_CASCADE} SELECT seq, file_id, action, coalesce(canonical_file_id, -1) AS canonical_file_id FROM decided",
     "alias_rows": f"""WITH {_CASCADE}
         SELECT d.file_id, d.file_id AS parent_id, 'parent' AS hierarchy, 'text' AS type, u.filename, u.content_hash, false AS is_search, 'x' AS contents, 64 AS width

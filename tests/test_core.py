@@ -155,8 +155,8 @@ def test_summaries(spark):
 
 
 def test_config_gates():
-    assert config.load({}).provider == "ollama"
-    assert config.load({"PARENT_SIZE": "900", "WATSONX_API_KEY": "k"}).parent_size == 900
+    assert config.load({}).provider == "local"
+    assert config.load({"PARENT_SIZE": "900", "LLM_API_KEY": "k"}).parent_size == 900
     for bad in ({"MODEL_OVERRIDE": "x"}, {"ALLOW_MODEL_OVERRIDE": "true"}, {"DEBUG": "true"}, {"CHILD_SIZE": "many"}, {"RERANK_TOP_K": "0"}, {"LLM_PROVIDER": "other"}):
         with pytest.raises(config.ConfigError):
             config.load(bad)
