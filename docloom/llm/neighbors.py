@@ -302,7 +302,8 @@ def similar_pairs(vectors: DataFrame, centres: np.ndarray, *, k: int = K, least:
         cos = np.round((va * vb).sum(1) / np.sqrt((va * va).sum(1) * (vb * vb).sum(1)), 6) if len(a) else np.zeros(0)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cos": cos})
 
-    rows = routed(vectors, centres, routes, width)
+    # as many partitions as shards: a task gets a shard or a few, however many there are
+    rows = routed(vectors, centres, routes, width).repartition(len(centres), "shard")
     pairs = rows.groupBy("shard").applyInArrow(shard, _PAIR)
     return pairs.where(f"cos >= {least}").groupBy("a", "b").agg(F.max("cos").alias("cos"))
 
