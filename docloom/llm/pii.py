@@ -155,25 +155,29 @@ class Mention:
         self.start, self.end, self.kind, self.strong, self.left, self.right, self.instances = start, end, kind, strong, left, right, instances
 
 
+def _take(taken: bytearray, a: int, b: int) -> None:
+    taken[a:b] = b"\x01" * (b - a)
+
+
 def candidates(text: str) -> tuple[list[Mention], list[str]]:
     """Mentions by shape, and the words of mail addresses."""
     out: list[Mention] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
     words: list[str] = []
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
+        return taken.find(1, a, b) < 0
 
     has_digit = any(c in text for c in "0123456789")
     if has_digit:
         for m in ADDRESS.finditer(text):
-            taken.append(m.span())
+            _take(taken, *m.span())
             out.append(Mention(*m.span(), "ADDRESS", True, "", "", ()))
     if "@" in text or "＠" in text or "%40" in text or "[ma" in text or "(at" in text or "[at" in text or "(a)" in text or "[MA" in text or "(AT" in text:
         for m in EMAIL.finditer(text):
             a, b = _trim_email(m)
             if free(a, b):
-                taken.append((a, b))
+                _take(taken, a, b)
                 out.append(Mention(a, b, "EMAIL", True, "", "", ()))
                 words.extend(stem(w) for w in re.findall(r"[a-z]{3,}", re.split(r"%40|\s?[@＠(\[{]", m.group())[0].lower()))
     if has_digit:
@@ -306,15 +310,17 @@ def mentions(text: str, confident: dict[tuple[str, str, str], float], words: set
             chosen.append((score, x))
     chosen.sort(key=lambda c: (c[1].kind in ("PHONE", "ID_NUMBER", "NAME"), c[1].kind == "NAME", -c[0], -(c[1].end - c[1].start)))
     out: list[tuple[int, int, str]] = []
+    taken = bytearray(len(text))
     for _, x in chosen:
-        if all(x.end <= a or x.start >= b for a, b, _ in out):
+        if taken.find(1, x.start, x.end) < 0:
+            _take(taken, x.start, x.end)
             out.append((x.start, x.end, x.kind))
     if words:
-        out.extend(_small_names(text, confident, words, out))
+        out.extend(_small_names(text, confident, words, taken))
     return sorted(out)
 
 
-def _small_names(text: str, confident, words: set[str], out: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def _small_names(text: str, confident, words: set[str], taken: bytearray) -> list[tuple[int, int, str]]:
     """Names written without capitals, where a known word stands in a name's place."""
     plain = text.lower().translate(_PLAIN)
     if len(plain) != len(text):
@@ -324,7 +330,7 @@ def _small_names(text: str, confident, words: set[str], out: list[tuple[int, int
     while m := pattern.search(plain, at):
         a, b = m.span()
         at = a + 1
-        if all(b <= x or a >= y for x, y, _ in out) and _left_conf(confident, "NAME", _left(text, a)) >= NAME_PATTERN_LEAST:
+        if taken.find(1, a, b) < 0 and _left_conf(confident, "NAME", _left(text, a)) >= NAME_PATTERN_LEAST:
             extra.append((a, b, "NAME"))
             at = b
     return extra

@@ -110,7 +110,9 @@ def _enclosed(text: str, a: int, b: int) -> list[tuple[int, int]]:
         if hit is not None:
             start = stack[hit][2]
             del stack[hit:]
-            out = [p for p in out if p[0] < start] + [(start, at + 1)]
+            while out and out[-1][0] > start:  # pairs inside this one
+                out.pop()
+            out.append((start, at + 1))
         elif c in _OPEN:
             stack.append((c, _OPEN[c], at))
         elif c == '"':
@@ -185,8 +187,10 @@ def gaps(text: str, a: int, b: int) -> list[Gap]:
                 continue  # inside
             at = inner[k][1]
             # does the quotation or bracket open the sentence?
-            lead = text[a: inner[k][0]].rstrip()
-            quoted = "<QS>" if not lead or lead[-1] in _STRONG + _WEAK or lead[-1] in _CLOSE + '"' and len(lead) > 1 and lead[-2] in _STRONG + _WEAK else "<QM>"
+            j = inner[k][0] - 1
+            while j >= a and text[j].isspace():
+                j -= 1
+            quoted = "<QS>" if j < a or text[j] in _STRONG + _WEAK or text[j] in _CLOSE + '"' and j > a and text[j - 1] in _STRONG + _WEAK else "<QM>"
             # marks that follow the closing one belong to it as well
             while at < b and text[at] in _STRONG + _WEAK:
                 at, quoted = at + 1, ""

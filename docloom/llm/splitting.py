@@ -37,11 +37,11 @@ LIMIT, OVERLAP = 1500, 150
 #: Fixed value: the marks after which an item may be cut without white space.
 MARKS = ".!?…。！？؟።։।"
 
-_SECTION = re.compile(r"\n[^\S\n]*\n\s*(?=(?:§|#|\d+(?:\.\d+)*\.?\s+\S|[A-Z]\.\s|[^\n.!?]{1,60}\n[^\S\n]*\n))")
+_HEADING = re.compile(r"§|#|\d+(?:\.\d+)*\.?\s+\S|[A-Z]\.\s|[^\n.!?]{1,60}\n[^\S\n]*\n")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 _SENTENCE = re.compile(rf"[{MARKS}]+[\"'”’»\)\]』」】）]*\s*")
 _WORD = re.compile(rf"\s+|[{MARKS}]+")
-_PATTERNS = (_SECTION, _PARAGRAPH, _SENTENCE, _WORD)
+_PATTERNS = (_PARAGRAPH, _PARAGRAPH, _SENTENCE, _WORD)
 #: The separator that made a unit, from coarse to fine; the last needs no pattern.
 LEVELS = ("whole", "section", "paragraph", "sentence", "word", "character")
 FORCED = LEVELS.index("character")
@@ -73,6 +73,8 @@ def atoms(text: str, start: int, end: int, limit: int, level: int = 0) -> Iterat
     at = start
     for m in _PATTERNS[level].finditer(text, start, end):
         cut = m.end()
+        if level == 0 and not _HEADING.match(text, cut):  # a section begins with a heading
+            continue
         if level == 3 and cut - at > limit >= m.start() - at:
             cut = m.start()  # a run that just fits leaves its separator to the next atom
             if cut > at:
