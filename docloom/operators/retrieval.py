@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import analysed
+from docloom.runtime import written
 
 K1, B, RRF_K = 1.2, 0.75, 60
 CELLS, DIGITS = 16, 6
@@ -33,18 +34,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, *, scope: DataFrame | None
     per document are combined on the map side. Statistics are over all documents.
     """
     words = docs.select("id", analysed(F.col("text")).alias("_w")).select("id", F.size("_w").alias("len"), "_w")
-    stats = words.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    asked = queries.select("qid", F.explode(F.array_distinct(analysed(F.col("query")))).alias("term"))
-    terms = asked.select("term").distinct()
+    n, avg = words.agg(F.count("*"), F.avg("len")).first()
+    # written, so that the planner knows the size of the queries' terms before it plans the joins
+    asked = written(queries.select("qid", F.explode(F.array_distinct(analysed(F.col("query")))).alias("term")))
+    terms = written(asked.select("term").distinct())
     found = words.select("id", "len", F.explode("_w").alias("term")).join(terms, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (avg or 1.0)))
+    # weights are worked out once a posting, before queries multiply the rows
+    weighted = found.join(frequency, "term").select("term", "id", part.alias("w"))
     # a frequent term may hold a large part of all postings: salted, so that no task gets it whole
     salt = F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")
-    hits = found.withColumn("_s", salt).join(asked.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(7)))), ["term", "_s"]).join(frequency, "term")
-    n, avg = stats.select("n_docs").scalar(), stats.select("avg_len").scalar()
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))
-    scored = hits.groupBy("qid", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    spread = asked.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    hits = weighted.withColumn("_s", salt).join(spread, ["term", "_s"])
+    scored = hits.groupBy("qid", "id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
     if scope is not None:
         scored = scored.join(scope, ["qid", "id"], "left_semi")
     return ranked(scored, k)
