@@ -303,7 +303,7 @@ def similar_pairs(vectors: DataFrame, centres: np.ndarray, *, k: int = K, least:
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cos": cos})
 
     # as many partitions as shards: a task gets a shard or a few, however many there are
-    rows = routed(vectors, centres, routes, width).repartition(len(centres), "shard")
+    rows = routed(vectors, centres, routes, width).repartition(max(1, len(centres)), "shard")
     pairs = rows.groupBy("shard").applyInArrow(shard, _PAIR)
     return pairs.where(f"cos >= {least}").groupBy("a", "b").agg(F.max("cos").alias("cos"))
 
