@@ -21,12 +21,14 @@ Defined results
   count over the longer text.
 * Uploads without text are never ``near``; null contents are never ``bytes``; a null
   ``file_id`` is never ``id``. Rows without ``seq`` are left out, as they have no turn.
-* Of several stored matches the most similar comes out, then the smallest ``file_id``.
+* Of the stored matches in the first block that has one the most similar comes out, then the
+  smallest ``file_id``; of accepted uploads met, the most similar, then the earliest.
 * Very long texts are used whole. Empty tables give an empty result.
 
-A range that holds more than ``RANGE`` texts is compared in blocks of that many, and only by
-texts that are still without a match, so a family of near copies costs its size, not its
-square. No document, signature or link is collected to the driver.
+A range that holds more than ``RANGE`` texts is compared in blocks of that many: with stored
+texts only by texts still without a stored match, among uploads only by texts that agree with
+none that is sure to be accepted. So a family of near copies costs its size, not its square,
+unless its first text is not sure. No document, signature or link is collected to the driver.
 """
 
 from __future__ import annotations
@@ -193,22 +195,25 @@ def _verified(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFram
     return near.select("a", "b", agree("_x", "_y").alias("sim")).where(F.col("sim") >= similarity)
 
 
+def _prefix(depth: int):
+    return F.shiftright("key", 16 * (LEVELS - depth)).alias("prefix")
+
+
 def matches(index: DataFrame, batch: DataFrame, norms: DataFrame, *, similarity: float = SIMILARITY,
             depths: tuple[int, ...] = DEPTHS) -> DataFrame:
-    """``(a, b, sim)``: texts of the batch with those of the index that agree with them.
+    """``(a, b, sim)``: texts of the batch with stored texts of the index that agree with them.
 
-    ``batch`` has the keys of the new texts, ``(id, tree, key)``. Smaller ids come first
+    ``batch`` has the keys of the new texts, ``(id, tree, key)``. One stored match decides a
+    text, so it leaves the search with the block that gave it one. Smaller ids come first
     where a range has to be taken in blocks.
     """
     found: DataFrame | None = None
     open_batch = batch
     for depth in depths:
-        prefix = F.shiftright("key", 16 * (LEVELS - depth)).alias("prefix")
-        own = Window.partitionBy("tree", "prefix")
-        ranges = index.select("tree", prefix, F.col("id").alias("b")).withColumn("size", F.count("*").over(own)).where("size > 1")
+        seek = open_batch.select("tree", _prefix(depth), F.col("id").alias("a"))
+        ranges = index.select("tree", _prefix(depth), F.col("id").alias("b")).join(seek.select("tree", "prefix").distinct(), ["tree", "prefix"], "left_semi")
         ranked = written(ranges.select("tree", "prefix", "b", F.expr(
             f"cast((row_number() over (partition by tree, prefix order by b) - 1) div {RANGE} as int)").alias("block")))
-        seek = open_batch.select("tree", prefix, F.col("id").alias("a"))
         block, last = 0, ranked.agg(F.max("block")).first()[0]
         while last is not None and block <= last:
             targets = ranked.where(F.col("block") == block).drop("block")
@@ -227,6 +232,34 @@ def matches(index: DataFrame, batch: DataFrame, norms: DataFrame, *, similarity:
     return found
 
 
+def earlier(batch: DataFrame, norms: DataFrame, plain: DataFrame, *, similarity: float = SIMILARITY, depth: int = DEPTHS[-1]) -> DataFrame:
+    """``(a, b, sim)``: texts of uploads with those of earlier ones, ``b < a``, as far as they can decide ``a``.
+
+    A text leaves the search only when it agrees with one sure to be accepted: one of
+    ``plain`` (ids whose first upload repeats no file and no bytes) that has met all earlier
+    texts of its ranges and agrees with none. What agrees with that one is never accepted,
+    so nothing else depends on it; all other pairs of a range are compared. Ranges are wide
+    enough here to hold those of all greater depths.
+    """
+    seek = batch.select("tree", _prefix(depth), F.col("id").alias("a"))
+    ranges = seek.withColumn("size", F.count("*").over(Window.partitionBy("tree", "prefix"))).where("size > 1").drop("size")
+    rest = seek = written(ranges)
+    found: DataFrame | None = None
+    while True:
+        ranked = written(rest.withColumn("n", F.row_number().over(Window.partitionBy("tree", "prefix").orderBy("a"))))
+        head, rest = ranked.where(f"n <= {RANGE}"), ranked.where(f"n > {RANGE}").drop("n")
+        pairs = seek.join(head.select("tree", "prefix", F.col("a").alias("b")), ["tree", "prefix"]).where("b < a").select("a", "b").distinct()
+        if found is not None:
+            pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
+        new = written(_verified(written(pairs), norms, similarity))
+        found = new if found is None else found.unionByName(new)
+        if not rest.limit(1).count():
+            return found
+        sure = plain.join(rest.select(F.col("a").alias("id")), "id", "left_anti").join(found.select(F.col("a").alias("id")), "id", "left_anti")
+        closed = written(found.join(sure.select(F.col("id").alias("b")), "b", "left_semi").select("a").distinct())
+        rest, seek = rest.join(closed, "a", "left_anti"), written(seek.join(closed, "a", "left_anti"))
+
+
 def _stored(chunks: DataFrame) -> DataFrame:
     texts = chunks.where("hierarchy = 'parent' and type = 'text' and is_search and contents is not null and file_id is not null")
     return texts.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("parent_id", "id", "contents"))).alias("_p")).select(
@@ -237,7 +270,7 @@ def repeats(uploads: DataFrame, chunks: DataFrame, *, similarity: float = SIMILA
     """``(seq, kind, match_file_id)`` of the uploads that repeat something."""
     up = uploads.where("seq is not null").select(
         "seq", F.col("file_id").cast("long").alias("file_id"), F.sha2("content", 256).alias("sha"), F.array_join("pages", "\n\n").alias("text"))
-    # text ids: files first, in order, as even numbers below all uploads, which are odd
+    # text ids: even numbers for files and odd ones for uploads, each in order
     stored_id, upload_id = F.col("key") * 2, F.col("seq") * 2 + 1
     texts = written(texts_of(up.select(upload_id.alias("id"), "text").unionByName(_stored(chunks).select(stored_id.alias("id"), "text"))))
     is_stored = F.col("id") % 2 == 0
@@ -245,21 +278,26 @@ def repeats(uploads: DataFrame, chunks: DataFrame, *, similarity: float = SIMILA
     classes = texts.select("id", "cls").groupBy("cls").agg(F.min(F.struct((~is_stored).alias("n"), F.col("id"))).getField("id").alias("rep"), F.max(~is_stored).alias("new"))
     of_text = written(texts.select("id", "cls").join(classes, "cls").select("id", "rep", "new"))
     keys = texts.select("id", "trees").join(of_text.where("id = rep").select("id", "new"), "id")
-    runs = [index_run(keys.where(is_stored)), index_run(keys.where(~is_stored))]
-    batch = merged(*runs).join(of_text.where("id = rep and new").select("id"), "id", "left_semi")
-    links = matches(merged(*runs), batch, texts.select("id", "norm"), similarity=similarity)
-    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim")))
+    stored_run, upload_run = index_run(keys.where(is_stored)), index_run(keys.where(~is_stored))
+    norms = texts.select("id", "norm")
+    to_stored = matches(stored_run, upload_run, norms, similarity=similarity)
 
     files = of_text.where(is_stored).groupBy(F.col("rep").alias("b")).agg((F.min("id") / 2).cast("long").alias("file"))
-    stored_near = both.unionByName(files.select(F.col("b").alias("a"), "b", F.lit(1.0).alias("sim"))).join(files, "b").groupBy(F.col("a").alias("rep")).agg(
-        F.min(F.struct((-F.col("sim")).alias("s"), F.col("file"))).getField("file").alias("s_near"))
+    stored_near = written(to_stored.unionByName(files.select(F.col("b").alias("a"), "b", F.lit(1.0).alias("sim"))).join(files, "b").groupBy(F.col("a").alias("rep")).agg(
+        F.min(F.struct((-F.col("sim")).alias("s"), F.col("file"))).getField("file").alias("s_near")))
     known = chunks.where("file_id is not null").select("file_id").distinct().withColumn("s_id", F.lit(True))
     hashes = chunks.where("is_search and content_hash <> ''").groupBy(F.lower("content_hash").alias("sha")).agg(F.min("file_id").alias("s_bytes"))
     of_upload = of_text.where(~is_stored).select(((F.col("id") - 1) / 2).cast("long").alias("seq"), F.col("rep").alias("cls")).distinct()
-    state = up.select("seq", "file_id", "sha").join(of_upload, "seq", "left").join(known, "file_id", "left").join(hashes, "sha", "left").join(
-        stored_near.withColumnRenamed("rep", "cls"), "cls", "left").withColumns({"status": F.lit(None).cast("string"), "match": F.lit(None).cast("long")})
-    edges = written(both.join(of_text.where("id = rep and new").select(F.col("id").alias("b")), "b", "left_semi"))
-    return _settled(written(state), edges).where("status <> 'accepted'").select("seq", F.col("status").alias("kind"), F.col("match").alias("match_file_id"))
+    state = written(up.select("seq", "file_id", "sha").join(of_upload, "seq", "left").join(known, "file_id", "left").join(hashes, "sha", "left").join(
+        stored_near.withColumnRenamed("rep", "cls"), "cls", "left").withColumns({"status": F.lit(None).cast("string"), "match": F.lit(None).cast("long")}))
+    # only wordings that can be accepted are compared with each other
+    able = state.where("s_id is null and s_bytes is null and s_near is null and cls is not null")
+    firsts = [state.where(f"{c} is not null").groupBy(c).agg(F.min("seq").alias(f"first_{c}")) for c in ("file_id", "sha")]
+    plain = written(able.where("cls = seq * 2 + 1").join(firsts[0], "file_id", "left").join(firsts[1], "sha", "left").where(
+        "coalesce(first_file_id, seq) = seq and coalesce(first_sha, seq) = seq").select(F.col("cls").alias("id")))
+    edges = earlier(upload_run.join(able.select(F.col("cls").alias("id")).distinct(), "id", "left_semi"), norms, plain, similarity=similarity)
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    return _settled(state, written(both)).where("status <> 'accepted'").select("seq", F.col("status").alias("kind"), F.col("match").alias("match_file_id"))
 
 
 def _settled(state: DataFrame, edges: DataFrame) -> DataFrame:

@@ -122,6 +122,25 @@ def test_batches_case_by_case(spark):
     assert batchdedup.repeats(uploads.where("false"), chunks).count() == 0
 
 
+def test_batches_family_over_range(spark, monkeypatch):
+    """A family larger than a block: each copy meets the stored file, or the one upload that is accepted."""
+    monkeypatch.setattr(batchdedup, "RANGE", 4)
+    base, other = words(1), words(5)
+
+    def copy(text, i, n=6):
+        return " ".join(text[:10 * (i % 11)] + [f"n{i}q{j}" for j in range(n)] + text[10 * (i % 11) + n:])
+
+    chunks = frame(spark, "id long, file_id long, parent_id long, hierarchy string, type string, content_hash string, is_search boolean, contents string",
+                   [(1, 100006, 1, "parent", "text", "", True, " ".join(base)), (2, 400, 400, "parent", "text", "", False, "x")])
+    up = [(i, 1000 + i, b"a%d" % i, [copy(base, i)]) for i in range(1, 16)]
+    up += [(20, 400, b"b20", [" ".join(other)])]  # an id: it accepts nothing, though all below agree with it
+    up += [(20 + i, 2000 + i, b"b%d" % i, [copy(other, i)]) for i in range(1, 7)]
+    uploads = frame(spark, "seq long, file_id long, content binary, pages array<string>", up)
+    got = {r[0]: (r[1], r[2]) for r in batchdedup.repeats(uploads, chunks).collect()}
+    want = {i: ("near", 100006) for i in range(1, 16)} | {20: ("id", 400)} | {20 + i: ("near", 2001) for i in range(2, 7)}
+    assert got == want
+
+
 # 4 ---------------------------------------------------------------------------------
 
 def test_pii_shapes_and_masks():
