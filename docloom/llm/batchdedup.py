@@ -17,8 +17,8 @@ Defined results
 ---------------
 * Wording: tokens ignoring case, accents, blanks, line breaks and the order of paragraphs.
   For scripts with blanks they are words, compared as multisets; for scripts without, the
-  characters covered by common runs of ``RUN`` characters. The agreement is the smaller
-  count over the longer text.
+  characters both have in the same order in runs of two or more, paragraphs being moved to
+  where they fit. The agreement is the count over the longer text.
 * Uploads without text are never ``near``; null contents are never ``bytes``; a null
   ``file_id`` is never ``id``. Rows without ``seq`` are left out, as they have no turn.
 * Of the stored matches in the first block that has one the most similar comes out, then the
@@ -50,7 +50,11 @@ SIMILARITY = 0.8
 #: Trees, and the prefix lengths of their keys that are tried, deepest first. A text that shares half of
 #: its shingles with another meets it at depth 3 in one of 32 trees with a probability of 0.99.
 TREES, LEVELS, DEPTHS = 32, 4, (4, 3)
-SHINGLE, SHINGLE_CHARS, RUN = 2, 6, 6
+CHAR_FIRST = 64
+#: Scripts without blanks have trees of their own: single changes cost them more shingles.
+CHAR_TREES, SHINGLE, SHINGLE_CHARS, RUN = 128, 2, 3, 2
+#: Up to so many tokens of such a script every level has a hash function of its own instead of a bin.
+CHAR_SHORT = 1200
 RANGE = 64
 
 #: Scripts written without blanks between words: kana, Han, Thai, Lao, Khmer, Burmese.
@@ -79,18 +83,12 @@ class _Hashes(dict):
         return h
 
 
-def signature(paragraphs: list[list[str]], memo: _Hashes) -> np.ndarray:
-    """Keys of a text in the trees: LEVELS min-hash values of 16 bits each, most significant first.
-
-    One pass of one-permutation hashing over the shingles of all paragraphs; bins that stay
-    empty borrow from the next filled one, marked by the distance.
-    """
+def _shingles(paragraphs: list[list[str]], memo: _Hashes, k: int) -> np.ndarray:
+    """Hashes of the runs of ``k`` tokens within paragraphs."""
     parts = []
-    bins = TREES * LEVELS
     with np.errstate(over="ignore"):
         for toks in paragraphs:
             h = np.fromiter(map(memo.__getitem__, toks), dtype=np.uint64, count=len(toks))
-            k = SHINGLE_CHARS if sum(map(len, toks)) < 2 * len(toks) else SHINGLE
             n = max(1, len(h) - k + 1)
             s = np.zeros(n, dtype=np.uint64)
             for j in range(min(k, len(h))):
@@ -98,7 +96,23 @@ def signature(paragraphs: list[list[str]], memo: _Hashes) -> np.ndarray:
             parts.append(s)
         h = np.concatenate(parts)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+        return h ^ (h >> np.uint64(29))
+
+
+def _keys(value: np.ndarray, trees: int) -> np.ndarray:
+    """Keys of the trees, most significant level first, so that one tree's levels lie far apart."""
+    value = value.reshape(LEVELS, trees).T
+    key = np.zeros(trees, dtype=np.uint64)
+    for i in range(LEVELS):
+        key = (key << np.uint64(16)) | value[:, i]
+    return key.view(np.int64)
+
+
+def _binned(h: np.ndarray, trees: int) -> np.ndarray:
+    """One pass of one-permutation hashing; bins that stay empty borrow from the next filled
+    one, marked by the distance."""
+    bins = trees * LEVELS
+    with np.errstate(over="ignore"):
         h = np.sort(h)  # the bin is in the upper bits: its least value comes first
         place = ((h >> np.uint64(48)) * np.uint64(bins)) >> np.uint64(16)
         filled, first = np.unique(place, return_index=True)
@@ -112,39 +126,111 @@ def signature(paragraphs: list[list[str]], memo: _Hashes) -> np.ndarray:
             source = filled[at % len(filled)]
             away = (source - empty) % bins
             value[empty] = (value[source] + away.astype(np.uint64) * np.uint64(0x51ED)) & np.uint64(0xFFFF)
-        # spread over the trees, so that one tree's levels do not borrow from each other
-        value = value.reshape(LEVELS, TREES).T
-        key = np.zeros(TREES, dtype=np.uint64)
-        for i in range(LEVELS):
-            key = (key << np.uint64(16)) | value[:, i]
-    return key.view(np.int64)
+    return _keys(value, trees)
+
+
+_SEEDS = np.random.default_rng(17).integers(0, 2**63, (2, 4 * 128), dtype=np.uint64)
+
+
+def _separate(h: np.ndarray, trees: int) -> np.ndarray:
+    """Min-hash with one function a level: trees stay independent however few shingles there are."""
+    n = trees * LEVELS
+    with np.errstate(over="ignore"):
+        mixed = (np.unique(h)[:, None] ^ _SEEDS[0, :n]) * (_SEEDS[1, :n] | np.uint64(1))
+        mixed ^= mixed >> np.uint64(32)
+        value = ((mixed * np.uint64(0xD6E8FEB86659FD93)).min(axis=0) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+    return _keys(value, trees)
+
+
+def signature(paragraphs: list[list[str]], memo: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the trees a text is in, and its keys there.
+
+    Which trees follows from script and length; a text near a border is in those of both
+    sides, so that texts that agree in four fifths always share a kind of tree.
+    """
+    count = sum(map(len, paragraphs))
+    mean = sum(len(t) for p in paragraphs for t in p) / count
+    kinds = []
+    if mean >= 1.5:
+        kinds.append((0, _binned(_shingles(paragraphs, memo, SHINGLE), TREES)))
+    if mean < 2.7:
+        h = _shingles(paragraphs, memo, SHINGLE_CHARS)
+        if count <= CHAR_SHORT:
+            kinds.append((CHAR_FIRST, _separate(h, CHAR_TREES)))
+        if count >= CHAR_SHORT * SIMILARITY:
+            kinds.append((CHAR_FIRST + CHAR_TREES, _binned(h, CHAR_TREES)))
+    return np.concatenate([np.arange(f, f + len(k), dtype=np.int32) for f, k in kinds]), np.concatenate([k for _, k in kinds])
+
+
+def _in_order(x: np.ndarray, y: np.ndarray) -> int:
+    """Most tokens both have in the same order, in runs of at least ``RUN`` = 2."""
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    head = int(differ[0]) if len(differ) else n
+    head = head if head >= RUN else 0
+    x, y = x[head:], y[head:]
+    if not len(x) or not len(y):
+        return head
+    m = len(y)
+    older = best = np.zeros(m + 1, dtype=np.int32)
+    run, same = np.full(m, -(1 << 30), dtype=np.int32), np.zeros(m, dtype=bool)
+    for c in x:
+        now = y == c
+        at = np.flatnonzero(now[1:] & same[:-1]) + 1
+        grown = np.full(m, -(1 << 30), dtype=np.int32)
+        new = best
+        if len(at):
+            grown[at] = np.maximum(run[at - 1] + 1, older[at - 1] + 2)
+            new = best.copy()
+            new[at + 1] = np.maximum(new[at + 1], grown[at])
+            new = np.maximum.accumulate(new)
+        older, best, run, same = best, new, grown, now
+    return head + int(best[-1])
+
+
+def _aligned(a: list[list[str]], b: list[list[str]]) -> float:
+    """Share of the longer text's tokens that both have in order, paragraphs moved as fits best."""
+    number: dict[str, int] = {}
+    xs, ys = ([np.array([number.setdefault(t, len(number)) for t in p], dtype=np.int64) for p in ps] for ps in (a, b))
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    most = max(len(x), len(y))
+
+    def grams(t: np.ndarray) -> Counter:
+        return Counter((t[:-1] * len(number) + t[1:]).tolist())
+
+    # runs of two tokens or more hold at least half as many pairs of neighbours
+    if 2 * sum((grams(x) & grams(y)).values()) + 2 * (len(xs) + len(ys)) < SIMILARITY * most:
+        return 0.0
+    best = _in_order(x, y)
+    if best < most and len(xs) + len(ys) > 2:
+        for ps, other in ((xs, y), (ys, x)):
+            if len(ps) > 1:
+                at: dict[int, list[int]] = {}
+                for i, g in enumerate((other[:-2] * len(number) + other[1:-1]) * len(number) + other[2:]):
+                    at.setdefault(int(g), []).append(i)
+
+                def place(p: np.ndarray) -> float:
+                    spots = sorted(i - k for k, g in enumerate((p[:-2] * len(number) + p[1:-1]) * len(number) + p[2:]) for i in at.get(int(g), ())[:4])
+                    return spots[len(spots) // 2] if spots else len(other)
+
+                best = max(best, _in_order(np.concatenate(sorted(ps, key=place)), other))
+    return best / most
 
 
 def agreement(a: str, b: str) -> float:
     """Share of the longer one's wording that both normalised texts have."""
-    x, y = a.split(" "), b.split(" ")
+    x, y = a.split(), b.split()
     most = max(len(x), len(y))
-    if sum(map(len, x)) >= 2 * len(x) or most < RUN:
+    if all(sum(map(len, t)) >= 2 * len(t) for t in (x, y)) or most < 6:
         return sum((Counter(x) & Counter(y)).values()) / most
-    grams = [{"".join(t[i: i + RUN]) for i in range(len(t) - RUN + 1)} for t in (x, y)]
-    common = grams[0] & grams[1]
-
-    def covered(t: list[str]) -> int:
-        total = until = 0
-        for i in range(len(t) - RUN + 1):
-            if "".join(t[i: i + RUN]) in common:
-                total += i + RUN - max(until, i)
-                until = i + RUN
-        return total
-
-    return min(covered(x), covered(y)) / most
+    return _aligned([p.split() for p in a.split("\n")], [p.split() for p in b.split("\n")])
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
-    """``(id, cls, norm, trees)`` of rows ``(id, text)``; no row for blank texts.
+    """``(id, cls, norm, trees, keys)`` of rows ``(id, text)``; no row for blank texts.
 
     ``cls`` is the same for texts of the same wording, ``norm`` the tokens with paragraphs
-    in sorted order, ``trees`` the keys.
+    as lines, ``trees`` and ``keys`` the forest's.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,19 +241,19 @@ def texts_of(docs: DataFrame) -> DataFrame:
                 paragraphs = [t for p in _PARAGRAPH.split(text) if (t := tokens(p))]
                 if not paragraphs:
                     continue
-                norm = sorted(" ".join(t) for t in paragraphs)
-                rows.append((number, hashlib.blake2b("\n".join(norm).encode("utf-8", "surrogatepass"), digest_size=16).digest(), " ".join(norm),
-                             signature(paragraphs, memo)))
+                norm = [" ".join(t) for t in paragraphs]
+                rows.append((number, hashlib.blake2b("\n".join(sorted(norm)).encode("utf-8", "surrogatepass"), digest_size=16).digest(), "\n".join(norm),
+                             *signature(paragraphs, memo)))
                 if len(memo) > 200_000:
                     memo.clear()
-            yield pd.DataFrame(rows, columns=["id", "cls", "norm", "trees"])
+            yield pd.DataFrame(rows, columns=["id", "cls", "norm", "trees", "keys"])
 
-    return docs.where("text is not null").mapInPandas(run, "id long, cls binary, norm string, trees array<long>")
+    return docs.where("text is not null").mapInPandas(run, "id long, cls binary, norm string, trees array<int>, keys array<long>")
 
 
 def index_run(texts: DataFrame) -> DataFrame:
     """One sorted run of the forest: a row a tree and text, ``(tree, key, id)``, ordered by tree and key."""
-    rows = texts.select(F.posexplode("trees").alias("tree", "key"), "id").withColumn("tree", F.col("tree").cast("byte"))
+    rows = texts.select(F.explode(F.arrays_zip("trees", "keys")).alias("k"), "id").select(F.col("k.trees").cast("short").alias("tree"), F.col("k.keys").alias("key"), "id")
     return written(rows.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key"))
 
 
@@ -179,6 +265,11 @@ def merged(*runs: DataFrame) -> DataFrame:
     return out
 
 
+def _count():
+    """Number of tokens of a normalised text."""
+    return F.expr("length(norm) - length(translate(norm, ' \\n', '')) + 1")
+
+
 def _verified(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose whole texts agree; only texts that are in some pair are moved."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -188,10 +279,10 @@ def _verified(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFram
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([agreement(p, q) for p, q in zip(x, y)], dtype="float64")
 
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("_x"), F.length("norm").alias("_n")), "a")
-    right = texts.select(F.col("id").alias("b"), F.col("norm").alias("_y"), F.length("norm").alias("_m"))
-    # lengths alone rule many hits out, before any text is moved into Python
-    near = left.join(right, "b").where(f"least(_n, _m) >= {similarity * 0.8} * greatest(_n, _m)")
+    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("_x"), _count().alias("_n")), "a")
+    right = texts.select(F.col("id").alias("b"), F.col("norm").alias("_y"), _count().alias("_m"))
+    # numbers of tokens alone rule many hits out, before any text is moved into Python
+    near = left.join(right, "b").where(f"least(_n, _m) >= {similarity} * greatest(_n, _m)")
     return near.select("a", "b", agree("_x", "_y").alias("sim")).where(F.col("sim") >= similarity)
 
 
@@ -277,7 +368,7 @@ def repeats(uploads: DataFrame, chunks: DataFrame, *, similarity: float = SIMILA
     # one id a distinct wording: its smallest file, else its first upload
     classes = texts.select("id", "cls").groupBy("cls").agg(F.min(F.struct((~is_stored).alias("n"), F.col("id"))).getField("id").alias("rep"), F.max(~is_stored).alias("new"))
     of_text = written(texts.select("id", "cls").join(classes, "cls").select("id", "rep", "new"))
-    keys = texts.select("id", "trees").join(of_text.where("id = rep").select("id", "new"), "id")
+    keys = texts.select("id", "trees", "keys").join(of_text.where("id = rep").select("id", "new"), "id")
     stored_run, upload_run = index_run(keys.where(is_stored)), index_run(keys.where(~is_stored))
     norms = texts.select("id", "norm")
     to_stored = matches(stored_run, upload_run, norms, similarity=similarity)

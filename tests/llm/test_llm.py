@@ -141,6 +141,40 @@ def test_batches_family_over_range(spark, monkeypatch):
     assert got == want
 
 
+def scattered(seed, tokens, share, alphabet):
+    """The tokens with a share of them, picked at random, replaced by others."""
+    rng = np.random.default_rng(seed)
+    out = list(tokens)
+    for i in rng.choice(len(out), int(len(out) * share), replace=False):
+        out[i] = alphabet[int(rng.integers(len(alphabet)))]
+    return out
+
+
+HAN, THAI = [chr(0x4E00 + i) for i in range(900)], [chr(0x0E01 + i) for i in range(46)]
+
+
+def share_a_tree(a, b, depth=3):
+    memo = batchdedup._Hashes()
+    keys = [{(t, k >> 16 * (4 - depth)) for t, k in zip(*(v.tolist() for v in batchdedup.signature([x], memo)))} for x in (a, b)]
+    return bool(keys[0] & keys[1])
+
+
+def test_unspaced_scripts():
+    rng = np.random.default_rng(2)
+    met = 0
+    for i in range(60):
+        alphabet = (HAN, THAI)[i % 2]
+        a = [alphabet[int(x)] for x in rng.integers(0, len(alphabet), 150 + 8 * i)]
+        b = scattered(i, a, 0.15, alphabet)
+        assert batchdedup.agreement(" ".join(a), " ".join(b)) >= 0.8
+        assert batchdedup.agreement(" ".join(a), " ".join(scattered(i, a, 0.3, alphabet))) < 0.8
+        half = len(a) // 2
+        moved = " ".join(b[half:]) + "\n" + " ".join(b[:half])
+        assert batchdedup.agreement(" ".join(a[:half]) + "\n" + " ".join(a[half:]), moved) >= 0.8
+        met += share_a_tree(a, scattered(i, a, 0.2, alphabet))
+    assert met >= 57
+
+
 # 4 ---------------------------------------------------------------------------------
 
 def test_pii_shapes_and_masks():
