@@ -4,8 +4,8 @@ Prefix-tree hash forest. Every distinct text has a signature of min-hash values
 shingles; ``TREES`` slices of it are the keys of as many trees, and a tree is kept as a run
 of rows sorted by (tree, key), which is what makes a prefix a range. New texts look up the
 range of their own key prefix in each tree, deepest first; what finds no verified match is
-looked up again with shorter prefixes until the depth at which ``recall`` is reached for
-texts at the similarity wanted. Hits are verified on the whole texts. Accepted texts form a
+looked up again with the shorter prefixes of ``DEPTHS``. Script and length choose the kind of
+trees, so that texts at the similarity wanted meet there (see ``WORD_FIRST`` for short ones). Hits are verified on the whole texts. Accepted texts form a
 run of their own, merged into the index without touching the older runs' signatures.
 
 What an upload repeats depends on which earlier uploads were accepted. That is settled in
@@ -50,7 +50,11 @@ SIMILARITY = 0.8
 #: Trees, and the prefix lengths of their keys that are tried, deepest first. A text that shares half of
 #: its shingles with another meets it at depth 3 in one of 32 trees with a probability of 0.99.
 TREES, LEVELS, DEPTHS = 32, 4, (4, 3)
-CHAR_FIRST = 64
+#: Numbers of the first tree for short texts of words, and for scripts without blanks; up to
+#: ``SHORT`` words a text is short. Those trees hold the words themselves with one hash function a
+#: level: agreement in four fifths is 2/3 of their union, so 32 whole keys meet with 1 - (1 - (2/3)^4)^32
+#: = 0.999 whatever the length and the place of changes, and no shorter prefix is tried.
+WORD_FIRST, CHAR_FIRST, SHORT = 32, 64, 256
 #: Scripts without blanks have trees of their own: single changes cost them more shingles.
 CHAR_TREES, SHINGLE, SHINGLE_CHARS, RUN = 128, 2, 3, 2
 #: Up to so many tokens of such a script every level has a hash function of its own instead of a bin.
@@ -99,6 +103,20 @@ def _shingles(paragraphs: list[list[str]], memo: _Hashes, k: int) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
+def _counted(paragraphs: list[list[str]], memo: _Hashes) -> np.ndarray:
+    """Hashes of the words, each with the number of its earlier occurrences, as multisets compare them."""
+    seen: Counter = Counter()
+    out = []
+    for p in paragraphs:
+        for t in p:
+            out.append((memo[t] + seen[t] * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+            seen[t] += 1
+    h = np.array(out, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
+
+
 def _keys(value: np.ndarray, trees: int) -> np.ndarray:
     """Keys of the trees, most significant level first, so that one tree's levels lie far apart."""
     value = value.reshape(LEVELS, trees).T
@@ -152,7 +170,10 @@ def signature(paragraphs: list[list[str]], memo: _Hashes) -> tuple[np.ndarray, n
     mean = sum(len(t) for p in paragraphs for t in p) / count
     kinds = []
     if mean >= 1.5:
-        kinds.append((0, _binned(_shingles(paragraphs, memo, SHINGLE), TREES)))
+        if count <= SHORT:
+            kinds.append((WORD_FIRST, _separate(_counted(paragraphs, memo), TREES)))
+        if count >= SHORT * SIMILARITY:
+            kinds.append((0, _binned(_shingles(paragraphs, memo, SHINGLE), TREES)))
     if mean < 2.7:
         h = _shingles(paragraphs, memo, SHINGLE_CHARS)
         if count <= CHAR_SHORT:
@@ -286,8 +307,12 @@ def _verified(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFram
     return near.select("a", "b", agree("_x", "_y").alias("sim")).where(F.col("sim") >= similarity)
 
 
+def _short():
+    return F.col("tree").between(WORD_FIRST, WORD_FIRST + TREES - 1)
+
+
 def _prefix(depth: int):
-    return F.shiftright("key", 16 * (LEVELS - depth)).alias("prefix")
+    return F.when(_short(), F.col("key")).otherwise(F.shiftright("key", 16 * (LEVELS - depth))).alias("prefix")
 
 
 def matches(index: DataFrame, batch: DataFrame, norms: DataFrame, *, similarity: float = SIMILARITY,
@@ -301,6 +326,8 @@ def matches(index: DataFrame, batch: DataFrame, norms: DataFrame, *, similarity:
     found: DataFrame | None = None
     open_batch = batch
     for depth in depths:
+        if depth < depths[0]:  # short texts have met by whole keys
+            open_batch = open_batch.where(~_short())
         seek = open_batch.select("tree", _prefix(depth), F.col("id").alias("a"))
         ranges = index.select("tree", _prefix(depth), F.col("id").alias("b")).join(seek.select("tree", "prefix").distinct(), ["tree", "prefix"], "left_semi")
         ranked = written(ranges.select("tree", "prefix", "b", F.expr(

@@ -175,6 +175,15 @@ def test_unspaced_scripts():
     assert met >= 57
 
 
+def test_short_texts_meet():
+    for n in (10, 20, 40, 80, 240):
+        met = 0
+        for i in range(100):
+            a = words(i, n)
+            met += share_a_tree(a, scattered(i, a, 0.2, [f"other{j}" for j in range(999)]), depth=4)
+        assert met >= 98
+
+
 # 4 ---------------------------------------------------------------------------------
 
 def test_pii_shapes_and_masks():
