@@ -171,7 +171,7 @@ def _prose_like(comp: np.ndarray) -> np.ndarray:
 
 
 def encoded(documents: DataFrame, doc_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, k, n)``: one byte a token for its class and one for its length (255 at most)."""
+    """``(doc_id, k, n)``: one byte a token for its class and four for its length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -179,7 +179,7 @@ def encoded(documents: DataFrame, doc_col: str, text_col: str) -> DataFrame:
             for d, t in zip(pdf["doc_id"], pdf["_text"]):
                 k, n = classes(t)
                 if len(k):
-                    rows.append((d, k.tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes()))
+                    rows.append((d, k.tobytes(), n.astype(np.int32).tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "k", "n"]).astype({"doc_id": "int64"})
 
     docs = documents.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).where("_text is not null and doc_id is not null")
@@ -293,7 +293,7 @@ def scored(documents: DataFrame, *, doc_col: str = "doc_id", text_col: str = "te
         for pdf in batches:
             rows = []
             for d, kb, nb in zip(pdf["doc_id"], pdf["k"], pdf["n"]):
-                k, n = np.frombuffer(kb, dtype=np.uint8), np.frombuffer(nb, dtype=np.uint8)
+                k, n = np.frombuffer(kb, dtype=np.uint8), np.frombuffer(nb, dtype=np.int32)
                 w, comp, script, score = _window_scores(k, model)
                 chars = np.bincount(w, weights=n, minlength=len(comp))
                 bad = _abnormal(comp, script, score, limits)

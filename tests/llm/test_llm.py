@@ -357,6 +357,13 @@ def test_spam_cases(spark):
     assert spam.scored(df.where("false")).count() == 0
 
 
+def test_long_tokens_keep_their_length(spark):
+    df = frame(spark, "doc_id long, text string", [(1, "short " + "x" * 4000 + " words")])
+    row = spam.encoded(df, "doc_id", "text").first()
+    lengths = np.frombuffer(row["n"], dtype=np.int32)
+    assert len(lengths) == len(row["k"]) and lengths.max() >= 4000
+
+
 def test_classes_mark_recurrence():
     k, n = spam.classes("alpha beta alpha alpha")
     assert list(k) == [spam.KIND["new"], spam.KIND["new"], spam.KIND["again"], spam.KIND["often"]] and list(n) == [5, 4, 5, 5]
