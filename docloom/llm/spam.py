@@ -20,7 +20,8 @@ Training
 Defined results
 ---------------
 * Null, empty and blank texts are not flagged: they hold no material.
-* A text of one window or less is judged as that window.
+* A text of one window or less is judged as that window; one of fewer than three tokens has
+  no trigram to judge and is not flagged.
 * Repeated rows get the same verdict each; extra columns are ignored.
 * Empty tables give an empty result.
 * If no window looks like prose at all (a table of nothing but spam), the model is uniform
@@ -49,8 +50,8 @@ FUNCTION_WORDS = {
     "preposition": "of to in on at by for from with into than zu von mit für auf aus nach bei im am vom zum zur de d à au aux en dans par pour sur avec selon "
                    "w z ze na do od po o u za dla przez przy według",
     "conjunction": "and or not nor und oder et ou i oraz lub a nie",
-    "relative": "which that this wherein whereby said it its wobei dass sich dadurch qui que dont ledit dans lequel że się który która które którym jako",
-    "verb": "is are be has have comprising including ist sind wird werden est sont jest są",
+    "relative": "which that this wherein whereby it its wobei dass sich dadurch qui que dont lequel że się który która które którym jako",
+    "verb": "is are be has have including ist sind wird werden est sont jest są",
     "particle": "的与是在和于对并以及或其所中将为了のにをはがとでもへやから",
 }
 _CJK = "぀-ヿ㐀-䶿一-鿿"
@@ -76,6 +77,9 @@ _MARKS = {**dict.fromkeys(".!?。！？", "dot"), **dict.fromkeys(",，、;；:
 BINS, BIN_LOW, BIN_HIGH = 800, -8.0, 0.0
 #: No single token counts for less: foreign or broken bits do not decide about a window.
 FLOOR = -6.0
+#: A context is trusted beyond the shorter one by its share of all training tokens, not by its bare
+#: count: so many of them for each kind of class seen after it are put in from the shorter context.
+TRUST = 1e-5
 
 
 class _Memo(dict):
@@ -165,9 +169,9 @@ def _script(comp: np.ndarray) -> np.ndarray:
 
 
 def _prose_like(comp: np.ndarray) -> np.ndarray:
-    """Windows used for training: function words between mostly fresh content words."""
+    """Windows used for training: function words between mostly fresh content words, none of them stuffed."""
     fresh = comp[:, 1] > 1.5 * comp[:, 2]
-    return (comp[:, 0] > 0.15) & fresh & (comp[:, 3] < 0.03) & (comp[:, 4] < 0.2) & (comp[:, 7] < 0.25) & (comp[:, 5] < 0.03)
+    return (comp[:, 0] > 0.15) & fresh & (comp[:, 3] < 0.03) & (comp[:, 4] < 0.2) & (comp[:, 7] < 0.25) & (comp[:, 5] == 0)
 
 
 def encoded(documents: DataFrame, doc_col: str, text_col: str) -> DataFrame:
@@ -226,12 +230,19 @@ def _counts(enc: DataFrame) -> np.ndarray:
 
 
 def _log_model(counts: np.ndarray) -> np.ndarray:
-    """Log-probabilities of the interpolated trigram model, for both scripts."""
-    uni = counts.sum(axis=(1, 2)) + 0.5
+    """Log-probabilities of the interpolated trigram model, for both scripts.
+
+    Weights depend on shares of the training tokens, so that the same documents many times
+    over give the same model; tables of under ``1 / TRUST`` tokens count in whole tokens.
+    """
+    total = counts.sum(axis=(1, 2, 3))
+    weight = np.maximum(1.0, total * TRUST)[:, None, None]
+    uni = counts.sum(axis=(1, 2)) + 0.5 * weight[:, 0]
     uni /= uni.sum(axis=1, keepdims=True)
     lower = uni[:, None, :]
     for c in (counts.sum(axis=1), counts):
-        seen, kinds = c.sum(axis=-1, keepdims=True), (c > 0).sum(axis=-1, keepdims=True) + 1
+        w = weight if c.ndim == 3 else weight[..., None]
+        seen, kinds = c.sum(axis=-1, keepdims=True), ((c > 0).sum(axis=-1, keepdims=True) + 1) * w
         p = (c + kinds * lower) / (seen + kinds)
         lower = p[:, None] if c.ndim == 3 else p
     return np.maximum(np.log(lower), FLOOR).astype(np.float32).reshape(2, -1)
@@ -242,7 +253,7 @@ def _window_scores(k: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.nda
     comp = _composition(k, w)
     script = _script(comp)
     if len(k) < 3:
-        return w, comp, script, np.full(len(comp), BIN_LOW)
+        return w, comp, script, np.full(len(comp), np.nan)  # compares as neither too low nor too high
     lp = model[script[w[2:]], _trigrams(k)]
     inside = np.bincount(w[2:], minlength=len(comp))
     return w, comp, script, np.bincount(w[2:], weights=lp, minlength=len(comp)) / np.maximum(inside, 1)
@@ -255,7 +266,10 @@ def _limits(enc: DataFrame, model: np.ndarray) -> np.ndarray:
         hist = np.zeros((2, BINS), dtype=np.int64)
         for pdf in batches:
             for kb in pdf["k"]:
-                _, comp, script, score = _window_scores(np.frombuffer(kb, dtype=np.uint8), model)
+                k = np.frombuffer(kb, dtype=np.uint8)
+                if len(k) < 3:
+                    continue
+                _, comp, script, score = _window_scores(k, model)
                 b = np.clip(((score - BIN_LOW) / (BIN_HIGH - BIN_LOW) * BINS).astype(int), 0, BINS - 1)
                 ok = _prose_like(comp)
                 for s in (0, 1):
@@ -273,7 +287,7 @@ def _limits(enc: DataFrame, model: np.ndarray) -> np.ndarray:
             out[s] = (-np.inf, np.inf)
             continue
         cum = np.cumsum(hist[s]) / hist[s].sum()
-        lo, mid, hi = (centre[np.searchsorted(cum, q)] for q in (0.1587, 0.5, 0.8413))
+        lo, mid, hi = (centre[np.searchsorted(cum, q)] for q in (0.1587, 0.5, 0.8413))  # one spread below, middle, one above
         spread = max((hi - lo) / 2, 0.02)
         out[s] = (mid - LOW_SPREADS * spread, mid + HIGH_SPREADS * spread)
     return out

@@ -357,6 +357,31 @@ def test_spam_cases(spark):
     assert spam.scored(df.where("false")).count() == 0
 
 
+def test_spam_verdict_does_not_depend_on_the_size():
+    """The same documents 1, 10, 100 and 1,000 times over give one verdict each, repeated classes included."""
+    texts = [prose(i) for i in range(60)] + [prose(70) + " shoes" * 3 + " " + prose(71)]
+    tests = {"stuffed": "buy cheap shoes " * 150, "one word": "shoes " * 300, "pairs": "alpha beta gamma delta " * 90, "tags": " ".join(f"#tag{i % 5}" for i in range(300)), "prose": prose(99)}
+    base = sum(spam._window_counts(spam.classes(t)[0]) for t in texts).reshape(2, *[spam.CLASSES] * 3).astype(float)
+    verdicts = []
+    for times in (1, 10, 100, 1000):
+        model = spam._log_model(base * times)
+        scores = np.concatenate([spam._window_scores(spam.classes(t)[0], model)[3] for t in texts])
+        lo, mid, hi = np.quantile(scores, (0.1587, 0.5, 0.8413))
+        spread = max((hi - lo) / 2, 0.02)
+        limits = np.array([[mid - spam.LOW_SPREADS * spread, mid + spam.HIGH_SPREADS * spread]] * 2)
+        row = {}
+        for name, t in tests.items():
+            w, comp, script, score = spam._window_scores(spam.classes(t)[0], model)
+            row[name] = bool(spam._abnormal(comp, script, score, limits).mean() > 0.5)
+        verdicts.append(row)
+    assert all(v == {"stuffed": True, "one word": True, "pairs": True, "tags": True, "prose": False} for v in verdicts), verdicts
+
+
+def test_spam_few_tokens(spark):
+    df = frame(spark, "doc_id long, text string", [(1, "word"), (2, "two words")] + [(10 + i, prose(i)) for i in range(10)])
+    assert {r.doc_id for r in spam.scored(df).where("abnormal > 0.5").collect()} == set()
+
+
 def test_long_tokens_keep_their_length(spark):
     df = frame(spark, "doc_id long, text string", [(1, "short " + "x" * 4000 + " words")])
     row = spam.encoded(df, "doc_id", "text").first()
