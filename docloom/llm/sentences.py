@@ -1,19 +1,34 @@
 """Problem 1: sentence boundaries across languages and scripts.
 
-Hidden-event n-gram language model: between words stands a hidden event, boundary or none.
-Its chance depends on the word before (with its stop), the chance of the next word depends
-on the event, and events depend on how many words ago the last one was; forward-backward
-over a block gives each gap's posterior, and gaps above one half become boundaries. Only
-gaps that can hold a boundary enter the lattice: after sentence marks, and after blanks in
-scripts that have no marks; every other gap has the event "none".
-
-The model is trained on the table itself, without labels. Ends of blocks are certain
-boundaries and plain gaps certain none. A word type that is often followed by a stop but
-never ends a block can end no sentence (an abbreviation); one that usually stands without a
-stop is an ordinary word. Counts cover all rows, in hashed tables of a fixed size.
-
-Structure comes first: a blank line ends a sentence, items of a list are sentences, and
-nothing inside paired quotes or brackets is a gap of the lattice.
+Hidden-event n-gram language model. Between words stands a hidden event, boundary or none,
+and the model is one of words and events together:
+
+* ``P(event | history, token)``: the token is the word before the gap with its stop, the history
+  the word before that or, where the token opens a sentence, the boundary event itself; it
+  backs off to the token alone and then to its shape;
+* ``P(next word | event, ...)``: after a boundary the history is the event alone, otherwise the
+  class of the next word depends on the token before it, backing off to the token's shape, and
+  the word itself is drawn from words within sentences.
+
+Forward-backward over a block gives the posterior of every gap, and gaps above one half become
+boundaries. In scripts with marks a gap without a mark has no boundary in any certain place, so
+its event is "none" and the lattice leaves it out; in scripts without marks (Thai, Lao, Khmer,
+Burmese) the gaps are the blanks, in the same lattice with the same probabilities.
+
+Training, on the table itself and without labels
+------------------------------------------------
+1. Certain places are counted: ends of blocks and strong marks before anything but a small letter
+   are boundaries, words without a stop are within sentences. Expectation maximisation over the counts by token, in which the end
+   of a block is an observation only a boundary can give, yields first probabilities. So a token
+   with a stop that never ends a block (an abbreviation) gets none, without any list of them.
+2. With these, forward-backward runs over all gaps of all texts; the expected counts by history,
+   token and next word are the n-grams of the final model.
+
+All counts are rates against priors of fixed weight, and tables of hashed tokens of a fixed size.
+
+Structure comes first: a blank line ends a sentence, items of a list are sentences, nothing
+inside paired quotes or brackets is a gap of the lattice, and in scripts without marks a
+blank next to a number is none.
 
 Defined results
 ---------------
@@ -39,7 +54,8 @@ from pyspark.sql import functions as F
 
 from docloom.runtime import table
 
-BUCKETS, WORD_BUCKETS = 1 << 18, 1 << 20
+#: Hashed table sizes: tokens a shape, histories a token, next words.
+TOKENS, HISTORIES, WORDS = 1 << 14, 1 << 10, 1 << 18
 THRESHOLD = 0.5
 
 #: Marks that end sentences, by how far they decide alone; quotes and brackets in pairs.
@@ -50,21 +66,18 @@ _CLOSE = "".join(_OPEN.values())
 _PAIRS = re.compile(f"[{re.escape(''.join(_OPEN) + _CLOSE)}\"]")
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
 _ITEM = re.compile(r"[^\S\n]*(?:[-•–*·‣]|\(?\d{1,3}[.)]|\(?[^\W\d_]\)|\(?[ivxIVX]{1,5}[.)])\s")
-_THAI, _UNSPACED = "฀-๿", "぀-ヿ㐀-䶿一-鿿"
+#: Scripts without blanks between words: those without sentence marks, and Han and kana.
+_THAI, _UNSPACED = "฀-๿຀-໿ក-៿က-႟", "぀-ヿ㐀-䶿一-鿿"
 _END = re.compile(rf"([{re.escape(_STRONG + _WEAK)}]+)([\"{re.escape(_CLOSE)}]*)")
 _GREEK_END = re.compile(rf"([{re.escape(_STRONG + _WEAK)};;]+)([\"{re.escape(_CLOSE)}]*)")
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
-_LEFT = re.compile(r"[^\s\"„“”«»()\[\]「」『』（）]+$")
+#: What a token ends at besides blanks.
+_EDGE = frozenset("\"„“”«»()[]「」『』（）")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?")
 _NEXT = re.compile(r"\S")
-#: Abbreviations after which a sentence goes on, as a prior for small tables.
-_ABBREVIATIONS = frozenset(
-    "art ust pkt nr tj np ww ds tzw ul al zob por cyt wg m.in lit rozdz par str poz tab zał sygn godz dr mgr inż prof im os pl św jw ok "
-    "mr mrs ms sec fig approx e.g i.e cf no vs st dr abs bzw z.b gem vgl inkl zzgl d.h u.a nr evtl ca art mme m av bd "
-    "т.зв ст п ін див ім вул стор αρ π.χ κ.λπ βλ σελ".split())
 
 
-def _bucket(word: str, size: int = BUCKETS) -> int:
+def _bucket(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % size
 
 
@@ -121,12 +134,15 @@ def _enclosed(text: str, a: int, b: int) -> list[tuple[int, int]]:
 
 
 class Gap:
-    """A place where a sentence may end: after ``at``; what stands before and after it."""
+    """A place where a sentence may end: after ``at``; the token before it, what precedes that, and the next word.
+
+    ``first`` tells that no word stands between the token and the gap before.
+    """
 
-    __slots__ = ("at", "left", "word", "right", "words")
+    __slots__ = ("at", "left", "before", "word", "right", "first")
 
-    def __init__(self, at: int, left: str, word: str, right: str, words: int):
-        self.at, self.left, self.word, self.right, self.words = at, left, word, right, words
+    def __init__(self, at: int, left: str, before: str, word: str, right: str, first: bool):
+        self.at, self.left, self.before, self.word, self.right, self.first = at, left, before, word, right, first
 
 
 _FIRST_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -148,33 +164,82 @@ def _right_class(text: str, at: int, b: int) -> str:
     return "d" if c.isdigit() else "x"
 
 
-def _left_type(text: str, a: int, at: int) -> str:
-    """Type of the token before a stop."""
-    m = _LEFT.search(text, max(a, at - 40), at)
-    token = m.group() if m else ""
+def _token(text: str, a: int, at: int) -> str:
+    """The token that ends at a stop, up to the blank, quote or bracket before it."""
+    start = at
+    while start > a and not text[start - 1].isspace() and text[start - 1] not in _EDGE:
+        start -= 1
+    return text[start:at]
+
+
+_SITE = re.compile(r"\w{3,}[.-]\w{2,}")
+
+
+def _left_type(token: str) -> str:
+    """Type of the token before a stop: the word itself, or its shape for numbers, initials and addresses."""
     if not token:
         return "<C>"  # a closing quote or bracket
-    if "@" in token or "/" in token or re.search(r"\w{3,}[.-]\w{2,}", token):
+    if "@" in token or "/" in token or _SITE.search(token):
         return "<URL>"
     if token[-1].isdigit():
-        whole = re.sub(r"\D", "", token)
-        before = text[max(a, at - len(token) - 12): at - len(token)].split()
-        return f"<N{min(len(whole), 4)}{'.' if '.' in token or ',' in token else ''}> {before[-1].lower() if before else ''}"
-    if len(token) <= 3 and "." not in token and (len(token) > 1 or token.islower()):
-        before = text[max(a, at - len(token) - 12): at - len(token)].split()
-        last = before[-1].lower() if before else ""
-        return f"{token.lower()} {'#' if last[-1:].isdigit() else last}"
-    if len(token) == 1 and token.isalpha():
-        return f"<I>{'U' if token.isupper() else token}" if token.isupper() or token.islower() else token
+        digits = sum(c.isdigit() for c in token)
+        return f"<N{min(digits, 4)}{'.' if '.' in token or ',' in token else ''}>"
+    if len(token) == 1 and token.isupper():
+        return "<I>"
     return token.lower()
 
 
+def _before(text: str, a: int, at: int) -> str:
+    """The word before a token, as history: itself, or ``#`` for numbers; empty at the start."""
+    end = at
+    while end > a and text[end - 1].isspace():
+        end -= 1
+    word = _token(text, a, end) or text[max(a, end - 1): end]
+    return "#" if word[-1:].isdigit() else word.lower()
+
+
+_SPECIAL = {"<S>": 0, "<E>": 1, "<QS>": 2, "<QM>": 3, "<C>": 4, "<URL>": 5, "<N1>": 6, "<N2>": 7, "<N3>": 8, "<N4>": 8, "<I>": 10, "<T>": 16}
+SHAPES, CASELESS = 17, 17
+CLASSES = "Uldcoqx$"
+_PLACE = {c: i for i, c in enumerate(CLASSES)}
+
+
+def _shape(left: str) -> int:
+    if left[0] == "<" and left[-1] == ">":
+        return _SPECIAL.get(left, 9)
+    if "." in left:
+        return 15
+    n = len(left)
+    return 11 if n <= 2 else 12 if n == 3 else 13 if n <= 5 else 14
+
+
+def _key(left: str, cased: bool) -> int:
+    return (_shape(left) + (0 if cased else CASELESS)) * TOKENS + _bucket(left, TOKENS)
+
+
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def _cased(text: str, a: int, b: int) -> bool:
+    """Whether a block's first letter belongs to a script with capitals."""
+    m = _LETTER.search(text, a, b)
+    return m is None or m.group().islower() or m.group().isupper()
+
+
+def _quoted(text: str, a: int, start: int) -> str:
+    """Whether a quotation or bracket opens its sentence or stands within it."""
+    j = start - 1
+    while j >= a and text[j].isspace():
+        j -= 1
+    return "<QS>" if j < a or text[j] in _STRONG + _WEAK or text[j] in _CLOSE + '"' and j > a and text[j - 1] in _STRONG + _WEAK else "<QM>"
+
+
 def gaps(text: str, a: int, b: int) -> list[Gap]:
     block_greek = _GREEK.search(text, a, b) is not None
     inner = _enclosed(text, a, b)
     out: list[Gap] = []
     k = 0
-    words_at = a
+    last = a
     for m in (_GREEK_END if block_greek else _END).finditer(text, a, b):
         at, marks = m.end(), m.group(1)
         if at >= b:
@@ -186,11 +251,7 @@ def gaps(text: str, a: int, b: int) -> list[Gap]:
             if at < inner[k][1]:
                 continue  # inside
             at = inner[k][1]
-            # does the quotation or bracket open the sentence?
-            j = inner[k][0] - 1
-            while j >= a and text[j].isspace():
-                j -= 1
-            quoted = "<QS>" if j < a or text[j] in _STRONG + _WEAK or text[j] in _CLOSE + '"' and j > a and text[j - 1] in _STRONG + _WEAK else "<QM>"
+            quoted = _quoted(text, a, inner[k][0])
             # marks that follow the closing one belong to it as well
             while at < b and text[at] in _STRONG + _WEAK:
                 at, quoted = at + 1, ""
@@ -204,42 +265,54 @@ def gaps(text: str, a: int, b: int) -> list[Gap]:
             if not free or marks[-1] in "." and not (nxt.isupper() and before.islower() and _single_stop(text, a, m.start())):
                 if not (free and marks[-1] in "。！？।።!?…" or quoted and free):
                     continue
+        start = m.start()
         if quoted:
-            left = quoted
+            left, start = quoted, inner[k][0]
         elif marks == ".":
-            left = _left_type(text, a, m.start())
+            token = _token(text, a, m.start())
+            left, start = _left_type(token), m.start() - len(token)
         elif marks[-1] in "…." and not any(c in _STRONG for c in marks):
             left = "<E>"
         else:
             left = "<S>"
         right = _right_class(text, at, b)
         word = _FIRST_WORD.search(text, at, b) if right == "U" else None
-        out.append(Gap(at, left, word.group() if word else "", right, max(text.count(" ", words_at, at) - 1, (at - words_at) // 6)))
-        words_at = at
+        while last < start and text[last].isspace():
+            last += 1
+        out.append(Gap(at, left, _before(text, a, start), word.group() if word else "", right, start <= last))
+        last = at
     return out
 
 
 def _single_stop(text: str, a: int, at: int) -> bool:
     """Whether the token before a stop without a blank after it is a plain word of some length."""
-    m = _LEFT.search(text, max(a, at - 40), at)
-    token = m.group() if m else ""
+    token = _token(text, a, at)
     return len(token) > 2 and token.isalpha()
 
 
-_THAI_TEXT = re.compile(f"[{_THAI}]")
-_THAI_BLANK = re.compile(r"[^\S\n]+")
+_MARKLESS = re.compile(f"[{_THAI}]")
+_BLANK = re.compile(r"[^\S\n]+")
 
 
-def _thai(text: str, a: int, b: int) -> list[int]:
+def _blanks(text: str, a: int, b: int) -> list[Gap]:
     """Blanks that are not next to a number: the gaps of a script without marks."""
     out = []
-    for m in _THAI_BLANK.finditer(text, a, b):
+    for m in _BLANK.finditer(text, a, b):
         p, q = m.start() - 1, m.end()
         if not (text[p].isdigit() or text[q].isdigit() or text[p] in "(-–/" or text[q] in ")-–/ๆฯ"):
-            out.append(m.start())
+            out.append(Gap(m.start(), "<T>", "", text[q: q + 2], "c", False))
     return out
 
 
+def lattice(text: str, a: int, b: int) -> list[Gap]:
+    """All gaps of a block that can hold a boundary, in order."""
+    found = gaps(text, a, b)
+    if _MARKLESS.search(text, a, b):
+        at = {g.at: g for g in [*found, *_blanks(text, a, b)]}
+        found = [at[x] for x in sorted(at)]
+    return found
+
+
 def _unbroken(text: str, a: int, b: int) -> bool:
     part = text[a:b]
     return not any(c.isspace() for c in part) and not re.search(f"[{_UNSPACED}{_THAI}]", part)
@@ -247,154 +320,349 @@ def _unbroken(text: str, a: int, b: int) -> bool:
 
 # --- training -----------------------------------------------------------------
 
-def _count(text: str, final: Counter, inner: Counter, words: Counter, after: Counter) -> None:
+#: Weights of the priors, in tokens: of a token's shape, of the token for a history, of a next word's class and of the word.
+W_SHAPE, W_PAIR, W_TOKEN, W_CLASS, W_WORD = 15.0, 4.0, 12.0, 12.0, 2.0
+#: The same in expected ends of blocks, for the first guess.
+W_END = 1.0
+#: Word types are plain words or abbreviations. A plain word stands before a stop in ``PLAIN_STOP`` of its uses
+#: and always ends a sentence there, an abbreviation in ``SHORT_STOP`` and ends one in ``SHORT_END`` of these.
+PLAIN_STOP, SHORT_STOP, SHORT_END, PLAIN_END = 0.08, 0.9, 0.3, 0.998
+#: However often a type occurs, its evidence counts as so many uses before a stop, and as so many in all.
+W_TYPE, W_BARE = 60.0, 3.0
+ROUNDS = 12
+_N = 2 * SHAPES * TOKENS
+_SHAPE_OF = np.repeat(np.arange(2 * SHAPES), TOKENS)
+#: At most this share of blocks' ends stands after a stop that is no boundary.
+SLIP = 1e-3
+
+
+def _final_token(text: str, a: int, b: int) -> tuple[str, str] | None:
+    """History and type of the token a block ends with, if it ends as a sentence does."""
+    if text[b - 1] == "." and (b - a < 2 or text[b - 2] not in ".…"):
+        token = _token(text, a, b - 1)
+        return _before(text, a, b - 1 - len(token)), _left_type(token)
+    if text[b - 1] in _WEAK:
+        return "", "<E>"
+    if text[b - 1] in _STRONG:
+        return "", "<S>"
+    if b - a > 2 and text[b - 1] in _CLOSE + '"' and text[b - 2] in _STRONG + _WEAK:
+        inner = _enclosed(text, a, b)
+        if inner and inner[-1][1] == b:
+            return "", _quoted(text, a, inner[-1][0])
+    if _MARKLESS.search(text, a, b) and not text[b - 1].isdigit():
+        return "", "<T>"
+    return None
+
+
+def _has_history(left: str) -> bool:
+    """Types whose meaning hangs on the word before: numbers, initials and short words."""
+    return left[1] in "NI" if left[0] == "<" else len(left) <= 3
+
+
+def _certain(text: str, inner: Counter, bare: Counter, pairs: Counter, *_: Counter) -> None:
     for a, b in blocks(text):
         if _items(text, a, b) is not None or _unbroken(text, a, b):
             continue
-        if text[b - 1] == "." and (b - a < 2 or text[b - 2] not in ".…"):
-            left = _left_type(text, a, b - 1)
-            final[_bucket(left)] += 1
-            if " " in left:
-                final[_bucket(left.split(" ")[0])] += 1
-        for g in gaps(text, a, b):
-            if g.left[0] != "<" or g.left[1] in "NI":
-                for left in {g.left, g.left.split(" ")[0]}:
-                    inner[_bucket(left)] += 1
-                    after[(_bucket(left), g.right)] += 1
-    words.update(_WORDS.findall(text))
+        cased = _cased(text, a, b)
+        final = _final_token(text, a, b)
+        if final:
+            inner[(_key(final[1], cased), "$")] += 1
+            if _has_history(final[1]):
+                pairs[(_history_key(*final, cased), "$")] += 1
+        for i, g in enumerate(lattice(text, a, b)):
+            inner[(_key(g.left, cased), g.right)] += 1
+            if _has_history(g.left):
+                pairs[(_pair_key(g, cased, g.first and i == 0), g.right)] += 1
+        bare.update(m for m in _PLAIN_WORD.findall(text, a, b))
+
+
+#: Words without a stop, and capitalised words that follow a word without one.
+_PLAIN_WORD = re.compile(r"(?<![\w.])[^\W\d_]{1,12}(?=[\s,;:])")
+_WITHIN = re.compile(r"(?<=[^\W\d_]\s)[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_COUNTS = "t string, k long, c int, n double"
+
+
+def _rows(table: str, counts) -> list[tuple[str, int, int, float]]:
+    return [(table, int(k), int(c), float(n)) for (k, c), n in counts.items() if n > 0]
+
+
+def _first_rows(inner: Counter, bare: Counter, pairs: Counter, *_: Counter) -> list[tuple[str, int, int, float]]:
+    out = _rows("token", {(k, _PLACE[c]): n for (k, c), n in inner.items()}) + _rows("pair", {(k, _PLACE[c]): n for (k, c), n in pairs.items()})
+    plain: Counter = Counter()
+    for w, n in bare.items():
+        plain[(_key(w.lower(), w[0].islower() or w[0].isupper()), 0)] += n
+    out += _rows("bare", plain)
+    return out
 
 
 class Model:
-    """What the tasks get: evidence by word type, and case by word; of bounded size both."""
-
-    def __init__(self, ends: dict[int, tuple[float, float]], lower: np.ndarray):
-        self.ends, self.lower = ends, lower
-
-    def of(self, left: str) -> tuple[float, float]:
-        """Evidence that the type can end a sentence, and how often small letters follow it."""
-        found = self.ends.get(_bucket(left))
-        if found is None and " " in left:
-            found = self.ends.get(_bucket(left.split(" ")[0]))
-        return found or (0.0, 0.5)
-
-    def usually_small(self, word: str) -> bool:
-        return bool(self.lower[_bucket(word.lower(), WORD_BUCKETS)])
-
-
-def _summed(counters: tuple[Counter, Counter, Counter, Counter]) -> list[tuple[str, int, int, int, int, int, int]]:
-    final, inner, words, after = counters
-    bare: Counter = Counter()
-    case: Counter = Counter()
-    for w, n in words.items():
-        plain = w.rstrip(".")
-        if w[-1] != "." and len(w) <= 5:
-            bare[_bucket(w.lower())] += n
-        case[(_bucket(plain.lower(), WORD_BUCKETS), plain[0].islower())] += n
-    rows = [("e", k, final[k], inner[k], bare[k], after[(k, "U")] + after[(k, "o")], after[(k, "l")]) for k in final.keys() | inner.keys()]
-    rows += [("e", k, 0, 0, n, 0, 0) for k, n in bare.items() if k not in final and k not in inner]
-    rows += [("w", k, n if small else 0, 0 if small else n, 0, 0, 0) for (k, small), n in case.items()]
-    return rows
-
-
-def _model(rows: pd.DataFrame) -> Model:
-    lower = np.zeros(WORD_BUCKETS, dtype=np.int8)
-    w = rows[rows["t"] == "w"]
-    lower[w["k"][w["a"] > 0.6 * w["b"]]] = 1
-    ends = {}
-    for r in rows[(rows["t"] == "e") & (rows["a"] + rows["b"] >= 4)].itertuples():
-        ends[int(r.k)] = (_can_end(int(r.a), int(r.b), int(r.c), int(r.d), int(r.e)), (r.e + 0.5) / (r.d + r.e + 1.0))
-    return Model(ends, lower)
-
-
-_COUNTS = "t string, k int, a long, b long, c long, d long, e long"
-
-
-def trained(rows: DataFrame) -> Model:
-    """Counts over all texts, summed by bucket: at most BUCKETS + WORD_BUCKETS rows."""
-
+    """Probabilities of events and next words, in tables of fixed size.
+
+    ``event`` is the chance of a boundary by token, ``after`` that of the next word's class within a
+    sentence by token, ``start`` that after a boundary for caseless and cased scripts, ``word`` the log-odds
+    by which the next word moves a gap, ``pair`` the chance of a boundary by history and token.
+    """
+
+    def __init__(self, event: np.ndarray, after: np.ndarray, start: np.ndarray, word: np.ndarray, pair: dict[int, float]):
+        self.event, self.after, self.start, self.word, self.pair = event, after, start, word, pair
+
+    def score(self, g: Gap, cased: bool, opens: bool) -> float:
+        """Log-odds of a boundary at a gap whose token opens a sentence, or not."""
+        k = _key(g.left, cased)
+        p = float(self.event[k])
+        if _has_history(g.left):
+            p = self.pair.get(_pair_key(g, cased, opens), p)
+        p = min(max(p, 1e-6), 1 - 1e-6)
+        out = math.log(p / (1 - p))
+        if g.left != "<T>":
+            j = _PLACE[g.right]
+            out += math.log(float(self.start[int(cased), j]) / float(self.after[k, j]))
+        if g.word:
+            out += float(self.word[_bucket(g.word, WORDS)])
+        return out
+
+
+def _history_key(before: str, left: str, cased: bool) -> int:
+    """A token's number and, below it, a bucket of its history; numbers of one to three digits go together."""
+    left = "<N1>" if left in ("<N2>", "<N3>") else left
+    return _key(left, cased) * HISTORIES + _bucket(before, HISTORIES)
+
+
+def _pair_key(g: Gap, cased: bool, opens: bool) -> int:
+    return _history_key("<B>" if opens else g.before, g.left, cased)
+
+
+def untrained() -> Model:
+    """The priors alone, as an empty table gives them."""
+    return _estimated(pd.DataFrame([], columns=["t", "k", "c", "n"]))
+
+
+def _estimated(rows: pd.DataFrame) -> Model:
+    """First model from certain places: expectation maximisation over the table of tokens and next classes."""
+    n, bare = np.zeros((_N, len(CLASSES))), np.zeros(_N)
+    pairs = pd.DataFrame([], columns=["k", "c", "n"])
+    for t, x in rows.groupby("t"):
+        k, c, v = x["k"].to_numpy(), x["c"].to_numpy(), x["n"].to_numpy(dtype=float)
+        if t == "token":
+            np.add.at(n, (k, c), v)
+        elif t == "bare":
+            np.add.at(bare, k, v)
+        else:
+            pairs = x
+    event, after, start, ends = _maximised(n, bare)
+    # the next word itself has no say yet: which words go on after a stop is only known from expected counts
+    return Model(event.astype(np.float32), after.astype(np.float32), start, np.zeros(WORDS, dtype=np.float32), _paired(pairs, event, after, start, ends))
+
+
+def _paired(rows: pd.DataFrame, event: np.ndarray, after: np.ndarray, start: np.ndarray, ends: float) -> dict[int, float]:
+    """Chance of a boundary by history and token, against the token's own as a prior."""
+    if not len(rows):
+        return {}
+    keys, at = np.unique(rows["k"].to_numpy(), return_inverse=True)
+    n = np.zeros((len(keys), len(CLASSES)))
+    np.add.at(n, (at, rows["c"].to_numpy()), rows["n"].to_numpy(dtype=float))
+    token = keys // HISTORIES
+    total, prior, begin = n.sum(axis=1), event[token], start[(_SHAPE_OF[token] < CASELESS).astype(int)]
+    p, follow = _by_ends(n, total, prior, after[token], W_END, W_PAIR, ends)
+    for _ in range(ROUNDS):
+        post = _posterior(p, follow, begin, ends)
+        rest = ((1 - post) * n)[:, :-1]
+        p = ((post * n).sum(axis=1) + W_PAIR * prior) / (total + W_PAIR)
+        follow = (rest + W_PAIR * after[token]) / (rest.sum(axis=1, keepdims=True) + W_PAIR)
+    return dict(zip(keys.tolist(), p.tolist()))
+
+
+def _by_ends(n: np.ndarray, total: np.ndarray, prior: np.ndarray, within: np.ndarray, weight, class_weight: float, ends: float) -> tuple[np.ndarray, np.ndarray]:
+    """First guess: as many boundaries as the ends of blocks tell of the ends expected, and next classes as if there were none."""
+    inner = n[:, :-1]
+    return np.minimum(1 - 1e-6, (n[:, -1] + weight * prior) / (total * ends + weight)), (inner + class_weight * within) / (inner.sum(axis=1, keepdims=True) + class_weight)
+
+
+def _posterior(p: np.ndarray, after: np.ndarray, start: np.ndarray, ends: float) -> np.ndarray:
+    """Chance of a boundary for each next class, the end of a block among them."""
+    rows = len(p)
+    b = np.concatenate([start * (1 - ends), np.full((rows, 1), ends)], axis=1) * p[:, None]
+    w = np.concatenate([after * (1 - SLIP), np.full((rows, 1), SLIP)], axis=1) * (1 - p)[:, None]
+    return b / (b + w)
+
+
+def _prior_events() -> np.ndarray:
+    """Chance of a boundary by shape before anything is counted."""
+    p = np.full(SHAPES, 0.9)
+    p[[1, 2, 3, 6, 7, 9, 10, 11, 12, 13, 14, 15]] = [0.5, 0.8, 0.3, 0.4, 0.5, 0.7, 0.1, 0.2, 0.3, 0.3, 0.3, 0.2]
+    return np.tile(p, 2)
+
+
+#: Chance that a type of a word's shape is a plain word, by length; the rest are no words.
+_PLAIN_PRIOR = np.full(SHAPES, 0.5)
+_PLAIN_PRIOR[[11, 12, 13, 14, 15]] = [0.2, 0.6, 0.9, 0.99, 0.1]
+
+
+#: Priors of next classes: within a sentence mostly small letters, after a boundary capitals; caseless scripts first.
+_WITHIN_PRIOR = np.array([[.02, .02, .2, .65, .05, .03, .03], [.25, .45, .15, .05, .05, .03, .02]])
+_START_PRIOR = np.array([[.02, .02, .08, .8, .06, .01, .01], [.8, .02, .08, .02, .06, .01, .01]])
+W_POOL = 20.0
+
+
+def _maximised(n: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Chance of a boundary and next classes by token, next classes after a boundary, share of boundaries at blocks' ends."""
+    cased = (_SHAPE_OF < CASELESS).astype(int)
+    word_like = np.isin(_SHAPE_OF % SHAPES, (11, 12, 13, 14, 15))
+    group = (np.arange(2 * SHAPES) < CASELESS).astype(int)
+    shape, within, ends = _prior_events(), _WITHIN_PRIOR[group], 0.15
+    start = W_POOL * _START_PRIOR
+    seen = np.flatnonzero(n.sum(axis=1) > 0)
+    n, total, s, g = n[seen], n[seen].sum(axis=1), _SHAPE_OF[seen], cased[seen]
+    # strong marks decide by themselves unless a small letter follows: they tell what opens sentences
+    sure = np.flatnonzero(s % SHAPES == 0)[:, None], np.flatnonzero(~np.isin(list(CLASSES), ["l", "q"]))[None, :]
+    begun = np.zeros((len(seen), len(CLASSES)))
+    begun[sure] = n[sure]
+    np.add.at(start, g, begun[:, :-1])
+    start /= start.sum(axis=1, keepdims=True)
+    words = word_like[seen]
+    uses = total + bare[seen]
+    stop = (total * math.log(PLAIN_STOP / SHORT_STOP) + bare[seen] * math.log((1 - PLAIN_STOP) / (1 - SHORT_STOP))) * W_BARE / (uses + W_BARE)
+    odds = np.log(_PLAIN_PRIOR[s % SHAPES] / (1 - _PLAIN_PRIOR[s % SHAPES])) + stop
+    p, _ = _by_ends(n, total, shape[s], within[s], 2 * W_END, W_CLASS, ends)
+    after, plain = within[s], np.where(words, 1 / (1 + np.exp(-odds)), 0.0)
+    for _ in range(ROUNDS):
+        post = _posterior(plain * PLAIN_END + (1 - plain) * p, after, start[g], ends)
+        post[sure] = 1.0
+        hits, rest, begun = (post * n).sum(axis=1), ((1 - post) * n)[:, :-1], (post * n)[:, :-1]
+        p = (hits + W_SHAPE * shape[s]) / (total + W_SHAPE)
+        pooled, won, every, began = np.zeros_like(within), np.zeros(2 * SHAPES), np.zeros(2 * SHAPES), np.zeros_like(start)
+        np.add.at(pooled, s, rest)
+        np.add.at(won, s, hits * (1 - plain))
+        np.add.at(every, s, total * (1 - plain))
+        np.add.at(began, g, begun)
+        within = (pooled + W_POOL * _WITHIN_PRIOR[group]) / (pooled.sum(axis=1, keepdims=True) + W_POOL)
+        after = (rest + W_CLASS * within[s]) / (rest.sum(axis=1, keepdims=True) + W_CLASS)
+        shape = (won + W_POOL * _prior_events()) / (every + W_POOL)
+        start = (began + W_POOL * _START_PRIOR) / (began.sum(axis=1, keepdims=True) + W_POOL)
+        ends = min(0.5, max(0.02, float((post * n)[:, -1].sum() + 3) / float(hits.sum() + W_POOL)))
+        # what follows a type's stops tells its kind: an abbreviation has followers of its own, but ends few blocks
+        opens = np.concatenate([start[g] * (1 - ends), np.full((len(seen), 1), ends)], axis=1)
+        inner = n[:, :-1]
+        own = (inner + W_CLASS * within[s]) / (inner.sum(axis=1, keepdims=True) + W_CLASS)
+        goes_on = np.concatenate([own * (1 - SLIP), np.full((len(seen), 1), SLIP)], axis=1)
+        follows = (n * np.log(opens / (SHORT_END * opens + (1 - SHORT_END) * goes_on))).sum(axis=1) * W_TYPE / (total + W_TYPE)
+        plain = np.where(words, 1 / (1 + np.exp(-np.clip(odds + follows, -40, 40))), 0.0)
+    event, follow = shape[_SHAPE_OF], within[_SHAPE_OF]
+    # types never seen with a stop are told by their shape and by their uses without one
+    odds = np.log(_PLAIN_PRIOR / (1 - _PLAIN_PRIOR))[_SHAPE_OF % SHAPES] + bare * math.log((1 - PLAIN_STOP) / (1 - SHORT_STOP)) * W_BARE / (bare + W_BARE)
+    unseen = 1 / (1 + np.exp(-odds))
+    event = np.where(word_like, unseen * PLAIN_END + (1 - unseen) * event, event)
+    event[seen], follow[seen] = plain * PLAIN_END + (1 - plain) * p, after
+    return event, follow, start, ends
+
+
+def _word_odds(word: np.ndarray) -> np.ndarray:
+    """How much more often a capitalised word follows a boundary than stands within a sentence, as log-odds."""
+    total = np.maximum(word.sum(axis=0), 1.0)
+    least = total.min()
+    inside, opening = (word / total * least).T
+    q = (opening + W_WORD / 2) / (opening + inside + W_WORD)
+    return np.log(q / (1 - q)).astype(np.float32)
+
+
+def _aggregated(rows: DataFrame, count, summed) -> pd.DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counters = (Counter(), Counter(), Counter(), Counter())
+        counters = tuple(Counter() for _ in range(4))
         for pdf in batches:
             for text in pdf["_text"]:
-                _count(text, *counters)
-        yield pd.DataFrame(_summed(counters), columns=["t", "k", "a", "b", "c", "d", "e"])
+                count(text, *counters)
+        yield pd.DataFrame(summed(*counters), columns=["t", "k", "c", "n"])
 
-    sums = rows.mapInPandas(run, _COUNTS).groupBy("t", "k").agg(*[F.sum(c).alias(c) for c in "abcde"])
-    # words in capitals only, and types seen too rarely to tell anything, stay out
-    return _model(sums.where("t = 'w' and a > 0.6 * b or t = 'e' and a + b >= 4").toPandas())
+    return rows.mapInPandas(run, _COUNTS).groupBy("t", "k", "c").agg(F.sum("n").alias("n")).toPandas()
 
 
-def _can_end(final: int, inner: int, bare: int, upper: int, lower: int) -> float:
-    """Evidence for "can end a sentence" against "never does", from ends of blocks, uses without a stop and what follows."""
-    of_end = final * math.log(0.12 / 0.001) + inner * math.log(0.88 / 0.999)
-    of_stop = (final + inner) * math.log(0.08 / 0.9) + bare * math.log(0.92 / 0.1)
-    of_case = lower * math.log(0.02 / 0.7) + upper * math.log(0.95 / 0.3) if lower + upper else 0.0
-    clip = lambda x, most: max(-most, min(most, x))
-    return clip(of_end, 8.0) + clip(of_stop, 5.0) + clip(of_case, 4.0)
+def trained(rows: DataFrame) -> Model:
+    """The model of a table's texts: one pass over certain places, one of forward-backward over all gaps."""
+    first = _estimated(_aggregated(rows, _certain, _first_rows))
+
+    def expected(text: str, pairs: Counter, tokens: Counter, within: Counter, words: Counter) -> None:
+        for a, b in blocks(text):
+            if _items(text, a, b) is not None or _unbroken(text, a, b):
+                continue
+            cased = _cased(text, a, b)
+            found = lattice(text, a, b)
+            for g, (p, opens) in zip(found, posteriors(found, first, cased)):
+                k = _key(g.left, cased)
+                tokens[(k, 1)] += p
+                tokens[(k, 0)] += 1 - p
+                within[(k, _PLACE[g.right])] += 1 - p
+                if _has_history(g.left):
+                    h = _pair_key(g, cased, opens)
+                    pairs[(h, 1)] += p
+                    pairs[(h, 0)] += 1 - p
+                if g.word:
+                    w = _bucket(g.word, WORDS)
+                    words[(w, 1)] += p
+                    words[(w, 0)] += 1 - p
+            right = _right_class(text, a, b)
+            word = _FIRST_WORD.search(text, a, b) if right == "U" else None
+            if word:
+                words[(_bucket(word.group(), WORDS), 1)] += 1
+            for w in _WITHIN.findall(text, a, b):
+                if w[0].isupper():
+                    words[(_bucket(w, WORDS), 0)] += 1
+
+    return _final(_aggregated(rows, expected, lambda p, t, a, w: _rows("pair", p) + _rows("token", t) + _rows("within", a) + _rows("word", w)), first)
+
+
+def _final(rows: pd.DataFrame, first: Model) -> Model:
+    """n-grams from expected counts, each against the shorter one as a prior of fixed weight."""
+    tables = {"token": np.zeros((_N, 2)), "within": np.zeros((_N, len(CLASSES))), "word": np.zeros((WORDS, 2))}
+    pair = dict(first.pair)
+    for t, x in rows.groupby("t"):
+        if t == "pair":
+            both = x.pivot_table(index="k", columns="c", values="n", aggfunc="sum", fill_value=0.0).reindex(columns=[0, 1], fill_value=0.0)
+            keys = both.index.to_numpy()
+            prior = np.array([first.pair.get(k, first.event[k // HISTORIES]) for k in keys.tolist()])
+            p = (both[1].to_numpy() + W_TOKEN * prior) / (both.sum(axis=1).to_numpy() + W_TOKEN)
+            pair.update(zip(keys.tolist(), p.tolist()))
+        else:
+            np.add.at(tables[t], (x["k"].to_numpy(), x["c"].to_numpy()), x["n"].to_numpy(dtype=float))
+    none, hits = tables["token"].T
+    event = (hits + W_SHAPE * first.event) / (hits + none + W_SHAPE)
+    rest = tables["within"][:, :-1]
+    after = (rest + W_CLASS * first.after) / (rest.sum(axis=1, keepdims=True) + W_CLASS)
+    return Model(event.astype(np.float32), after.astype(np.float32), first.start, _word_odds(tables["word"]), pair)
 
 
 # --- decoding -----------------------------------------------------------------
 
-#: Log-odds of a boundary by what stands before it, and how the next character's class moves them.
-_BASE = {"<S>": 4.0, "<E>": 0.6, "<QS>": 2.0, "<QM>": -1.2, "<C>": 3.0, "<URL>": 2.5}
-_MOVE = {"U": 3.0, "l": -6.5, "q": -5.0, "d": 0.0, "c": 0.6, "o": 1.5, "x": 0.0, "$": 0.0}
-#: Evidence about a word type is held against this prior by its length and shape.
-_PAIR_SHORT = -3.0
-
-
-def _unary(g: Gap, model: Model) -> float:
-    move = _MOVE[g.right]
-    base = _BASE.get(g.left)
-    if base is not None:
-        if g.left == "<QM>" and g.right == "c":
-            return -3.0
-        if g.left == "<QM>" and g.right in "Uo":
-            return 1.5
-        return base + move
-    evidence, small_after = model.of(g.left)
-    word = g.left.split(" ")[0]
-    if word.startswith("<N"):
-        prior = 2.0 if int(word[2]) >= 3 or "." in word else 1.0
-    elif word.startswith("<I>"):
-        prior = -4.0
-    else:
-        prior = (-1.0 if len(word) <= 2 else 0.5 if len(word) == 3 else 2.0 if len(word) <= 5 else 5.0) - (2.0 if "." in word else 0.0)
-        if word in _ABBREVIATIONS:
-            prior -= 5.0
-        if len(word) > 6 and "." not in word:
-            prior += 3.0
-    can = prior + evidence
-    if g.right == "U" and small_after > 0.12 and not word.startswith("<I>") and model.usually_small(g.word):
-        # small letters follow this type within sentences, and the next word is written small there
-        return 3.0
-    # two hidden types of word: one that can end (then the next word decides) and one that never does
-    p_type = 1 / (1 + math.exp(-max(-30.0, min(30.0, can))))
-    p_end = 1 / (1 + math.exp(-(1.0 + move)))
-    p = min(max(p_type * p_end, 1e-6), 1 - 1e-6)
-    return math.log(p / (1 - p))
-
-
-def posteriors(found: list[Gap], model: Model) -> list[float]:
-    """Forward-backward over the gaps of a block."""
+def posteriors(found: list[Gap], model: Model, cased: bool) -> list[tuple[float, bool]]:
+    """Forward-backward over the gaps of a block: the chance of a boundary, and whether the token more likely opens a sentence.
+
+    The state is the last event. It enters a gap's score where the token is the first after the gap
+    before it: then the history is the boundary if there was one.
+    """
     n = len(found)
-    unary = [_unary(g, model) for g in found]
-    # two boundaries with no or one word between them are unlikely
-    pair = [_PAIR_SHORT if g.words < 1 else 0.0 for g in found]
+    if not n:
+        return []
+    # log-odds of a boundary after no boundary, and after one
+    odds = [(s := model.score(g, cased, g.first and i == 0), model.score(g, cased, True) if g.first and i else s) for i, g in enumerate(found)]
 
     def add(x: float, y: float) -> float:
         m = max(x, y)
         return m + math.log1p(math.exp(min(x, y) - m))
 
-    f0, f1 = [0.0] * n, [0.0] * n
-    for i in range(n):
-        p0, p1 = (0.0, -1e9) if i == 0 else (f0[i - 1], f1[i - 1])
-        f0[i] = add(p0, p1)
-        f1[i] = unary[i] + add(p0, p1 + pair[i])
-    b0, b1 = [0.0] * n, [0.0] * n
+    def logs(x: float) -> tuple[float, float]:
+        none = -add(0.0, x)
+        return none, none + x
+
+    step = [(logs(x), logs(y)) for x, y in odds]
+    f = [step[0][0]]
+    for i in range(1, n):
+        (n0, b0), (n1, b1) = step[i]
+        f.append((add(f[-1][0] + n0, f[-1][1] + n1), add(f[-1][0] + b0, f[-1][1] + b1)))
+    back = [(0.0, 0.0)] * n
     for i in range(n - 2, -1, -1):
-        b0[i] = add(b0[i + 1], unary[i + 1] + b1[i + 1])
-        b1[i] = add(b0[i + 1], unary[i + 1] + pair[i + 1] + b1[i + 1])
-    return [1 / (1 + math.exp(max(-50.0, min(50.0, (f0[i] + b0[i]) - (f1[i] + b1[i]))))) for i in range(n)]
+        (n0, b0), (n1, b1) = step[i + 1]
+        back[i] = (add(n0 + back[i + 1][0], b0 + back[i + 1][1]), add(n1 + back[i + 1][0], b1 + back[i + 1][1]))
+    p = [1 / (1 + math.exp(max(-50.0, min(50.0, (f[i][0] + back[i][0]) - (f[i][1] + back[i][1]))))) for i in range(n)]
+    return [(x, g.first and (i == 0 or p[i - 1] > 0.5)) for i, (x, g) in enumerate(zip(p, found))]
 
 
 def sentences(text: str, model: Model, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
@@ -407,14 +675,12 @@ def sentences(text: str, model: Model, threshold: float = THRESHOLD) -> list[tup
         if _unbroken(text, a, b):
             out.append((a, b))
             continue
-        found = gaps(text, a, b)
-        cuts = [g.at for g, p in zip(found, posteriors(found, model)) if p > threshold]
-        if _THAI_TEXT.search(text, a, b):
-            cuts = sorted({*cuts, *_thai(text, a, b)})
+        found = lattice(text, a, b)
         at = a
-        for cut in cuts:
-            out.extend(_trimmed(text, at, cut))
-            at = cut
+        for g, (p, _) in zip(found, posteriors(found, model, _cased(text, a, b))):
+            if p > threshold:
+                out.extend(_trimmed(text, at, g.at))
+                at = g.at
         out.extend(_trimmed(text, at, b))
     return out
 

@@ -18,30 +18,103 @@ def frame(spark, schema, rows):
 
 # 1 ---------------------------------------------------------------------------------
 
-def plain_model():
-    return sentences.Model({}, np.zeros(sentences.WORD_BUCKETS, dtype=np.int8))
+def written_text(seed, blocks=3):
+    """Polish-like blocks with abbreviations, ordinals and decimals, and where their sentences end."""
+    rng = np.random.default_rng(seed)
+    low = ["umowa", "strona", "czynsz", "termin", "lokal", "wniosek", "opłata", "nowy", "drogi", "pisze", "trwa", "mija", "jest", "niska", "kwota", "dom"]
+    text, ends = "", set()
+    for i in range(blocks):
+        text += "\n\n" if i else ""
+        for j in range(4):
+            w = [low[int(x)] for x in rng.integers(0, len(low), 6)]
+            extra = int(rng.integers(0, 7))
+            w[3:3] = [["zgodnie", "z", "art.", str(rng.integers(1, 90))], ["przy", "ul.", "Długiej"], ["kwota", "3.50"], ["m.in.", "dom"], [], [], ["w", "2024", "r.", "nowy"]][extra]
+            w[0] = w[0].capitalize()
+            text += (" " if j else "") + " ".join(w) + ("!" if rng.random() < 0.15 else ".")
+            ends.add(len(text))
+    return text, ends
+
+
+def thai_text(seed):
+    rng = np.random.default_rng(seed)
+    runs = ["".join(chr(0x0E01 + int(x)) for x in rng.integers(0, 40, int(rng.integers(8, 20)))) for _ in range(5)]
+    return " ".join(runs)
+
+
+TRAINING = [written_text(i)[0] for i in range(150)] + [thai_text(i) for i in range(20)] + ["第一句很长很长。第二句也很长！" * 3] * 5
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return sentences.trained(frame(spark, "_text string", [(t,) for t in TRAINING]))
+
+
+def pieces(text, model):
+    return [text[a:b] for a, b in sentences.sentences(text, model)]
 
 
-def pieces(text):
-    return [text[a:b] for a, b in sentences.sentences(text, plain_model())]
+def test_sentence_cases(model):
+    cut = lambda text: pieces(text, model)
+    assert cut("Lokal jest niska. Kwota ma termin!") == ["Lokal jest niska.", "Kwota ma termin!"]
+    assert cut("Kwota 3.50 zgodnie z art. 5 umowa jest niska. Termin mija.") == ["Kwota 3.50 zgodnie z art. 5 umowa jest niska.", "Termin mija."]
+    assert cut("Lokal przy ul. Długiej jest nowy. Strona pisze.") == ["Lokal przy ul. Długiej jest nowy.", "Strona pisze."]
+    assert cut("Pisze: „Tak było. Naprawdę!” odpowiedź strona. Dalej tekst.") == ["Pisze: „Tak było. Naprawdę!” odpowiedź strona.", "Dalej tekst."]
+    assert cut("Rozdział\n\nTekst jest\nzłamany lokal. Nowy.") == ["Rozdział", "Tekst jest\nzłamany lokal.", "Nowy."]
+    assert cut("1) pierwszy punkt. Nadal.\n2) drugi punkt,") == ["1) pierwszy punkt. Nadal.", "2) drugi punkt,"]
+    assert cut("第一句很长很长。第二句也很长！第三句。") == ["第一句很长很长。", "第二句也很长！", "第三句。"]
+    assert cut("สวัสดี วันนี้ 25 คน") == ["สวัสดี", "วันนี้ 25 คน"]
+    assert cut("a1b2.c3d4.e5" * 20) == ["a1b2.c3d4.e5" * 20]
+    assert cut("") == [] and cut(" \n\n ") == []
 
 
-def test_sentence_cases():
-    assert pieces("Ala ma kota. Kot ma mleko!") == ["Ala ma kota.", "Kot ma mleko!"]
-    assert pieces("Kwota 3.50 zgodnie z art. 5 ust. 2 jest niska. Koniec.") == ["Kwota 3.50 zgodnie z art. 5 ust. 2 jest niska.", "Koniec."]
-    assert pieces("Pisze: „Tak było. Naprawdę!” odpowiedź strona. Dalej tekst.") == ["Pisze: „Tak było. Naprawdę!” odpowiedź strona.", "Dalej tekst."]
-    assert pieces("Rozdział\n\nTekst jest\nzłamany tutaj. Nowy.") == ["Rozdział", "Tekst jest\nzłamany tutaj.", "Nowy."]
-    assert pieces("1) pierwszy punkt. Nadal.\n2) drugi punkt,") == ["1) pierwszy punkt. Nadal.", "2) drugi punkt,"]
-    assert pieces("第一句很长很长。第二句也很长！他写道：“引用句。”的说明。") == ["第一句很长很长。", "第二句也很长！", "他写道：“引用句。”的说明。"]
-    assert pieces("สวัสดี วันนี้ 25 คน") == ["สวัสดี", "วันนี้ 25 คน"]
-    assert pieces("a1b2.c3d4.e5" * 20) == ["a1b2.c3d4.e5" * 20]
-    assert pieces("") == [] and pieces(" \n\n ") == []
+def accuracy(model):
+    """Share of inner boundaries and non-boundaries decided rightly in texts that were not trained on."""
+    right = total = 0
+    for seed in range(1000, 1040):
+        text, ends = written_text(seed)
+        found = {b for _, b in sentences.sentences(text, model)}
+        places = {m.end() for m in re.finditer(r"[.!](?=\s|$)", text)}
+        right += sum((p in found) == (p in ends) for p in places)
+        total += len(places)
+    return right / total
+
+
+def test_training_and_histories_matter(model):
+    full = accuracy(model)
+    assert full >= 0.97
+    assert accuracy(sentences.untrained()) < full - 0.05  # priors alone
+    blind = sentences.Model(np.full_like(model.event, 0.5), UNTRAINED.after, model.start, np.zeros_like(model.word), {})
+    assert accuracy(blind) < full - 0.05  # classes of next words alone, no token before the gap
+
+
+def test_posteriors_use_the_event_before():
+    """A number that opens a sentence is a heading's; the same number within one may end it."""
+    base = sentences.untrained()
+    g = [sentences.Gap(10, "umowa", "jest", "", "d", False), sentences.Gap(14, "<N1>", "umowa", "Lokal", "U", True)]
+    pair = {sentences._history_key("<B>", "<N1>", True): 0.001, sentences._history_key("umowa", "<N1>", True): 0.9}
+    event = base.event.copy()
+    results = []
+    for first in (0.999, 0.001):
+        event[sentences._key("umowa", True)] = first
+        m = sentences.Model(event, base.after, base.start, base.word, pair)
+        results.append(sentences.posteriors(g, m, True)[1][0])
+    assert results[0] < 0.5 < results[1]
+
+
+def test_counts_times_ten_cut_alike(spark, model):
+    """Evidence is rates against priors of fixed weight: the same table many times over cuts the same."""
+    more = sentences.trained(frame(spark, "_text string", [(t,) for t in TRAINING * 10]))
+    same = total = 0
+    for seed in range(2000, 2040):
+        a, b = (set(sentences.sentences(written_text(seed)[0], m)) for m in (model, more))
+        same, total = same + len(a & b), total + len(a | b)
+    assert same >= 0.98 * total
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aB1 .!?\n\"„”()。字กข-…", max_size=80))
 def test_sentences_cover_everything(text):
-    spans = sentences.sentences(text, plain_model())
+    spans = sentences.sentences(text, UNTRAINED)
     at = 0
     for a, b in spans:
         assert at <= a < b and not text[at:a].strip() and not text[a].isspace() and not text[b - 1].isspace()
@@ -49,6 +122,9 @@ def test_sentences_cover_everything(text):
     assert not text[at:].strip()
 
 
+UNTRAINED = sentences.untrained()
+
+
 def test_sentences_frame(spark):
     df = frame(spark, "id long, contents string, sent_start int", [(1, "A b. C d.", 0), (1, "A b. C d.", 0), (2, None, 0), (3, "", 0), (None, "x", 0)])
     got = Counter(tuple(r) for r in sentences.split(df).collect())
