@@ -1,70 +1,83 @@
 """Problem 3: deduplicating new batches against all history.
 
 Prefix-tree hash forest. Every distinct text has a signature of min-hash values over token
-shingles; ``TREES`` slices of it are the keys of as many trees, and a tree is kept as a run
-of rows sorted by (tree, key), which is what makes a prefix a range. New texts look up the
-range of their own key prefix in each tree, deepest first; what finds no verified match is
-looked up again with the shorter prefixes of ``DEPTHS``. Script and length choose the kind of
-trees, so that texts at the similarity wanted meet there (see ``WORD_FIRST`` for short ones). Hits are verified on the whole texts. Accepted texts form a
-run of their own, merged into the index without touching the older runs' signatures.
+shingles; slices of it are its keys in as many trees. A ``Forest`` keeps them in a folder as
+runs of files sorted by (tree, key, id), with the first and last key of every file. A new batch
+signs only itself: its keys are routed to the files that hold the range of their prefix, and each
+file is searched there by bisection, without moving the history. Ranges are searched deepest first and
+the prefix is widened until the chance to meet a text at the limit reaches ``RECALL``. Hits are
+verified on the whole texts. Accepted texts are added as a run of their own, and runs are merged
+when there are more than ``MAX_RUNS``; no older text is read or signed again.
 
 What an upload repeats depends on which earlier uploads were accepted. That is settled in
 rounds over a table of uploads: an upload is decided as soon as all earlier uploads that
-could matter to it are, and every round decides at least the earliest open one of each
-group; copies are grouped by file, bytes and text, so no pairs within a group arise.
+could matter to it are. Once few are open they are settled one by one in a single task.
 
 Defined results
 ---------------
 * Wording: tokens ignoring case, accents, blanks, line breaks and the order of paragraphs.
   For scripts with blanks they are words, compared as multisets; for scripts without, the
-  characters both have in the same order in runs of two or more, paragraphs being moved to
-  where they fit. The agreement is the count over the longer text.
+  characters both have in the same order, paragraphs being moved to where they fit. The agreement is the count over the longer text.
 * Uploads without text are never ``near``; null contents are never ``bytes``; a null
   ``file_id`` is never ``id``. Rows without ``seq`` are left out, as they have no turn.
-* Of the stored matches in the first block that has one the most similar comes out, then the
+* Of the stored matches met in the first step that has one the most similar comes out, then the
   smallest ``file_id``; of accepted uploads met, the most similar, then the earliest.
 * Very long texts are used whole. Empty tables give an empty result.
 
-A range that holds more than ``RANGE`` texts is compared in blocks of that many: with stored
-texts only by texts still without a stored match, among uploads only by texts that agree with
-none that is sure to be accepted. So a family of near copies costs its size, not its square,
-unless its first text is not sure. No document, signature or link is collected to the driver.
+A range may hold any number of texts (a family of near copies). It is taken in steps of ``RANGE``, eight
+times as many in each next step: of stored texts only by texts still without a stored match, of
+uploads only by texts that agree with none that is sure to be accepted. So a family costs its
+size, not its square, in a number of steps that grows with the logarithm of its size. No
+document, signature or link is collected to the driver; it holds the first and last key of each file.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.runtime import table, written
+from docloom.runtime import _remove, shared_dir, table, written
 
 SIMILARITY = 0.8
-#: Trees, and the prefix lengths of their keys that are tried, deepest first. A text that shares half of
-#: its shingles with another meets it at depth 3 in one of 32 trees with a probability of 0.99.
-TREES, LEVELS, DEPTHS = 32, 4, (4, 3)
+#: Trees, and the levels (16 bits each) of their keys. Prefixes are widened until two texts that agree in exactly
+#: ``SIMILARITY`` meet with a chance of ``RECALL``.
+TREES, LEVELS, RECALL = 32, 4, 0.95
 #: Numbers of the first tree for short texts of words, and for scripts without blanks; up to
 #: ``SHORT`` words a text is short. Those trees hold the words themselves with one hash function a
 #: level: agreement in four fifths is 2/3 of their union, so 32 whole keys meet with 1 - (1 - (2/3)^4)^32
 #: = 0.999 whatever the length and the place of changes, and no shorter prefix is tried.
 WORD_FIRST, CHAR_FIRST, SHORT = 32, 64, 256
 #: Scripts without blanks have trees of their own: single changes cost them more shingles.
-CHAR_TREES, SHINGLE, SHINGLE_CHARS, RUN = 128, 2, 3, 2
+CHAR_TREES, SHINGLE, SHINGLE_CHARS = 128, 2, 3
 #: Up to so many tokens of such a script every level has a hash function of its own instead of a bin.
 CHAR_SHORT = 1200
-RANGE = 64
+#: Alphabets written without blanks (Thai, Lao, Khmer, Burmese) have few letters: unrelated texts share a third of
+#: their runs of three, so their trees hold longer runs and are widened further. Of 512 values two texts that agree in
+#: four fifths share 47 (spread 6.5), unrelated ones 18: pairs below ``LEAST_SHARED`` are not compared.
+LETTER_FIRST, SHINGLE_LETTERS, LEAST_SHARED = 320, 8, 27
+RANGE, GROWTH, MAX_RUNS = 64, 8, 8
+#: Rows of a file of a run, and keys searched in one by a task.
+FILE_ROWS, TASK_KEYS = 500_000, 200_000
+#: As soon as so few uploads are open, with so few links, one task settles them in order.
+LAST_UPLOADS, LAST_LINKS = 200_000, 1_000_000
 
 #: Scripts written without blanks between words: kana, Han, Thai, Lao, Khmer, Burmese.
 _UNSPACED = "぀-ヿ㐀-䶿一-鿿฀-๿຀-໿ក-៿က-႟"
 #: Vowel signs of Indic scripts are no letters to ``re``, but parts of words.
 _SIGNS = "ऀ-ॣ०-෿"
+_LETTERS = re.compile("[฀-๿຀-໿ក-៿က-႟]")
 _TOKEN = re.compile(rf"[{_UNSPACED}]|(?:[^\W_{_UNSPACED}]|[{_SIGNS}])+")
 _MARKS = re.compile(r"[̀-ͯ]+")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
@@ -153,11 +166,14 @@ _SEEDS = np.random.default_rng(17).integers(0, 2**63, (2, 4 * 128), dtype=np.uin
 def _separate(h: np.ndarray, trees: int) -> np.ndarray:
     """Min-hash with one function a level: trees stay independent however few shingles there are."""
     n = trees * LEVELS
+    h = np.unique(h)
+    least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        mixed = (np.unique(h)[:, None] ^ _SEEDS[0, :n]) * (_SEEDS[1, :n] | np.uint64(1))
-        mixed ^= mixed >> np.uint64(32)
-        value = ((mixed * np.uint64(0xD6E8FEB86659FD93)).min(axis=0) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
-    return _keys(value, trees)
+        for i in range(0, len(h), 2048):
+            mixed = (h[i: i + 2048, None] ^ _SEEDS[0, :n]) * (_SEEDS[1, :n] | np.uint64(1))
+            mixed ^= mixed >> np.uint64(32)
+            np.minimum(least, (mixed * np.uint64(0xD6E8FEB86659FD93)).min(axis=0), out=least)
+        return _keys((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48), trees)
 
 
 def signature(paragraphs: list[list[str]], memo: _Hashes) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +190,10 @@ def signature(paragraphs: list[list[str]], memo: _Hashes) -> tuple[np.ndarray, n
             kinds.append((WORD_FIRST, _separate(_counted(paragraphs, memo), TREES)))
         if count >= SHORT * SIMILARITY:
             kinds.append((0, _binned(_shingles(paragraphs, memo, SHINGLE), TREES)))
-    if mean < 2.7:
+    letters = _letter_share(paragraphs) if mean < 2.7 else 0.0
+    if mean < 2.7 and letters > 0.4:
+        kinds.append((LETTER_FIRST, _separate(_shingles(paragraphs, memo, SHINGLE_LETTERS), CHAR_TREES)))
+    if mean < 2.7 and letters < 0.6:
         h = _shingles(paragraphs, memo, SHINGLE_CHARS)
         if count <= CHAR_SHORT:
             kinds.append((CHAR_FIRST, _separate(h, CHAR_TREES)))
@@ -183,58 +202,48 @@ def signature(paragraphs: list[list[str]], memo: _Hashes) -> tuple[np.ndarray, n
     return np.concatenate([np.arange(f, f + len(k), dtype=np.int32) for f, k in kinds]), np.concatenate([k for _, k in kinds])
 
 
-def _in_order(x: np.ndarray, y: np.ndarray) -> int:
-    """Most tokens both have in the same order, in runs of at least ``RUN`` = 2."""
-    n = min(len(x), len(y))
-    differ = np.flatnonzero(x[:n] != y[:n])
-    head = int(differ[0]) if len(differ) else n
-    head = head if head >= RUN else 0
-    x, y = x[head:], y[head:]
-    if not len(x) or not len(y):
-        return head
-    m = len(y)
-    older = best = np.zeros(m + 1, dtype=np.int32)
-    run, same = np.full(m, -(1 << 30), dtype=np.int32), np.zeros(m, dtype=bool)
-    for c in x:
-        now = y == c
-        at = np.flatnonzero(now[1:] & same[:-1]) + 1
-        grown = np.full(m, -(1 << 30), dtype=np.int32)
-        new = best
-        if len(at):
-            grown[at] = np.maximum(run[at - 1] + 1, older[at - 1] + 2)
-            new = best.copy()
-            new[at + 1] = np.maximum(new[at + 1], grown[at])
-            new = np.maximum.accumulate(new)
-        older, best, run, same = best, new, grown, now
-    return head + int(best[-1])
+def _in_order(x: list[str], y: list[str]) -> int:
+    """Most tokens both have in the same order, by the bit-parallel longest common subsequence."""
+    masks: dict[str, int] = {}
+    for i, t in enumerate(y):
+        masks[t] = masks.get(t, 0) | 1 << i
+    full = (1 << len(y)) - 1
+    v = full
+    for t in x:
+        m = masks.get(t)
+        if m is not None:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return len(y) - v.bit_count()
+
+
+def _letter_share(paragraphs: list[list[str]]) -> float:
+    """Share of letters of alphabets among the tokens written without blanks."""
+    single = [t for p in paragraphs for t in p if len(t) == 1]
+    return sum(1 for t in single if _LETTERS.match(t)) / len(single) if single else 0.0
 
 
 def _aligned(a: list[list[str]], b: list[list[str]]) -> float:
     """Share of the longer text's tokens that both have in order, paragraphs moved as fits best."""
-    number: dict[str, int] = {}
-    xs, ys = ([np.array([number.setdefault(t, len(number)) for t in p], dtype=np.int64) for p in ps] for ps in (a, b))
-    x, y = np.concatenate(xs), np.concatenate(ys)
+    x, y = ([t for p in ps for t in p] for ps in (a, b))
     most = max(len(x), len(y))
-
-    def grams(t: np.ndarray) -> Counter:
-        return Counter((t[:-1] * len(number) + t[1:]).tolist())
-
-    # runs of two tokens or more hold at least half as many pairs of neighbours
-    if 2 * sum((grams(x) & grams(y)).values()) + 2 * (len(xs) + len(ys)) < SIMILARITY * most:
+    need = SIMILARITY * most
+    # each token that is not shared breaks at most two pairs of neighbours
+    if sum((Counter(x) & Counter(y)).values()) < need or sum((Counter(zip(x, x[1:])) & Counter(zip(y, y[1:]))).values()) < (3 * SIMILARITY - 2) * most - 2 * (len(a) + len(b)):
         return 0.0
     best = _in_order(x, y)
-    if best < most and len(xs) + len(ys) > 2:
-        for ps, other in ((xs, y), (ys, x)):
+    if best < need and len(a) + len(b) > 2:
+        for ps, other in ((a, y), (b, x)):
             if len(ps) > 1:
-                at: dict[int, list[int]] = {}
-                for i, g in enumerate((other[:-2] * len(number) + other[1:-1]) * len(number) + other[2:]):
-                    at.setdefault(int(g), []).append(i)
+                at: dict[tuple, list[int]] = {}
+                for i, g in enumerate(zip(other, other[1:], other[2:])):
+                    at.setdefault(g, []).append(i)
 
-                def place(p: np.ndarray) -> float:
-                    spots = sorted(i - k for k, g in enumerate((p[:-2] * len(number) + p[1:-1]) * len(number) + p[2:]) for i in at.get(int(g), ())[:4])
+                def place(p: list[str]) -> float:
+                    spots = sorted(i - k for k, g in enumerate(zip(p, p[1:], p[2:])) for i in at.get(g, ())[:4])
                     return spots[len(spots) // 2] if spots else len(other)
 
-                best = max(best, _in_order(np.concatenate(sorted(ps, key=place)), other))
+                best = max(best, _in_order([t for p in sorted(ps, key=place) for t in p], other))
     return best / most
 
 
@@ -248,10 +257,10 @@ def agreement(a: str, b: str) -> float:
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
-    """``(id, cls, norm, trees, keys)`` of rows ``(id, text)``; no row for blank texts.
+    """``(id, cls, norm, sketch, trees, keys)`` of rows ``(id, text)``; no row for blank texts.
 
     ``cls`` is the same for texts of the same wording, ``norm`` the tokens with paragraphs
-    as lines, ``trees`` and ``keys`` the forest's.
+    as lines, ``trees`` and ``keys`` the forest's, ``sketch`` the keys of an unspaced alphabet's trees.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,27 +272,194 @@ def texts_of(docs: DataFrame) -> DataFrame:
                 if not paragraphs:
                     continue
                 norm = [" ".join(t) for t in paragraphs]
+                trees, keys = signature(paragraphs, memo)
+                letters = trees >= LETTER_FIRST
                 rows.append((number, hashlib.blake2b("\n".join(sorted(norm)).encode("utf-8", "surrogatepass"), digest_size=16).digest(), "\n".join(norm),
-                             *signature(paragraphs, memo)))
+                             keys[letters].tobytes() if letters.any() else None, trees, keys))
                 if len(memo) > 200_000:
                     memo.clear()
-            yield pd.DataFrame(rows, columns=["id", "cls", "norm", "trees", "keys"])
+            yield pd.DataFrame(rows, columns=["id", "cls", "norm", "sketch", "trees", "keys"])
 
-    return docs.where("text is not null").mapInPandas(run, "id long, cls binary, norm string, trees array<int>, keys array<long>")
+    return docs.where("text is not null").mapInPandas(run, "id long, cls binary, norm string, sketch binary, trees array<int>, keys array<long>")
 
 
-def index_run(texts: DataFrame) -> DataFrame:
-    """One sorted run of the forest: a row a tree and text, ``(tree, key, id)``, ordered by tree and key."""
-    rows = texts.select(F.explode(F.arrays_zip("trees", "keys")).alias("k"), "id").select(F.col("k.trees").cast("short").alias("tree"), F.col("k.keys").alias("key"), "id")
-    return written(rows.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key"))
+def depths(similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, ...]:
+    """Prefix lengths in levels, from the whole key down to the first at which the recall is reached.
+
+    Agreement ``s`` in words leaves ``s * s`` of the pairs of neighbours when changes are scattered, so
+    a level is the same with a chance of ``s * s / (2 - s * s)``.
+    """
+    same = similarity**SHINGLE / (2 - similarity**SHINGLE)
+    out = [d for d in range(LEVELS, 0, -1)]
+    enough = next((i for i, d in enumerate(out) if 1 - (1 - same**d) ** TREES >= recall), len(out) - 1)
+    return tuple(out[: enough + 1])
+
+
+class Run:
+    """Files of keys sorted by (tree, key, id): their places and their first and last keys."""
+
+    def __init__(self, files: list[tuple[str, int, int, int, int]]):
+        self.files = sorted(files, key=lambda f: f[1:])
+
+    @classmethod
+    def write(cls, keys: DataFrame, path: str) -> Run:
+        """Write ``(id, trees, keys)`` as a sorted run. A key shared by many texts is split by id."""
+        spark = keys.sparkSession
+        rows = keys.select(F.explode(F.arrays_zip("trees", "keys")).alias("k"), "id").select(F.col("k.trees").cast("short").alias("tree"), F.col("k.keys").alias("key"), "id")
+        return cls._sorted(rows, int(keys.agg(F.sum(F.size("trees"))).first()[0] or 0), spark, path)
+
+    @classmethod
+    def _sorted(cls, rows: DataFrame, count: int, spark: SparkSession, path: str) -> Run:
+        parts = max(16, -(-count // FILE_ROWS))
+        rows.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").write.option("compression", "zstd").parquet(path)
+        return cls.read(spark, path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Run:
+        rows = spark.read.schema("tree short, key long, id long").parquet(path)
+        ends = rows.groupBy(F.input_file_name().alias("f")).agg(F.min(F.struct("tree", "key")).alias("lo"), F.max(F.struct("tree", "key")).alias("hi"))
+        return cls([(r["f"], r["lo"]["tree"], r["lo"]["key"], r["hi"]["tree"], r["hi"]["key"]) for r in ends.collect()])
+
+    def frame(self, spark: SparkSession) -> DataFrame | None:
+        return spark.read.schema("tree short, key long, id long").parquet(*[f[0] for f in self.files]) if self.files else None
+
+
+class Forest:
+    """The persistent index in a folder: texts and key runs of everything accepted so far."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @classmethod
+    def temporary(cls, spark: SparkSession) -> Forest:
+        """A forest in the shared folder, removed when the session's process ends."""
+        path = f"{shared_dir(spark).rstrip('/')}/docloom-forest-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, path)
+        return cls(spark, path)
+
+    def _parts(self, kind: str) -> list[str]:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(str(x.getPath()) for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def texts(self) -> DataFrame:
+        """``(id, cls, norm)`` of all texts held."""
+        parts = self._parts("texts")
+        return self.spark.read.schema(_TEXT).parquet(*parts) if parts else self.spark.createDataFrame([], _TEXT)
+
+    def files(self) -> DataFrame:
+        """``(file_id, sha, accepted)`` of uploads taken since the collection was indexed."""
+        parts = self._parts("files")
+        return self.spark.read.schema(_FILE).parquet(*parts) if parts else self.spark.createDataFrame([], _FILE)
+
+    def runs(self) -> list[Run]:
+        return [Run.read(self.spark, p) for p in self._parts("keys")]
+
+    def add(self, signed: DataFrame) -> None:
+        """Add ``(id, cls, norm, sketch, trees, keys)``; copies of a wording share one entry in the trees."""
+        name = f"run-{len(self._parts('texts')):06d}-{uuid.uuid4().hex[:8]}"
+        first = signed.groupBy("cls").agg(F.min("id").alias("id"))
+        Run.write(signed.select("id", "trees", "keys").join(first, "id", "left_semi"), f"{self.path}/keys/{name}")
+        signed.select("id", "cls", "norm", "sketch").write.option("compression", "zstd").parquet(f"{self.path}/texts/{name}")
+        if len(self._parts("keys")) > MAX_RUNS:
+            self.merge()
+
+    def merge(self) -> None:
+        """Merge all key runs into one; texts are neither read nor signed."""
+        old = self._parts("keys")
+        rows = self.spark.read.schema("tree short, key long, id long").parquet(*old)
+        Run._sorted(rows, rows.count(), self.spark, f"{self.path}/keys/merged-{uuid.uuid4().hex[:8]}")
+        for p in old:
+            _remove(self.spark, p)
+
+    def accept(self, signed: DataFrame, decided: DataFrame) -> None:
+        """Take in a batch: texts of accepted uploads, and files and bytes of those that count later."""
+        kept = decided.where("status in ('accepted', 'bytes') and file_id is not null")
+        kept.selectExpr("file_id", "sha", "status = 'accepted' as accepted").write.parquet(f"{self.path}/files/batch-{uuid.uuid4().hex}")
+        new = decided.where("status = 'accepted' and file_id is not null").select((F.col("seq") * 2 + 1).alias("id"), "file_id")
+        self.add(written(signed.join(new, "id").withColumn("id", F.col("file_id") * 2).drop("file_id")))
+
+
+_TEXT, _FILE = "id long, cls binary, norm string, sketch binary", "file_id long, sha string, accepted boolean"
+
+
+@lru_cache(maxsize=4)
+def _opened(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    t = pq.read_table(path, filesystem=system)
+    return tuple(t.column(c).to_numpy() for c in ("tree", "key", "id"))
 
 
-def merged(*runs: DataFrame) -> DataFrame:
-    """The index over several runs, read together; each stays sorted as it was written."""
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
-    return out
+def _bounds(tree: np.ndarray, key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last key of each prefix; short texts are looked up by whole keys, unspaced alphabets by shorter ones."""
+    short = (tree >= WORD_FIRST) & (tree < WORD_FIRST + TREES)
+    drop = LEVELS - depth
+    shift = 16 * np.where(short, 0, np.where(tree >= LETTER_FIRST, min(2 * drop, LEVELS - 1), drop)).astype(np.int64)
+    lo = (key >> shift) << shift
+    return lo, lo | ((np.int64(1) << shift) - 1)
+
+
+def lookup(run: Run, entries: DataFrame, depth: int, skip: int = 0, take: int = RANGE, *, earlier: bool = False) -> DataFrame:
+    """``(a, b)``: texts ``b`` of the run in the ranges of the keys ``(a, tree, key)``.
+
+    Of each file's part of a range the ``skip``-th to ``take``-th by id come out; a null ``b`` tells that there are
+    more. With ``earlier`` only smaller ids count.
+    """
+    files = run.files
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, tree, key = (batch.column(c).to_numpy() for c in ("a", "tree", "key"))
+            lo, hi = _bounds(tree, key, depth)
+            rows, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for t in np.unique(tree):
+                at = np.flatnonzero(tree == t)
+                for n, (_, t0, k0, t1, k1) in enumerate(files):
+                    if t0 <= t <= t1:
+                        ok = at[((t0 < t) | (hi[at] >= k0)) & ((t < t1) | (lo[at] <= k1))]
+                        rows.append(ok), parts.append(np.full(len(ok), n, np.int32))
+            take_ = np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(a[take_]), pa.array(tree[take_]), pa.array(key[take_])], names=["part", "a", "tree", "key"])
+
+    def search(t: pa.Table) -> pa.Table:
+        a, tree, key = (t.column(c).to_numpy() for c in ("a", "tree", "key"))
+        out_a, out_b, more = [], [], []
+        if len(a):
+            trees, keys, ids = _opened(files[int(t.column("part")[0].as_py())][0])
+            lo, hi = _bounds(tree, key, depth)
+            for one in np.unique(tree):
+                at = np.flatnonzero(tree == one)
+                x, y = np.searchsorted(trees, one, "left"), np.searchsorted(trees, one, "right")
+                begin, end = x + np.searchsorted(keys[x:y], lo[at], "left"), x + np.searchsorted(keys[x:y], hi[at], "right")
+                # ranges asked for by several texts are sorted once
+                spans, which = np.unique(np.stack([begin, end], axis=1), axis=0, return_inverse=True)
+                order = np.argsort(which.ravel(), kind="stable")
+                cuts = np.searchsorted(which.ravel()[order], np.arange(len(spans) + 1))
+                for i, (p, q) in enumerate(spans.tolist()):
+                    if q - p <= skip:
+                        continue
+                    who = a[at[order[cuts[i]: cuts[i + 1]]]]
+                    there = np.sort(ids[p:q])
+                    block = there[skip:take]
+                    aa, bb = np.repeat(who, len(block)), np.tile(block, len(who))
+                    keep = bb < aa if earlier else bb != aa
+                    out_a.append(aa[keep]), out_b.append(bb[keep])
+                    if len(there) > take:
+                        more.append(who[who > there[take]] if earlier else who)
+        more = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
+        pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0) if out_a else np.zeros((0, 2), np.int64)
+        return pa.table({"a": np.concatenate([pairs[:, 0], more]), "b": pa.array(np.concatenate([pairs[:, 1], more]), mask=np.arange(len(pairs) + len(more)) >= len(pairs))})
+
+    if not files:
+        return entries.sparkSession.createDataFrame([], "a long, b long")
+    routed = entries.mapInArrow(route, "part int, a long, tree short, key long")
+    # a file many keys go to is searched by several tasks
+    sizes = routed.groupBy("part").agg(F.count("*").alias("_n"))
+    spread = routed.join(sizes, "part").withColumn("salt", F.pmod(F.xxhash64("a"), F.expr(f"_n div {TASK_KEYS} + 1"))).drop("_n")
+    return spread.groupBy("part", "salt").applyInArrow(search, "a long, b long")
 
 
 def _count():
@@ -293,64 +469,72 @@ def _count():
 
 def _verified(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose whole texts agree; only texts that are in some pair are moved."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(norms.join(asked, "id", "left_semi"))
+
+    @F.pandas_udf("int")
+    def shared(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else int((np.frombuffer(p, np.uint16) == np.frombuffer(q, np.uint16)).sum()) for p, q in zip(x, y)], dtype="Int32")
 
     @F.pandas_udf("double")
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([agreement(p, q) for p, q in zip(x, y)], dtype="float64")
 
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("_x"), _count().alias("_n")), "a")
-    right = texts.select(F.col("id").alias("b"), F.col("norm").alias("_y"), _count().alias("_m"))
-    # numbers of tokens alone rule many hits out, before any text is moved into Python
-    near = left.join(right, "b").where(f"least(_n, _m) >= {similarity} * greatest(_n, _m)")
-    return near.select("a", "b", agree("_x", "_y").alias("sim")).where(F.col("sim") >= similarity)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = written(norms.join(asked, "id", "left_semi").withColumn("n", _count()))
+    # numbers of tokens and sketches alone rule many hits out, before any text is moved
+    light = pairs.join(texts.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("sketch").alias("_s")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("n").alias("_m"), F.col("sketch").alias("_t")), "b").where(f"least(_n, _m) >= {similarity} * greatest(_n, _m)")
+    bare = light.where("_s is null or _t is null").select("a", "b")
+    near = written(light.where("_s is not null and _t is not null").select("a", "b", shared("_s", "_t").alias("_k")).where(f"_k >= {LEAST_SHARED}").select("a", "b").unionByName(bare))
+    both = near.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("_x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("_y")), "b")
+    return both.select("a", "b", agree("_x", "_y").alias("sim")).where(F.col("sim") >= similarity)
 
 
-def _short():
-    return F.col("tree").between(WORD_FIRST, WORD_FIRST + TREES - 1)
+def entries(signed: DataFrame) -> DataFrame:
+    """``(a, tree, key)`` of signed texts."""
+    return signed.select(F.col("id").alias("a"), F.explode(F.arrays_zip("trees", "keys")).alias("k")).select("a", F.col("k.trees").cast("short").alias("tree"), F.col("k.keys").alias("key"))
 
 
-def _prefix(depth: int):
-    return F.when(_short(), F.col("key")).otherwise(F.shiftright("key", 16 * (LEVELS - depth))).alias("prefix")
+def _long_ones(keys: DataFrame) -> DataFrame:
+    """Keys whose prefixes may be shortened; short texts have met by whole keys."""
+    return keys.where(~F.col("tree").between(WORD_FIRST, WORD_FIRST + TREES - 1))
 
 
-def matches(index: DataFrame, batch: DataFrame, norms: DataFrame, *, similarity: float = SIMILARITY,
-            depths: tuple[int, ...] = DEPTHS) -> DataFrame:
-    """``(a, b, sim)``: texts of the batch with stored texts of the index that agree with them.
+def matches(runs: list[Run], batch: DataFrame, norms: DataFrame, *, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """``(a, b, sim)``: texts of the batch, ``(a, tree, key)``, with texts of the runs that agree with them.
 
-    ``batch`` has the keys of the new texts, ``(id, tree, key)``. One stored match decides a
-    text, so it leaves the search with the block that gave it one. Smaller ids come first
-    where a range has to be taken in blocks.
+    One stored match decides a text, so it leaves the search with the step that gave it one.
     """
     found: DataFrame | None = None
-    open_batch = batch
-    for depth in depths:
-        if depth < depths[0]:  # short texts have met by whole keys
-            open_batch = open_batch.where(~_short())
-        seek = open_batch.select("tree", _prefix(depth), F.col("id").alias("a"))
-        ranges = index.select("tree", _prefix(depth), F.col("id").alias("b")).join(seek.select("tree", "prefix").distinct(), ["tree", "prefix"], "left_semi")
-        ranked = written(ranges.select("tree", "prefix", "b", F.expr(
-            f"cast((row_number() over (partition by tree, prefix order by b) - 1) div {RANGE} as int)").alias("block")))
-        block, last = 0, ranked.agg(F.max("block")).first()[0]
-        while last is not None and block <= last:
-            targets = ranked.where(F.col("block") == block).drop("block")
-            pairs = seek.join(targets, ["tree", "prefix"]).where("a <> b").select("a", "b").distinct()
+    still = batch
+    for n, depth in enumerate(depths(similarity, recall)):
+        left = still if n == 0 else _long_ones(still)
+        skip, take = 0, RANGE
+        while True:
+            hits = None
+            for run in runs:
+                part = lookup(run, left, depth, skip, take)
+                hits = part if hits is None else hits.unionByName(part)
+            if hits is None:
+                break
+            hits = written(hits)
+            pairs = hits.where("b is not null").distinct()
             if found is not None:
                 pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
             new = written(_verified(written(pairs), norms, similarity))
             found = new if found is None else found.unionByName(new)
-            block += 1
-            if block <= last:  # only those still without a match go on to the next block
-                seek = seek.join(new.select("a").distinct(), "a", "left_anti")
+            more = written(hits.where("b is null").select("a").distinct().join(new.select("a").distinct(), "a", "left_anti"))
+            if more.isEmpty():
+                break
+            left = written(left.join(more, "a", "left_semi"))
+            skip, take = take, take * GROWTH
         if found is not None:
-            open_batch = open_batch.join(found.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+            still = still.join(found.select("a").distinct(), "a", "left_anti")
     if found is None:
         return batch.sparkSession.createDataFrame([], "a long, b long, sim double")
     return found
 
 
-def earlier(batch: DataFrame, norms: DataFrame, plain: DataFrame, *, similarity: float = SIMILARITY, depth: int = DEPTHS[-1]) -> DataFrame:
+def earlier(run: Run, batch: DataFrame, norms: DataFrame, plain: DataFrame, *, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """``(a, b, sim)``: texts of uploads with those of earlier ones, ``b < a``, as far as they can decide ``a``.
 
     A text leaves the search only when it agrees with one sure to be accepted: one of
@@ -359,23 +543,22 @@ def earlier(batch: DataFrame, norms: DataFrame, plain: DataFrame, *, similarity:
     so nothing else depends on it; all other pairs of a range are compared. Ranges are wide
     enough here to hold those of all greater depths.
     """
-    seek = batch.select("tree", _prefix(depth), F.col("id").alias("a"))
-    ranges = seek.withColumn("size", F.count("*").over(Window.partitionBy("tree", "prefix"))).where("size > 1").drop("size")
-    rest = seek = written(ranges)
-    found: DataFrame | None = None
+    depth = depths(similarity, recall)[-1]
+    left, found, skip, take = batch, None, 0, RANGE
     while True:
-        ranked = written(rest.withColumn("n", F.row_number().over(Window.partitionBy("tree", "prefix").orderBy("a"))))
-        head, rest = ranked.where(f"n <= {RANGE}"), ranked.where(f"n > {RANGE}").drop("n")
-        pairs = seek.join(head.select("tree", "prefix", F.col("a").alias("b")), ["tree", "prefix"]).where("b < a").select("a", "b").distinct()
+        hits = written(lookup(run, left, depth, skip, take, earlier=True))
+        pairs = hits.where("b is not null").distinct()
         if found is not None:
             pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
         new = written(_verified(written(pairs), norms, similarity))
         found = new if found is None else found.unionByName(new)
-        if not rest.limit(1).count():
+        more = written(hits.where("b is null").select("a").distinct())
+        if more.isEmpty():
             return found
-        sure = plain.join(rest.select(F.col("a").alias("id")), "id", "left_anti").join(found.select(F.col("a").alias("id")), "id", "left_anti")
-        closed = written(found.join(sure.select(F.col("id").alias("b")), "b", "left_semi").select("a").distinct())
-        rest, seek = rest.join(closed, "a", "left_anti"), written(seek.join(closed, "a", "left_anti"))
+        sure = plain.join(more, F.col("id") == F.col("a"), "left_anti").join(found.select(F.col("a").alias("id")), "id", "left_anti")
+        closed = found.join(sure.select(F.col("id").alias("b")), "b", "left_semi").select("a").distinct()
+        left = written(left.join(more.join(closed, "a", "left_anti"), "a", "left_semi"))
+        skip, take = take, take * GROWTH
 
 
 def _stored(chunks: DataFrame) -> DataFrame:
@@ -384,28 +567,41 @@ def _stored(chunks: DataFrame) -> DataFrame:
         F.col("file_id").alias("key"), F.expr("array_join(transform(_p, x -> x.contents), '\n\n')").alias("text"))
 
 
-def repeats(uploads: DataFrame, chunks: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """``(seq, kind, match_file_id)`` of the uploads that repeat something."""
+def indexed(chunks: DataFrame, forest: Forest | None = None) -> Forest:
+    """The forest of a stored collection; text ids are even numbers, twice the file's."""
+    forest = forest or Forest.temporary(chunks.sparkSession)
+    forest.add(written(texts_of(_stored(chunks).select((F.col("key") * 2).alias("id"), "text"))))
+    return forest
+
+
+def decided(uploads: DataFrame, chunks: DataFrame, forest: Forest, *, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """State of a batch of uploads, ``(seq, file_id, sha, cls, .., status, match)``, and its signed texts.
+
+    Of ``chunks`` only file ids and hashes are read; texts come from the forest.
+    """
     up = uploads.where("seq is not null").select(
         "seq", F.col("file_id").cast("long").alias("file_id"), F.sha2("content", 256).alias("sha"), F.array_join("pages", "\n\n").alias("text"))
-    # text ids: even numbers for files and odd ones for uploads, each in order
-    stored_id, upload_id = F.col("key") * 2, F.col("seq") * 2 + 1
-    texts = written(texts_of(up.select(upload_id.alias("id"), "text").unionByName(_stored(chunks).select(stored_id.alias("id"), "text"))))
-    is_stored = F.col("id") % 2 == 0
+    # ids of uploads are odd numbers, in order
+    signed = written(texts_of(up.select((F.col("seq") * 2 + 1).alias("id"), "text")))
+    stored = forest.texts()
     # one id a distinct wording: its smallest file, else its first upload
-    classes = texts.select("id", "cls").groupBy("cls").agg(F.min(F.struct((~is_stored).alias("n"), F.col("id"))).getField("id").alias("rep"), F.max(~is_stored).alias("new"))
-    of_text = written(texts.select("id", "cls").join(classes, "cls").select("id", "rep", "new"))
-    keys = texts.select("id", "trees", "keys").join(of_text.where("id = rep").select("id", "new"), "id")
-    stored_run, upload_run = index_run(keys.where(is_stored)), index_run(keys.where(~is_stored))
-    norms = texts.select("id", "norm")
-    to_stored = matches(stored_run, upload_run, norms, similarity=similarity)
-
-    files = of_text.where(is_stored).groupBy(F.col("rep").alias("b")).agg((F.min("id") / 2).cast("long").alias("file"))
-    stored_near = written(to_stored.unionByName(files.select(F.col("b").alias("a"), "b", F.lit(1.0).alias("sim"))).join(files, "b").groupBy(F.col("a").alias("rep")).agg(
-        F.min(F.struct((-F.col("sim")).alias("s"), F.col("file"))).getField("file").alias("s_near")))
-    known = chunks.where("file_id is not null").select("file_id").distinct().withColumn("s_id", F.lit(True))
-    hashes = chunks.where("is_search and content_hash <> ''").groupBy(F.lower("content_hash").alias("sha")).agg(F.min("file_id").alias("s_bytes"))
-    of_upload = of_text.where(~is_stored).select(((F.col("id") - 1) / 2).cast("long").alias("seq"), F.col("rep").alias("cls")).distinct()
+    held = stored.groupBy("cls").agg(F.min("id").alias("s"))
+    mine = signed.groupBy("cls").agg(F.min("id").alias("u"))
+    of_text = written(signed.select("id", "cls").join(mine, "cls").join(held, "cls", "left").select("id", F.coalesce("s", "u").alias("rep"), F.col("s").alias("same")))
+    new = signed.join(of_text.where("id = rep").select("id"), "id", "left_semi")
+    keys = entries(new)
+    norms = signed.select("id", "norm", "sketch").unionByName(stored.select("id", "norm", "sketch"))
+    to_stored = matches(forest.runs(), keys, norms, similarity=similarity, recall=recall)
+
+    equal = of_text.where("same is not null").select(F.col("rep").alias("rep"), F.shiftright("same", 1).alias("file"), F.lit(1.0).alias("sim"))
+    # a wording held under several files is named by the smallest
+    near = to_stored.select(F.col("a").alias("rep"), F.shiftright("b", 1).alias("file"), "sim")
+    stored_near = written(near.unionByName(equal).groupBy("rep").agg(F.min(F.struct((-F.col("sim")).alias("s"), F.col("file"))).getField("file").alias("s_near")))
+    since = forest.files()
+    known = chunks.select(F.col("file_id").cast("long").alias("file_id")).unionByName(since.select("file_id")).where("file_id is not null").distinct().withColumn("s_id", F.lit(True))
+    hashes = chunks.where("is_search and content_hash <> ''").select(F.lower("content_hash").alias("sha"), F.col("file_id").cast("long").alias("file_id")).unionByName(
+        since.where("accepted and sha is not null").select("sha", "file_id")).groupBy("sha").agg(F.min("file_id").alias("s_bytes"))
+    of_upload = of_text.select(F.shiftright("id", 1).alias("seq"), F.col("rep").alias("cls")).distinct()
     state = written(up.select("seq", "file_id", "sha").join(of_upload, "seq", "left").join(known, "file_id", "left").join(hashes, "sha", "left").join(
         stored_near.withColumnRenamed("rep", "cls"), "cls", "left").withColumns({"status": F.lit(None).cast("string"), "match": F.lit(None).cast("long")}))
     # only wordings that can be accepted are compared with each other
@@ -413,15 +609,90 @@ def repeats(uploads: DataFrame, chunks: DataFrame, *, similarity: float = SIMILA
     firsts = [state.where(f"{c} is not null").groupBy(c).agg(F.min("seq").alias(f"first_{c}")) for c in ("file_id", "sha")]
     plain = written(able.where("cls = seq * 2 + 1").join(firsts[0], "file_id", "left").join(firsts[1], "sha", "left").where(
         "coalesce(first_file_id, seq) = seq and coalesce(first_sha, seq) = seq").select(F.col("cls").alias("id")))
-    edges = earlier(upload_run.join(able.select(F.col("cls").alias("id")).distinct(), "id", "left_semi"), norms, plain, similarity=similarity)
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    return _settled(state, written(both)).where("status <> 'accepted'").select("seq", F.col("status").alias("kind"), F.col("match").alias("match_file_id"))
+    open_texts = written(signed.join(able.select(F.col("cls").alias("id")).distinct(), "id", "left_semi"))
+    path = f"{shared_dir(up.sparkSession).rstrip('/')}/docloom-run-{uuid.uuid4().hex}"
+    atexit.register(_remove, up.sparkSession, path)
+    links = earlier(Run.write(open_texts.select("id", "trees", "keys"), path), entries(open_texts), signed.select("id", "norm", "sketch"), plain, similarity=similarity, recall=recall)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    return _settled(state, written(both)), signed
+
+
+def repeats(uploads: DataFrame, chunks: DataFrame, forest: Forest | None = None, *, similarity: float = SIMILARITY, recall: float = RECALL, accept: bool = False) -> DataFrame:
+    """``(seq, kind, match_file_id)`` of the uploads that repeat something.
+
+    With a ``forest`` the collection's texts are not read again. ``accept`` adds the batch's accepted texts to it,
+    for the next batch to be held against.
+    """
+    held = forest if forest is not None else indexed(chunks)
+    state, signed = decided(uploads, chunks, held, similarity=similarity, recall=recall)
+    if accept:
+        held.accept(signed, state)
+    return state.where("status <> 'accepted'").select("seq", F.col("status").alias("kind"), F.col("match").alias("match_file_id"))
+
+
+_DECISION = """CASE
+    WHEN s_id OR a_file < seq THEN struct('id' AS status, file_id AS match)
+    WHEN u_file < seq THEN NULL
+    WHEN s_bytes IS NOT NULL THEN struct('bytes' AS status, s_bytes AS match)
+    WHEN a_sha.seq < seq THEN struct('bytes' AS status, a_sha.file_id AS match)
+    WHEN u_sha < seq THEN NULL
+    WHEN s_near IS NOT NULL THEN struct('near' AS status, s_near AS match)
+    WHEN a_cls.seq < seq THEN struct('near' AS status, a_cls.file_id AS match)
+    WHEN u_cls < seq THEN NULL
+    WHEN n_acc IS NOT NULL THEN struct('near' AS status, n_acc.file AS match)
+    WHEN n_open IS NOT NULL THEN NULL
+    ELSE struct('accepted' AS status, file_id AS match) END"""
+_STATE = "seq long, file_id long, sha string, cls long, s_id boolean, s_bytes long, s_near long, status string, match long"
+
+
+def _one_by_one(state: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Decide the uploads without a status one by one; the others are decided already."""
+    around: dict[int, list[tuple[int, float]]] = {}
+    for a, b, sim in zip(links["a"].tolist(), links["b"].tolist(), links["sim"].tolist()):
+        around.setdefault(a, []).append((b, sim))
+    files: set[int] = set()
+    shas: dict[str, int] = {}
+    classes: dict[int, tuple[int, int]] = {}
+    state = state.sort_values("seq", kind="stable")
+    out = []
+    for r in state.astype(object).where(state.notna(), None).itertuples(index=False):
+        status, match = r.status, r.match
+        if status is None:
+            if r.s_id or r.file_id is not None and r.file_id in files:
+                status, match = "id", r.file_id
+            elif r.s_bytes is not None:
+                status, match = "bytes", r.s_bytes
+            elif r.sha is not None and r.sha in shas:
+                status, match = "bytes", shas[r.sha]
+            elif r.s_near is not None:
+                status, match = "near", r.s_near
+            elif r.cls is not None and r.cls in classes:
+                status, match = "near", classes[r.cls][1]
+            else:
+                met = [(-sim, *classes[b]) for b, sim in around.get(r.cls, ()) if b in classes] if r.cls is not None else []
+                status, match = ("near", min(met, key=lambda m: m[:2])[2]) if met else ("accepted", r.file_id)
+        if status in ("accepted", "bytes") and r.file_id is not None:
+            files.add(r.file_id)
+        if status == "accepted":
+            if r.sha is not None:
+                shas.setdefault(r.sha, r.file_id)
+            if r.cls is not None:
+                classes.setdefault(r.cls, (r.seq, r.file_id))
+        out.append((*r[:7], status, match))
+    result = pd.DataFrame(out, columns=list(state.columns))
+    return result.astype({c: "Int64" for c in ("seq", "file_id", "cls", "s_bytes", "s_near", "match")})
 
 
 def _settled(state: DataFrame, edges: DataFrame) -> DataFrame:
-    """Decide uploads in rounds, as if they came one by one."""
+    """Decide uploads as if they came one by one: in rounds over the table while many are open, the last ones in one task.
+
+    Every round decides at least the earliest open upload of each group of uploads that depend on each
+    other; where uploads come in no special order, chains of undecided ones shorten geometrically.
+    """
     done: DataFrame | None = None
     while True:
+        if state.where("status is null").limit(LAST_UPLOADS + 1).count() <= LAST_UPLOADS and edges.limit(LAST_LINKS + 1).count() <= LAST_LINKS:
+            return _last(state, edges, done)
         kept = state.where("status in ('accepted', 'bytes')") if done is None else done.where("status in ('accepted', 'bytes')")
         left = state.where("status is null")
         by_file = kept.groupBy("file_id").agg(F.min("seq").alias("a_file"))
@@ -438,29 +709,72 @@ def _settled(state: DataFrame, edges: DataFrame) -> DataFrame:
             F.min(F.expr("CASE WHEN u_cls < seq THEN u_cls END")).alias("n_open"))
         step = left.join(by_file, "file_id", "left").join(open_file, "file_id", "left").join(by_sha, "sha", "left").join(open_sha, "sha", "left").join(
             by_cls, "cls", "left").join(open_cls, "cls", "left").join(near, "seq", "left")
-        decided = step.withColumn("_d", F.expr("""CASE
-            WHEN s_id OR a_file < seq THEN struct('id' AS status, file_id AS match)
-            WHEN u_file < seq THEN NULL
-            WHEN s_bytes IS NOT NULL THEN struct('bytes' AS status, s_bytes AS match)
-            WHEN a_sha.seq < seq THEN struct('bytes' AS status, a_sha.file_id AS match)
-            WHEN u_sha < seq THEN NULL
-            WHEN s_near IS NOT NULL THEN struct('near' AS status, s_near AS match)
-            WHEN a_cls.seq < seq THEN struct('near' AS status, a_cls.file_id AS match)
-            WHEN u_cls < seq THEN NULL
-            WHEN n_acc IS NOT NULL THEN struct('near' AS status, n_acc.file AS match)
-            WHEN n_open IS NOT NULL THEN NULL
-            ELSE struct('accepted' AS status, file_id AS match) END"""))
+        decided = step.withColumn("_d", F.expr(_DECISION))
         columns = ["seq", "file_id", "sha", "cls", "s_id", "s_bytes", "s_near"]
         out = written(decided.select(*columns, F.col("_d.status").alias("status"), F.col("_d.match").alias("match")))
         new = out.where("status is not null")
         done = new if done is None else done.unionByName(new)
-        state = out
-        if not out.where("status is null").limit(1).count():
-            return done
+        state = written(out.where("status is null"))
+
+
+def _last(state: DataFrame, edges: DataFrame, done: DataFrame | None) -> DataFrame:
+    """The open uploads, known to be few, with the decided ones they may depend on, in one task."""
+    columns = ["seq", "file_id", "sha", "cls", "s_id", "s_bytes", "s_near", "status", "match"]
+    left = state.select(*columns)
+    links = edges.select("a", "b", "sim")
+    if done is not None:
+        opened = state.select("file_id", "sha", "cls")
+        beside = opened.select("cls").unionByName(edges.join(opened.select(F.col("cls").alias("a")).distinct(), "a", "left_semi").select(F.col("b").alias("cls"))).distinct()
+        # of decided uploads the first of each file, bytes and wording is enough
+        kept = done.where("status in ('accepted', 'bytes')")
+        firsts = None
+        for c, wanted in (("file_id", opened.select("file_id").distinct()), ("sha", opened.select("sha").distinct()), ("cls", beside)):
+            rows = kept if c == "file_id" else kept.where("status = 'accepted'")
+            seqs = rows.join(wanted.where(f"{c} is not null"), c, "left_semi").groupBy(c).agg(F.min("seq").alias("seq")).select("seq")
+            firsts = seqs if firsts is None else firsts.unionByName(seqs)
+        left = left.unionByName(kept.join(firsts.distinct(), "seq", "left_semi").select(*columns))
+    whole = left.withColumn("_g", F.lit(0)).groupBy("_g").cogroup(links.withColumn("_g", F.lit(0)).groupBy("_g")).applyInPandas(
+        lambda x, y: _one_by_one(x.drop(columns="_g"), y), _STATE)
+    settled = written(whole.join(state.select("seq"), "seq", "left_semi"))
+    return settled if done is None else done.select(*columns).unionByName(settled)
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
     return repeats(table(spark, d, "documents_in"), table(spark, d, "chunks"))
 
 
-QUERIES = {"p3_found": found}
+def recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the forest's search against comparing texts one by one.
+
+    The stated query set, uploads whose ``seq`` is divisible by 100, is held against every stored text,
+    block by block; a query counts as found if the forest names at least one text that agrees with it.
+    """
+    forest = indexed(table(spark, d, "chunks"))
+    up = table(spark, d, "documents_in").where("seq % 100 = 0").select((F.col("seq") * 2 + 1).alias("id"), F.array_join("pages", "\n\n").alias("text"))
+    signed = written(texts_of(up))
+    stored = forest.texts()
+    met = matches(forest.runs(), entries(signed), signed.select("id", "norm", "sketch").unionByName(stored.select("id", "norm", "sketch"))).select("a").distinct().withColumn("hit", F.lit(1))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        mine = list(zip(left.column("id").to_pylist(), left.column("norm").to_pylist()))
+        bags = [Counter(n.split()) for _, n in mine]
+        agree = []
+        for other in right.column("norm").to_pylist():
+            bag = Counter(other.split())
+            size = sum(bag.values())
+            for (number, norm), own in zip(mine, bags):
+                n = sum(own.values())
+                # tokens both have, in whatever order, are the most they can agree in
+                if min(n, size) >= SIMILARITY * max(n, size) and sum((own & bag).values()) >= SIMILARITY * max(n, size) and agreement(norm, other) >= SIMILARITY:
+                    agree.append(number)
+        return pa.table({"a": pa.array(sorted(set(agree)), pa.int64())})
+
+    cells = 64
+    blocks = max(1, signed.count() // 200)
+    queries = signed.select("id", "norm", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    others = stored.select("norm", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int").alias("cell")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    truth = queries.groupBy("cell", "block").cogroup(others.groupBy("cell", "block")).applyInArrow(compare, "a long").distinct()
+    return truth.join(met, "a", "left").agg(F.count("*").alias("queries"), F.count("hit").alias("found"), F.round(F.expr("try_divide(count(hit), count(*))"), 4).alias("recall"))
+
+
+QUERIES = {"p3_found": found, "p3_recall": recall}

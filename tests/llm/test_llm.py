@@ -217,6 +217,88 @@ def test_batches_family_over_range(spark, monkeypatch):
     assert got == want
 
 
+CHUNK = "id long, file_id long, parent_id long, hierarchy string, type string, content_hash string, is_search boolean, contents string"
+
+
+def chain_uploads():
+    """Near copies in chains, so that each upload hangs on the one before, with repeats of files and bytes among them."""
+    up, seq = [], 0
+    for c in range(4):
+        text = words(300 + c, 100)
+        for step in range(7):
+            seq += 1
+            text = text[:14 * step] + [f"c{c}s{step}n{j}" for j in range(14)] + text[14 * step + 14:]
+            up.append((seq, 1000 + seq, b"x%d" % seq, [" ".join(text)]))
+    up += [(seq + 1, 1003, b"new", ["anything else at all"]), (seq + 2, 2000, b"x5", ["some words here"]), (seq + 3, 2001, None, None)]
+    return up
+
+
+def brute_repeats(uploads, stored):
+    """One upload after the other, by the definition."""
+    import hashlib
+
+    norm = lambda pages: "\n".join(" ".join(batchdedup.tokens(p)) for p in (pages or []) if batchdedup.tokens(p))
+    files, shas, texts, out = {f for f, _ in stored}, {}, [(f, norm([t])) for f, t in stored], {}
+    for seq, file_id, content, pages in sorted(uploads):
+        sha, text = content and hashlib.sha256(content).hexdigest(), norm(pages)
+        near = [(-batchdedup.agreement(text, t), i, f) for i, (f, t) in enumerate(texts) if text and t and batchdedup.agreement(text, t) >= 0.8]
+        if file_id in files:
+            out[seq] = ("id", file_id)
+        elif sha in shas:
+            out[seq] = ("bytes", shas[sha])
+            files.add(file_id)
+        elif near:
+            out[seq] = ("near", min(near)[2])
+        else:
+            files.add(file_id)
+            if sha:
+                shas[sha] = file_id
+            texts.append((file_id, text))
+    return out
+
+
+@pytest.mark.parametrize("last", [200_000, 0])
+def test_chains_equal_one_by_one(spark, monkeypatch, last):
+    monkeypatch.setattr(batchdedup, "LAST_UPLOADS", last)
+    stored = [(500, " ".join(words(301, 100)))]
+    chunks = frame(spark, CHUNK, [(1, 500, 1, "parent", "text", "", True, stored[0][1])])
+    up = chain_uploads()
+    got = {r[0]: (r[1], r[2]) for r in batchdedup.repeats(frame(spark, "seq long, file_id long, content binary, pages array<string>", up), chunks).collect()}
+    want = brute_repeats(up, stored)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and got == want
+
+
+def test_forest_takes_batches_without_the_history(spark, tmp_path, monkeypatch):
+    """Batch by batch against the kept forest gives what all at once gives, though no stored text can be read again."""
+    monkeypatch.setattr(batchdedup, "MAX_RUNS", 1)
+    stored = [(500 + i, " ".join(words(400 + i, 90))) for i in range(6)]
+    chunks = frame(spark, CHUNK, [(i, f, 1, "parent", "text", "", True, t) for i, (f, t) in enumerate(stored)])
+    up = chain_uploads() + [(100 + i, 3000 + i, b"s%d" % i, [t.upper() + " extra"]) for i, (_, t) in enumerate(stored)]
+    schema = "seq long, file_id long, content binary, pages array<string>"
+    want = {r[0]: (r[1], r[2]) for r in batchdedup.repeats(frame(spark, schema, up), chunks).collect()}
+    forest = batchdedup.indexed(chunks, batchdedup.Forest(spark, str(tmp_path / "forest")))
+    unread = chunks.selectExpr(*[c for c in chunks.columns if c != "contents"], "assert_true(false) is null as b").selectExpr(*[c for c in chunks.columns if c != "contents"], "cast(b as string) as contents")
+    got = {}
+    for part in (up[:9], up[9:20], up[20:]):
+        got |= {r[0]: (r[1], r[2]) for r in batchdedup.repeats(frame(spark, schema, part), unread, forest, accept=True).collect()}
+        assert len(forest._parts("keys")) == 1  # merged
+    assert got == want
+    run = forest.runs()[0]
+    rows = spark.read.parquet(run.files[0][0]).collect()
+    assert [(r.tree, r.key, r.id) for r in rows] == sorted((r.tree, r.key, r.id) for r in rows)
+
+
+def test_prefixes_widen_until_the_recall():
+    assert batchdedup.depths(0.8, 0.7) == (4,) and batchdedup.depths(0.8, 0.95) == (4, 3) and batchdedup.depths(0.8, 0.999) == (4, 3, 2)
+
+
+def test_large_file_ids_keep_their_value(spark):
+    big = (1 << 61) + 1
+    chunks = frame(spark, CHUNK, [(1, big, 1, "parent", "text", "", True, " ".join(words(7)))])
+    up = frame(spark, "seq long, file_id long, content binary, pages array<string>", [(1, 5, b"a", [" ".join(words(7)[:-3])])])
+    assert [tuple(r) for r in batchdedup.repeats(up, chunks).collect()] == [(1, "near", big)]
+
+
 def scattered(seed, tokens, share, alphabet):
     """The tokens with a share of them, picked at random, replaced by others."""
     rng = np.random.default_rng(seed)
@@ -237,7 +319,7 @@ def share_a_tree(a, b, depth=3):
 
 def test_unspaced_scripts():
     rng = np.random.default_rng(2)
-    met = 0
+    met = thai = 0
     for i in range(60):
         alphabet = (HAN, THAI)[i % 2]
         a = [alphabet[int(x)] for x in rng.integers(0, len(alphabet), 150 + 8 * i)]
@@ -247,8 +329,13 @@ def test_unspaced_scripts():
         half = len(a) // 2
         moved = " ".join(b[half:]) + "\n" + " ".join(b[:half])
         assert batchdedup.agreement(" ".join(a[:half]) + "\n" + " ".join(a[half:]), moved) >= 0.8
-        met += share_a_tree(a, scattered(i, a, 0.2, alphabet))
-    assert met >= 57
+        if alphabet is HAN:
+            met += share_a_tree(a, scattered(i, a, 0.2, alphabet))
+        else:
+            thai += share_a_tree(a, scattered(i, a, 0.12, alphabet), depth=2)
+            c, d = (batchdedup.signature([x], batchdedup._Hashes())[1].view(np.uint16) for x in (a, scattered(i, a, 0.2, alphabet)))
+            assert (c == d).sum() >= batchdedup.LEAST_SHARED
+    assert met >= 28 and thai >= 28
 
 
 def test_short_texts_meet():
