@@ -95,6 +95,15 @@ def _segments_sql(source: str) -> str:
     FROM (SELECT *, explode(sequence(0, k)) AS i FROM {source})""".replace("div(len, k + 1)", "(len div (k + 1))")
 
 
+#: Distinct values with their words: written once, as every later step starts from them.
+WORDED = f"""
+WITH entered AS (
+    SELECT 'category' AS field, category AS value FROM <answers> UNION ALL SELECT 'subcategory', subcategory FROM <answers>),
+distinct_values AS (
+    SELECT field, value FROM entered WHERE value rlike '(?U)[^\\\\s]' GROUP BY field, value)
+SELECT field, value, {words_sql("plain")} AS words FROM (SELECT field, value, {plain_sql("value")} AS plain FROM distinct_values)
+"""
+
 QUERY_PARTS = f"""
 WITH listed AS (
     SELECT entry_id, category, subcategory IS NULL AS is_category, explode(array_append(coalesce(aliases, array()), coalesce(subcategory, category))) AS label
@@ -109,16 +118,12 @@ names AS (
 sized AS (SELECT *, {EDITS_SQL} AS k FROM (SELECT *, {LIMIT_SQL} AS accepted FROM (SELECT *, length(name) AS len FROM names))),
 longest AS (SELECT coalesce(max(len + k), 0) AS most FROM sized),
 segments AS (SELECT DISTINCT field, s.name, s.k, s.start, s.part FROM ({_segments_sql("sized")}) s JOIN sized USING (name)),
-entered AS (
-    SELECT 'category' AS field, category AS value FROM <answers> UNION ALL SELECT 'subcategory', subcategory FROM <answers>),
-distinct_values AS (
-    SELECT field, value FROM entered WHERE value rlike '(?U)[^\\\\s]' GROUP BY field, value),
-worded AS (SELECT field, value, {words_sql("plain")} AS words FROM (SELECT field, value, {plain_sql("value")} AS plain FROM distinct_values)),
+worded AS (SELECT * FROM <worded>),
 turned AS (
     SELECT field, value, r, concat(slice(words, r + 1, size(words)), slice(words, 1, r)) AS words
-    FROM (SELECT *, explode(sequence(0, least(size(words) - 1, 5))) AS r FROM worded WHERE size(words) > 0)),
-forms AS (SELECT field, value, words, replace(array_join(words, ''), '.', '') AS form FROM turned),
-short_forms AS (SELECT * FROM forms WHERE length(form) <= (SELECT most FROM longest)),
+    FROM (SELECT /*+ REPARTITION(<parts>) */ *, explode(sequence(0, size(words) - 1)) AS r FROM worded
+          WHERE size(words) > 0 AND length(replace(array_join(words, ''), '.', '')) <= (SELECT most FROM longest))),
+short_forms AS (SELECT /*+ REPARTITION(<parts>) */ field, value, words, replace(array_join(words, ''), '.', '') AS form FROM turned),
 widths AS (SELECT collect_set(length(part)) AS all_widths FROM segments),
 parts AS (
     SELECT field, value, words, form, p AS place, substring(form, p + 1, width) AS part
@@ -144,7 +149,7 @@ mapped AS (
     FROM nearest WHERE d = best GROUP BY field, value HAVING count(*) = 1),
 unmatched AS (
     SELECT field, value, cast(NULL AS string) AS name, 0L AS entries, -1 AS entry_id
-    FROM distinct_values v LEFT ANTI JOIN mapped m ON v.field = m.field AND v.value = m.value),
+    FROM worded v LEFT ANTI JOIN mapped m ON v.field = m.field AND v.value = m.value),
 """  # the parts below read it
 MAPPING = QUERY_PARTS.rstrip().rstrip(",") + """
 SELECT * FROM mapped UNION ALL SELECT * FROM unmatched"""
@@ -189,8 +194,11 @@ def mapped(answers: DataFrame, taxonomy: DataFrame) -> DataFrame:
             query = query.replace(f"<{name}>", view)
         return answers.sparkSession.sql(query)
 
+    parts = 2 * answers.sparkSession.sparkContext.defaultParallelism
+    views["worded"] = f"docloom_worded_{uuid.uuid4().hex}"
+    written(run(WORDED)).createOrReplaceTempView(views["worded"])
     views["mapping"] = f"docloom_mapping_{uuid.uuid4().hex}"
-    written(run(MAPPING)).createOrReplaceTempView(views["mapping"])
+    written(run(MAPPING.replace("<parts>", str(parts)))).createOrReplaceTempView(views["mapping"])
     return run(ROWS)
 
 

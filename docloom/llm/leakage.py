@@ -6,7 +6,8 @@ knowing the longest suffix read so far that occurs in some item; where that run
 recorded with the items and positions it stands for. Runs are gathered by item and diagonal
 (document position minus item position); a passage whose runs reach ``probe`` of an item is
 then verified: the longest common subsequence of item and passage, words compared with
-tolerance for damage, must reach ``coverage`` of the item's tokens.
+tolerance for damage, must reach ``coverage`` of the item's tokens. ``spans`` gives the places of the
+passages in the text and ``cleaned`` the texts without them.
 
 Defined results
 ---------------
@@ -34,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.runtime import table
+from docloom.runtime import table, written
 
 COVERAGE, PROBE = 0.5, 0.2
 MIN_RUN, MIN_RUN_CJK = 2, 3
@@ -43,7 +44,7 @@ BLOCK_CHARS = 4_000_000
 _CJK = "぀-ヿ㐀-䶿一-鿿"
 _TOKEN = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+")
 _HYPHEN = re.compile(r"(?<=\w)[-‐­][^\S\n]*\n\s*(?=\w)")
-_TAG = re.compile(r"<[^<>\n]{1,200}>")
+_TAG = re.compile(r"<[^<>\n]+>")
 _ENTITY = re.compile(r"&#?\w{1,8};")
 _MARKS = re.compile(r"[̀-ͯ]+")
 #: Letters that canonical decomposition leaves whole.
@@ -65,6 +66,20 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
+_PIECE = re.compile(rf"<[^<>\n]+>|&#?\w{{1,8}};|[{_CJK}]|[^\W_{_CJK}][^\W_{_CJK}̀-ͯ­]*(?:[-‐­][^\S\n]*\n\s*[^\W_{_CJK}]+)*")
+
+
+def located(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """Tokens with their places, starts 0-based and ends exclusive; a word broken over two lines is one token."""
+    out, places = [], []
+    for m in _PIECE.finditer(text):
+        if m.group()[0] not in "<&":
+            for t in tokens(m.group()):
+                out.append(t)
+                places.append(m.span())
+    return out, places
+
+
 class Automaton:
     """Generalised suffix automaton over token lists, with the end positions of each state."""
 
@@ -199,29 +214,31 @@ class Items:
             mask[t] |= 1 << i
         return dict(mask)
 
-    def _agreement(self, number: int, passage: list[str]) -> int:
-        """Longest common subsequence, bit-parallel, with damaged words counted as equal."""
+    def _agreement(self, number: int, passage: list[str], backwards: bool = False) -> tuple[int, int]:
+        """Longest common subsequence, bit-parallel, with damaged words counted as equal, and where it is first complete."""
         mask, size = self.masks[number], len(self.sequences[number])
+        if backwards:
+            mask = self._mask(self.sequences[number][::-1])
         full = (1 << size) - 1
-        v, near = full, None
+        v, near, steps = full, None, []
         for token in passage:
             m = mask.get(token)
-            if m is None:
-                if len(token) < 4:
-                    continue
+            if m is None and len(token) >= 4:
                 if near is None:
                     near = {}
                 m = near.get(token)
                 if m is None:
                     m = near[token] = sum({b for w, b in mask.items() if _damaged(token, w)})
-                if not m:
-                    continue
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-        return size - v.bit_count()
-
-    def leaks(self, text: str, coverage: float, probe: float) -> set[int]:
-        stream = tokens(text)
+            if m:
+                u = v & m
+                v = ((v + u) | (v - u)) & full
+            steps.append(v)
+        best = size - v.bit_count()
+        end = next((i + 1 for i, x in enumerate(steps) if x == v), 0) if best else 0
+        return best, end
+
+    def passages(self, stream: list[str], coverage: float, probe: float, every: bool = False) -> Iterator[tuple[int, int, int]]:
+        """``(sequence, first token, after the last)`` of passages that hold a sequence; of each sequence the first one, or ``every`` one."""
         auto = self.automaton
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         short = min(self.least, default=MIN_RUN)
@@ -229,7 +246,6 @@ class Items:
             for number, last in auto.occurrences(state):
                 if run >= self.least[number] or run == len(self.sequences[number]):
                     hits[number].append((end - 1 - last, run))
-        out: set[int] = set()
         for number, runs in hits.items():
             size = len(self.sequences[number])
             if sum(r for _, r in runs) < probe * size:
@@ -248,10 +264,22 @@ class Items:
                 start = max(0, runs[lo][0] - 3)
                 done = diagonal + slack // 2
                 passage = stream[start: max(diagonal, done) + size + slack]
-                if self._agreement(number, passage) >= coverage * size:
-                    out.update(self.ids[number])
-                    break
-        return out
+                common, end = self._agreement(number, passage)
+                if common >= coverage * size:
+                    if not every:
+                        yield number, start, start + end
+                        break
+                    # the shortest stretch that still holds as much: its end, then its beginning from behind
+                    length = self._agreement(number, passage[:end][::-1], backwards=True)[1]
+                    yield number, start + end - length, start + end
+
+    def leaks(self, text: str, coverage: float, probe: float) -> set[int]:
+        return {i for number, _, _ in self.passages(tokens(text), coverage, probe) for i in self.ids[number]}
+
+    def spans(self, text: str, coverage: float, probe: float) -> list[tuple[int, int, int]]:
+        """``(item, start, end)`` in code points of every passage."""
+        stream, places = located(text)
+        return sorted({(i, places[a][0], places[b - 1][1]) for number, a, b in self.passages(stream, coverage, probe, every=True) for i in self.ids[number]})
 
 
 @lru_cache(maxsize=4)
@@ -271,23 +299,59 @@ def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[tu
         yield tuple(block)
 
 
-def leaked(documents: DataFrame, items: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-           item_text_col: str = "text", coverage: float = COVERAGE, probe: float = PROBE) -> DataFrame:
-    """``(doc_id, item_id)`` of every document that holds a passage of an item."""
+def _scanned(documents: DataFrame, items: DataFrame, doc_col: str, text_col: str, item_col: str, item_text_col: str, rows_of, schema: str) -> DataFrame:
     docs = documents.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).where("_text is not null and doc_id is not null")
     out = None
     for block in _blocks(items, item_col, item_text_col):
         def scan(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
             prepared = _prepared(block)
             for pdf in batches:
-                rows = [(d, i) for d, t in zip(pdf["doc_id"], pdf["_text"]) for i in sorted(prepared.leaks(t, coverage, probe))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype("int64")
+                rows = [(d, *r) for d, t in zip(pdf["doc_id"], pdf["_text"]) for r in rows_of(prepared, t)]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype("int64")
 
-        part = docs.mapInPandas(scan, "doc_id long, item_id long")
+        part = docs.mapInPandas(scan, schema)
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long")
-    return out
+    return documents.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def leaked(documents: DataFrame, items: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+           item_text_col: str = "text", coverage: float = COVERAGE, probe: float = PROBE) -> DataFrame:
+    """``(doc_id, item_id)`` of every document that holds a passage of an item."""
+    return _scanned(documents, items, doc_col, text_col, item_col, item_text_col, lambda x, t: ((i,) for i in sorted(x.leaks(t, coverage, probe))), "doc_id long, item_id long")
+
+
+def spans(documents: DataFrame, items: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+          item_text_col: str = "text", coverage: float = COVERAGE, probe: float = PROBE) -> DataFrame:
+    """``(doc_id, item_id, span_start, span_end)`` of the passages found, in code points."""
+
+    def rows(x: Items, t: str) -> list[tuple[int, int, int]]:
+        return x.spans(t, coverage, probe) if x.leaks(t, coverage, probe) else []
+
+    return _scanned(documents, items, doc_col, text_col, item_col, item_text_col, rows, "doc_id long, item_id long, span_start long, span_end long")
+
+
+def cleaned(documents: DataFrame, found: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text)`` of all documents, without the spans found; every other character stays as it is."""
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or c is None else remove(t, [(x["a"], x["b"]) for x in c]) for t, c in zip(texts, cuts)], dtype=object)
+
+    per = found.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("span_start").alias("a"), F.col("span_end").alias("b"))).alias("_c"))
+    rows = documents.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    # only documents that leak are sent to Python
+    joined = rows.join(per, "doc_id", "left")
+    return joined.where("_c is null").select("doc_id", F.col("_text").alias("text")).unionByName(
+        joined.where("_c is not null").select("doc_id", without("_text", "_c").alias("text")))
+
+
+def remove(text: str, cuts: list[tuple[int, int]]) -> str:
+    out, at = [], 0
+    for a, b in sorted(cuts):
+        if a > at:
+            out.append(text[at:a])
+        at = max(at, b)
+    return "".join([*out, text[at:]])
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
@@ -299,4 +363,14 @@ def by_item(spark: SparkSession, d: str) -> DataFrame:
     return found(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
 
 
-QUERIES = {"p7_found": found, "p7_items": by_item}
+def places(spark: SparkSession, d: str) -> DataFrame:
+    return spans(table(spark, d, "documents"), table(spark, d, "bench_items"))
+
+
+def clean(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without the passages they leak."""
+    documents = table(spark, d, "documents")
+    return cleaned(documents, written(places(spark, d)))
+
+
+QUERIES = {"p7_found": found, "p7_items": by_item, "p7_spans": places, "p7_clean": clean}

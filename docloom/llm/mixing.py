@@ -25,11 +25,13 @@ Defined results
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.runtime import table, written
@@ -50,12 +52,14 @@ def _encoding(path: str):
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_count(column, path: str = TOKENIZER):
-    """Tokens of whole texts; 0 for null."""
+def token_count(spark: SparkSession, column, path: str = TOKENIZER):
+    """Tokens of whole texts; 0 for null. The vocabulary file is sent along: only the driver needs it at its path."""
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = _encoding(path)
+        enc = _encoding(SparkFiles.get(name))
         for texts in batches:
             yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
@@ -74,21 +78,29 @@ def sized(documents: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZE
     """
     listed = targets.select(_key("source").alias("source")).where("source <> ''").distinct()
     docs = documents.select("doc_id", _key("source").alias("source"), F.col("text").alias("_text"))
-    return docs.join(listed, "source", "left_semi").select("doc_id", "source", token_count("_text", tokenizer).alias("tokens"))
+    return docs.join(listed, "source", "left_semi").select("doc_id", "source", token_count(documents.sparkSession, "_text", tokenizer).alias("tokens"))
 
 
 def shares(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Per listed source: size, budget, size at the cap, and whether it can reach its share."""
     per = sizes.groupBy("source").agg(F.sum("tokens").alias("size"), F.count("*").alias("docs"))
-    want = targets.select(_key("source").alias("source"), "target_share", F.coalesce(F.col("max_repeats"), F.lit(1)).alias("max_repeats")).where("source <> ''")
+    want = _wanted(targets)
     joined = want.join(per, "source", "left").select(
         "source", "target_share", "max_repeats", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("docs", F.lit(0)).alias("docs"))
-    # a window over all rows: there is one a source
-    return joined.withColumn("total", F.sum("size").over(Window.partitionBy())).select(
+    total = F.coalesce(sizes.agg(F.sum("tokens")).scalar(), F.lit(0))
+    return joined.withColumn("total", total).select(
         "*", (F.col("target_share") * F.col("total")).alias("budget"), (F.col("max_repeats") * F.col("size")).alias("reach"),
     ).withColumn("misses", F.col("reach") < F.col("budget"))
 
 
+def _wanted(targets: DataFrame) -> DataFrame:
+    """``(source, target_share, max_repeats)``; a source listed twice is an error."""
+    rows = targets.select(_key("source").alias("source"), "target_share", F.coalesce(F.col("max_repeats"), F.lit(1)).alias("max_repeats")).where("source <> ''")
+    once = rows.groupBy("source").agg(F.count("*").alias("_n"), F.first("target_share").alias("target_share"), F.first("max_repeats").alias("max_repeats"))
+    twice = F.raise_error(F.concat(F.lit("source listed twice: "), F.col("source")))
+    return once.select("source", F.when(F.col("_n") == 1, F.col("target_share")).otherwise(twice.cast("double")).alias("target_share"), "max_repeats")
+
+
 def fit(lengths: list[int], counts: list[int], budget: int, exact: int = EXACT_TOKENS) -> list[int]:
     """How many documents of each length to take so that the total comes nearest to ``budget`` from below.
 
@@ -168,10 +180,20 @@ def mix(documents: DataFrame, targets: DataFrame, *, seed: int = SEED, tokenizer
     return inside.unionByName(edge).unionByName(outside).unionByName(rest).where("times > 0")
 
 
+def fitted(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """What the mixture holds of each listed source, ``(source, budget, used, short)``.
+
+    ``short`` is a source that stays below its budget though every one of its documents is used as often as allowed.
+    """
+    used = quotas(sizes, targets).groupBy("source").agg(F.sum(F.expr("tokens * (n * repeats + quota)")).alias("used"))
+    rows = shares(sizes, targets).join(used, "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    return rows.select("source", "budget", "used", F.expr("used < budget and used = reach").alias("short"))
+
+
 def found(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
-    sizes = sized(table(spark, d, "documents"), targets)
-    return shares(sizes, targets).where("misses").select("source")
+    sizes = written(sized(table(spark, d, "documents"), targets).select("source", "tokens"))
+    return fitted(sizes, targets).where("short").select("source")
 
 
 def report(spark: SparkSession, d: str) -> DataFrame:
@@ -179,9 +201,9 @@ def report(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
     used = mix(table(spark, d, "documents"), targets).groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("times")).alias("used_tokens"), F.sum("times").alias("used_docs"), F.max("times").alias("most_times"))
-    want = targets.select(_key("source").alias("source"), "target_share", "max_repeats").where("source <> ''")
-    rows = want.join(used, "source", "left").fillna(0, ["used_tokens", "used_docs", "most_times"])
-    return rows.withColumn("_total", F.sum("used_tokens").over(Window.partitionBy())).select("source", "target_share", "max_repeats", "used_tokens", "used_docs", "most_times",
+    used = written(used)
+    rows = _wanted(targets).join(used, "source", "left").fillna(0, ["used_tokens", "used_docs", "most_times"])
+    return rows.withColumn("_total", used.agg(F.sum("used_tokens")).scalar()).select("source", "target_share", "max_repeats", "used_tokens", "used_docs", "most_times",
                                         F.round(F.expr("try_divide(used_tokens, _total)"), 6).alias("share"))
 
 

@@ -20,17 +20,19 @@ Defined results
 * Repeated rows give the same mentions under their ids. Empty tables give an empty result.
 * ``masked`` replaces each span by ``[TYPE]`` and leaves all other characters as they are.
 
-Counts cover all rows. What the tasks get are the patterns and words that make up at least
-``SHARE`` of the mentions of their type, so at most ``1 / SHARE`` of each, whatever the size.
+Counts cover all rows. A pattern or word counts by its own support and confidence, however large the
+table; what the tasks get of them are hashed tables of a fixed size (see ``Learned``).
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +40,11 @@ from pyspark.sql import functions as F
 from docloom.runtime import table, written
 
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
-SHARE, ROUNDS = 1e-4, 3
+ROUNDS = 3
+#: Uses from which a pattern before a mention, another pattern and a word count.
+LEFT_USES, PATTERN_USES, WORD_USES = 5, 2, 4
+#: Sizes of the hashed tables: patterns, and bits for words under two hash functions.
+PATTERNS, WORD_BITS = 1 << 20, 1 << 24
 #: Confidence from which a pattern, and from which a word, discovers mentions.
 PATTERN_LEAST, WORD_LEAST = 0.15, 0.6
 NAME_PATTERN_LEAST, NAME_RIGHT_LEAST = 0.5, 0.75
@@ -87,6 +93,7 @@ SEQUENCE = re.compile(rf"(?<![\w@.+-])(?:{_CAP}|{_INITIAL}|Dr\.|Mr\.|Mrs\.|Ms\.|
 _HAN_NAME = re.compile(r"[一-鿿]{2,4}(?=[，,、])")
 _TOKEN = re.compile(rf"{_CAP}|{_INITIAL}|{_L}+\.?")
 _WORD = re.compile(r"[^\W_]+")
+_DIGIT = re.compile(r"\d")
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿]")
 #: Titles that precede a name and are no part of it.
 #: Greek articles, which stand before names only when two capitalised words follow, are seeds as titles are.
@@ -168,7 +175,7 @@ def candidates(text: str) -> tuple[list[Mention], list[str]]:
     def free(a: int, b: int) -> bool:
         return taken.find(1, a, b) < 0
 
-    has_digit = any(c in text for c in "0123456789")
+    has_digit = _DIGIT.search(text) is not None
     if has_digit:
         for m in ADDRESS.finditer(text):
             _take(taken, *m.span())
@@ -219,7 +226,7 @@ def candidates(text: str) -> tuple[list[Mention], list[str]]:
             starts.append(first + 1)  # the first word may precede a name of initial and surname
         for first in starts:
             a, b = toks[first][0], toks[-1][1]
-            if free(a, b) and b - a <= 60:
+            if free(a, b):
                 out.append(Mention(a, b, "NAME", titled and first == 0 or text[max(0, a - 2): a].strip() in ("Ο", "Η"), _left(text, a), _right(text, b), tuple(stem(t[2]) for t in toks[first:] if len(t[2]) > 2)))
     if _CJK.search(text):
         for m in _HAN_NAME.finditer(text):
@@ -254,8 +261,44 @@ def _edges(rows: DataFrame) -> DataFrame:
         "kind", "side", "pattern", "instance").agg(F.sum("n").alias("n"), F.sum("seeds").alias("seeds"))
 
 
-def learned(rows: DataFrame, rounds: int = ROUNDS) -> tuple[dict[tuple[str, str, str], float], set[str]]:
-    """Confident patterns, and words learned as given names: both of bounded number."""
+def _bucket(kind: str, side: str, pattern: str) -> int:
+    return zlib.crc32(f"{kind}|{side}|{pattern}".encode("utf-8", "surrogatepass")) % PATTERNS
+
+
+def _bits(word: str) -> tuple[int, int]:
+    return zlib.crc32(f"a|{word}".encode("utf-8", "surrogatepass")) % WORD_BITS, zlib.crc32(f"b|{word}".encode("utf-8", "surrogatepass")) % WORD_BITS
+
+
+class Learned:
+    """Confidence of patterns by bucket (of patterns that share one the most used counts), and words learned as given names."""
+
+    def __init__(self, confidence: np.ndarray, words: np.ndarray):
+        self.confidence, self.words = confidence, words
+        self._memo: dict[str, bool] = {}
+
+    @classmethod
+    def nothing(cls) -> Learned:
+        return cls(np.full(PATTERNS, np.nan, dtype=np.float16), np.zeros(WORD_BITS // 64, dtype=np.uint64))
+
+    def conf(self, kind: str, side: str, pattern: str) -> float | None:
+        c = float(self.confidence[_bucket(kind, side, pattern)])
+        return None if c != c else c
+
+    def left(self, kind: str, pattern: str) -> float:
+        both = self.conf(kind, "L", pattern)
+        return (self.conf(kind, "K", _nearest(pattern)) or 0.0) if both is None else both
+
+    def knows(self, word: str) -> bool:
+        known = self._memo.get(word)
+        if known is None:
+            if len(self._memo) > 200_000:
+                self._memo.clear()
+            known = self._memo[word] = all(int(self.words[b >> 6]) >> (b & 63) & 1 for b in _bits(word))
+        return known
+
+
+def learned(rows: DataFrame, rounds: int = ROUNDS) -> Learned:
+    """Patterns and words with enough support and confidence."""
     edges = written(_edges(rows))
     mail = edges.where("side = 'seed'").select("kind", "instance", F.lit(1.0).alias("score"))
     graph = written(edges.where("side <> 'seed'"))
@@ -270,35 +313,32 @@ def learned(rows: DataFrame, rounds: int = ROUNDS) -> tuple[dict[tuple[str, str,
         scores = written(graph.join(patterns.select("kind", "side", "pattern", "conf"), ["kind", "side", "pattern"]).groupBy("kind", "instance").agg(
             (F.sum(F.col("n") * F.col("conf")) / F.sum("n")).alias("s"), F.sum("n").alias("n")).join(mail, ["kind", "instance"], "left").select(
             "kind", "instance", F.greatest(F.coalesce(F.col("score") * 0.6, F.lit(0.0)), "s").alias("score"), "n"))
-    totals = patterns.groupBy("kind").agg(F.sum("n").alias("total"))
-    keep = patterns.join(totals, "kind").where(f"n >= greatest(CASE WHEN side = 'L' THEN 5 ELSE 2 END, total * {SHARE})")
-    confident = {(r["kind"], r["side"], r["pattern"]): r["conf"] for r in keep.toLocalIterator()}
-    words = scores.where("kind = 'NAME'").join(totals, "kind").where(f"n >= greatest(4, total * {SHARE}) and score >= {WORD_LEAST} and length(instance) > 2")
-    return confident, {r["instance"] for r in words.toLocalIterator()}
-
-
-_PRIORITY = {"ADDRESS": 0, "EMAIL": 1, "ID_NUMBER": 2, "PHONE": 3, "NAME": 4}
-
-
-def _left_conf(confident, kind: str, left: str) -> float:
-    both = confident.get((kind, "L", left))
-    return confident.get((kind, "K", _nearest(left)), 0.0) if both is None else both
-
-
-def mentions(text: str, confident: dict[tuple[str, str, str], float], words: set[str]) -> list[tuple[int, int, str]]:
+    keep = patterns.where(f"n >= CASE WHEN side = 'L' THEN {LEFT_USES} ELSE {PATTERN_USES} END")
+    slots = keep.select(F.expr(f"cast(crc32(encode(concat_ws('|', kind, side, pattern), 'UTF-8')) % {PATTERNS} as int)").alias("slot"), "conf", "n").groupBy("slot").agg(F.max_by("conf", "n").alias("conf"))
+    out = Learned.nothing()
+    rows_ = slots.toPandas()
+    out.confidence[rows_["slot"].to_numpy(dtype=np.int64)] = rows_["conf"].to_numpy(dtype=np.float16)
+    names = scores.where(f"kind = 'NAME' and n >= {WORD_USES} and score >= {WORD_LEAST} and length(instance) > 2").select("instance")
+    bits = names.select(F.explode(F.array(*[F.expr(f"cast(crc32(encode(concat('{x}|', instance), 'UTF-8')) % {WORD_BITS} as int)") for x in "ab"])).alias("b"))
+    for r in bits.groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("m")).toLocalIterator():
+        out.words[r["w"]] = np.uint64(r["m"] & 0xFFFFFFFFFFFFFFFF)
+    return out
+
+
+def mentions(text: str, model: Learned) -> list[tuple[int, int, str]]:
     found, _ = candidates(text)
     chosen: list[tuple[float, Mention]] = []
     for x in found:
-        left, right = _left_conf(confident, x.kind, x.left), confident.get((x.kind, "R", x.right), 0.0)
+        left, right = model.left(x.kind, x.left), (model.conf(x.kind, "R", x.right) if x.right else None) or 0.0
         if x.kind == "NAME":
-            known = any(w in words for w in x.instances)
+            known = any(map(model.knows, x.instances))
             # without case or a known word only the neighbourhood on both sides can tell
             ok = x.strong or (known and len(x.instances) > 1) or left >= NAME_PATTERN_LEAST or right >= NAME_RIGHT_LEAST if x.instances else x.strong
             # a longer span wins only if its first word is a name's word
-            score = (3.0 if x.strong or x.instances and x.instances[0] in words else 2.0 + max(left, 0) / 2) if ok else 0.0
+            score = (3.0 if x.strong or x.instances and model.knows(x.instances[0]) else 2.0 + max(left, 0) / 2) if ok else 0.0
         elif x.kind in ("PHONE", "ID_NUMBER"):
             other = "ID_NUMBER" if x.kind == "PHONE" else "PHONE"
-            rival = _left_conf(confident, other, x.left)
+            rival = model.left(other, x.left)
             score = max(left, right * 0.9) + (1.0 if x.strong else 0.0)
             if left < rival and (not x.strong or x.kind == "PHONE"):
                 score = 0.0
@@ -315,48 +355,46 @@ def mentions(text: str, confident: dict[tuple[str, str, str], float], words: set
         if taken.find(1, x.start, x.end) < 0:
             _take(taken, x.start, x.end)
             out.append((x.start, x.end, x.kind))
-    if words:
-        out.extend(_small_names(text, confident, words, taken))
+    out.extend(_small_names(text, model, taken))
     return sorted(out)
 
 
-def _small_names(text: str, confident, words: set[str], taken: bytearray) -> list[tuple[int, int, str]]:
+_SMALL = re.compile(rf"(?<![\w@.+-]){_L}{{3,}}(?={_S})")
+_SMALL_REST = re.compile(rf"{_S}(?:{_L}\.{_S})?{_L}{{3,}}(?:-{_L}+)?(?![\w@])")
+
+
+def _small_names(text: str, model: Learned, taken: bytearray) -> list[tuple[int, int, str]]:
     """Names written without capitals, where a known word stands in a name's place."""
-    plain = text.lower().translate(_PLAIN)
-    if len(plain) != len(text):
-        return []
-    extra = []
-    pattern, at = _small_pattern(frozenset(words)), 0
-    while m := pattern.search(plain, at):
-        a, b = m.span()
-        at = a + 1
-        if taken.find(1, a, b) < 0 and _left_conf(confident, "NAME", _left(text, a)) >= NAME_PATTERN_LEAST:
-            extra.append((a, b, "NAME"))
-            at = b
+    extra, done = [], 0
+    for m in _SMALL.finditer(text):
+        if m.start() < done or not model.knows(_stem_of[m.group()]):
+            continue
+        rest = _SMALL_REST.match(text, m.end())
+        if rest and taken.find(1, m.start(), rest.end()) < 0 and model.left("NAME", _left(text, m.start())) >= NAME_PATTERN_LEAST:
+            extra.append((m.start(), rest.end(), "NAME"))
+            done = rest.end()
     return extra
 
 
-#: Letters below the Indic blocks without their accents, one for one.
-_PLAIN = {c: ord(d[0]) for c in range(0xC0, 0x590) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isalpha()} | {ord("ł"): ord("l")}
-_small_cache: dict[frozenset[str], re.Pattern] = {}
+class _Stems(dict):
+    def __missing__(self, word: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        out = self[word] = stem(word)
+        return out
 
 
-def _small_pattern(words: frozenset[str]) -> re.Pattern:
-    if words not in _small_cache:
-        _small_cache.clear()
-        names = "|".join(sorted(map(re.escape, words), key=len, reverse=True))
-        _small_cache[words] = re.compile(rf"(?<![\w@.+-])(?:{names}){_L}{{0,4}}{_S}(?:{_L}\.{_S})?{_L}{{3,}}(?:-{_L}+)?(?![\w@])")
-    return _small_cache[words]
+_stem_of = _Stems()
 
 
 def extracted(df: DataFrame, *, id_col: str = "id", text_col: str = "contents") -> DataFrame:
     """``(id, span_start, span_end, pii_type)`` of all mentions."""
     rows = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
-    confident, words = learned(rows.select("_text"))
+    model = learned(rows.select("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(i, a, b, k) for i, t in zip(pdf["id"], pdf["_text"]) for a, b, k in mentions(t, confident, words)]
+            out = [(i, a, b, k) for i, t in zip(pdf["id"], pdf["_text"]) for a, b, k in mentions(t, model)]
             yield pd.DataFrame(out, columns=["id", "span_start", "span_end", "pii_type"]).astype({"id": "int64", "span_start": "int32", "span_end": "int32"})
 
     return rows.mapInPandas(run, "id long, span_start int, span_end int, pii_type string")
@@ -375,7 +413,7 @@ def masked(df: DataFrame, spans: DataFrame, *, id_col: str = "id", text_col: str
     def put(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or s is None else mask(t, [(x["a"], x["b"], x["k"]) for x in s]) for t, s in zip(texts, found)], dtype=object)
 
-    per = spans.groupBy("id").agg(F.collect_list(F.struct(F.col("span_start").alias("a"), F.col("span_end").alias("b"), F.col("pii_type").alias("k"))).alias("_s"))
+    per = spans.groupBy("id").agg(F.collect_set(F.struct(F.col("span_start").alias("a"), F.col("span_end").alias("b"), F.col("pii_type").alias("k"))).alias("_s"))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     return rows.join(per, "id", "left").select("id", put("_text", "_s").alias("contents"))
 

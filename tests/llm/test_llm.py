@@ -166,6 +166,16 @@ def test_canonical_finds_all_within_limit(spark):
     assert got == {i: i % 2 + 1 for i in range(60)}
 
 
+def test_canonical_turns_all_words(spark):
+    """A name of eight words is found from any of them on."""
+    name = "wniosek o wydanie decyzji w sprawie budowy domu"
+    tax = frame(spark, "entry_id int, category string, subcategory string, aliases array<string>", [(1, name, None, []), (2, "Inne", None, [])])
+    w = name.split()
+    rows = [(i, " ".join(w[i:] + w[:i]), None) for i in range(len(w))] + [(90, "słowo " * 3000, None)]
+    got = {r[0]: r[2] for r in canonical.mapped(frame(spark, "answer_id long, category string, subcategory string", rows), tax).collect()}
+    assert got == {i: 1 for i in range(len(w))} | {90: -1}
+
+
 # 3 ---------------------------------------------------------------------------------
 
 def words(seed, n=120):
@@ -351,11 +361,11 @@ def test_short_texts_meet():
 
 def test_pii_shapes_and_masks():
     text = "Kontakt: jan.kowal@poczta.example lub tel. +48 100 200 300, ul. Wierzbowa 5 m. 3, 00-123 Tymianki. Profil @warsztat, wersja 10.0.0.7."
-    spans = pii.mentions(text, {}, set())
+    spans = pii.mentions(text, pii.Learned.nothing())
     assert [(text[a:b], k) for a, b, k in spans] == [("jan.kowal@poczta.example", "EMAIL"), ("+48 100 200 300", "PHONE"), ("ul. Wierzbowa 5 m. 3, 00-123 Tymianki", "ADDRESS")]
     masked = pii.mask(text, spans)
     assert masked == "Kontakt: [EMAIL] lub tel. [PHONE], [ADDRESS]. Profil @warsztat, wersja 10.0.0.7."
-    assert pii.mentions("", {}, set()) == []
+    assert pii.mentions("", pii.Learned.nothing()) == []
 
 
 def test_pii_learns_patterns(spark):
@@ -371,6 +381,26 @@ def test_pii_learns_patterns(spark):
     assert pii.extracted(df.where("false")).count() == 0
 
 
+def test_pii_rare_patterns_count_in_any_table(spark):
+    """A label met a few times finds its numbers, whatever share of all mentions it has."""
+    rows = [(i, f"Prosimy dzwonić pod +48 10{i} 20{i} 30{i}. Koniec.") for i in range(8)] + [(50, "Prosimy dzwonić pod 101 202 303. Koniec.")]
+    rows += [(1000 + i, " ".join(f"Wyraz{i}x{j} Drugi{j}y{i}." for j in range(40))) for i in range(400)]
+    got = {r[0] for r in pii.extracted(frame(spark, "id long, contents string", rows)).where("pii_type = 'PHONE'").collect()}
+    assert got == {*range(8), 50}
+
+
+def test_masking_survives_repeated_rows(spark):
+    df = frame(spark, "id long, contents string", [(1, "abc def"), (1, "abc def"), (2, None)])
+    spans = frame(spark, "id long, span_start int, span_end int, pii_type string", [(1, 0, 7, "NAME"), (1, 0, 7, "NAME")])
+    assert sorted((r[0], r[1]) for r in pii.masked(df, spans).collect() if r[0] == 1) == [(1, "[NAME]"), (1, "[NAME]")]
+
+
+def test_small_names_beside_letters_that_change_length(spark):
+    rows = [(i, "Mr. Rowan Sterling wrote.") for i in range(12)] + [(50 + i, f"Signed by Rowan Vel{'abcdefgh'[i]}x in May.") for i in range(8)] + [(90, "İ. Signed by rowan vellex in May.")]
+    found = {(r[0], r[1]) for r in pii.extracted(frame(spark, "id long, contents string", rows)).collect()}
+    assert (90, 13) in found
+
+
 # 5 ---------------------------------------------------------------------------------
 
 def test_graph_recall():
@@ -468,6 +498,28 @@ def test_leak_cases(spark):
     assert leakage.leaked(d, items.where("false")).count() == 0 and leakage.leaked(d.where("false"), items).count() == 0
 
 
+def test_leaked_spans_are_removed(spark):
+    item = " ".join(words(11, 60))
+    w = item.split()
+    before, after = prose(21, 4), prose(22, 4)
+    docs = [(1, f"{before} {item.upper()} {after}"), (2, f"{before}\n<b>{' '.join(w[5:45])}</b> {after}"), (3, before), (4, None), (5, f"{item}. {before} {item}")]
+    d = frame(spark, "doc_id long, text string", docs)
+    items = frame(spark, "item_id long, text string", [(70, item)])
+    spans = leakage.spans(d, items)
+    text = dict(docs)
+    got = sorted((r[0], text[r[0]][r[2]:r[3]].lower()) for r in spans.collect())
+    assert got == [(1, item), (2, " ".join(w[5:45])), (5, item), (5, item)]
+    clean = {r[0]: r[1] for r in leakage.cleaned(d, spans).collect()}
+    assert clean == {1: f"{before}  {after}", 2: f"{before}\n<b></b> {after}", 3: before, 4: None, 5: f". {before} "}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="aB<&;-\n é漢字ł1.", max_size=60))
+def test_located_tokens_are_the_text_s(text):
+    toks, places = leakage.located(text)
+    assert len(toks) == len(places) and all(0 <= a < b <= len(text) for a, b in places)
+
+
 # 8 ---------------------------------------------------------------------------------
 
 @settings(max_examples=150, deadline=None)
@@ -487,6 +539,12 @@ def test_mix(spark):
     targets = frame(spark, "source string, target_share double, max_repeats int", [("a", 0.8, 2), ("b", 0.1, 1), ("c", 0.1, 3)])
     size = {r.source: r for r in mixing.shares(mixing.sized(docs, targets), targets).collect()}
     assert not size["a"].misses and not size["b"].misses and size["c"].misses and size["c"].size == 0
+    sizes = mixing.sized(docs, targets)
+    assert {r.source: r.short for r in mixing.fitted(sizes, targets).collect()} == {r.source: r.misses for r in mixing.shares(sizes, targets).collect()}
+    tight = frame(spark, "source string, target_share double, max_repeats int", [("a", 0.1, 1), ("b", 0.9, 1)])
+    assert {r.source for r in mixing.fitted(mixing.sized(docs, tight), tight).where("short").collect()} == {"b"}
+    with pytest.raises(Exception, match="listed twice"):
+        mixing.shares(sizes, targets.unionByName(targets)).collect()
     rows = mixing.mix(docs, targets).collect()
     used = Counter()
     for r in rows:
