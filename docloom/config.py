@@ -31,6 +31,10 @@ class Settings:
     callback_attempts: int = 3
     callback_backoff_s: float = 1.0
     preview_chars: int = 2_000
+    log_level: str = "INFO"
+    query_prefix: str = "zapytanie: "
+    context_tokens: int = 10_000
+    retry_after_s: int = 10
     debug: bool = False
 
     def validate(self) -> Settings:
@@ -64,7 +68,7 @@ def load(values: Mapping[str, str] | None = None) -> Settings:
     given: dict[str, object] = {}
     for f in fields(Settings):
         raw = values.get(f.name.upper(), "").strip()
-        if f.name in ("model", "encoder", "provider", "debug") or not raw:
+        if f.name in ("model", "encoder", "provider", "debug") or not raw:  # gates below
             continue
         try:
             given[f.name] = type(f.default)(raw)
@@ -86,3 +90,8 @@ def context_budget(model: str, windows: Mapping[str, int] | None = None, share:
         if part in model.lower():
             return int(share * window)
     return unknown
+
+
+def encoder_fits(settings: Settings, max_tokens: int) -> bool:
+    """Whether children of the set size fit the encoder, so that none is cut off when it is embedded."""
+    return settings.child_size <= int(max_tokens * settings.chars_per_token)

@@ -84,11 +84,11 @@ def with_confidential(df: DataFrame, raw: str) -> DataFrame:
 
 
 def rendered_confidential(flag: Column, types: Column) -> Column:
-    """The report as text: kinds are listed once, and only if the flag is set."""
+    """The report as text: kinds are listed once, and only if the flag is set; an unresolved flag gives no report."""
     label = F.create_map(*[F.lit(x) for pair in CONFIDENTIAL_LABELS.items() for x in pair])
     lines = F.array_join(F.transform(F.array_distinct(types), lambda t: F.concat(F.lit("- "), F.coalesce(F.try_element_at(label, t), t))), "\n")
     listed = F.concat(F.lit("Dane wrażliwe: TAK\nWykryte typy:\n"), lines)
-    return F.when(~flag, F.lit("Dane wrażliwe: NIE")).when(F.coalesce(F.size(types), F.lit(0)) <= 0, F.lit("Dane wrażliwe: TAK")).otherwise(listed)
+    return F.when(flag.isNull(), F.lit(None)).when(~flag, F.lit("Dane wrażliwe: NIE")).when(F.coalesce(F.size(types), F.lit(0)) <= 0, F.lit("Dane wrażliwe: TAK")).otherwise(listed)
 
 
 def rendered_extraction(items: Column) -> Column:
@@ -98,14 +98,45 @@ def rendered_extraction(items: Column) -> Column:
 
 
 def extraction_of(raw: Column) -> Column:
-    """``array<struct<field, value>>`` of a valid extraction answer, null otherwise; an empty object is none."""
+    """``array<struct<field, value>>`` of a valid extraction answer, null otherwise.
+
+    An object without ``data`` holds an empty list, an empty object is no answer; an item has to have a text
+    as field and as value.
+    """
     v = recovered(raw)
-    return F.try_variant_get(v, "$.data", "array<struct<field:string,value:string>>")
+    data = F.try_variant_get(v, "$.data", "variant")
+    items = F.try_variant_get(v, "$.data", "array<variant>")
+    valid = F.forall(items, lambda i: (F.coalesce(_kind(F.try_variant_get(i, "$.field", "variant")), F.lit("")) == "STRING") & (F.coalesce(_kind(F.try_variant_get(i, "$.value", "variant")), F.lit("")) == "STRING"))
+    empty = F.array().cast("array<struct<field:string,value:string>>")
+    return F.when(v.isNull() | ~_kind(v).startswith("OBJECT") | (_kind(v) == "OBJECT<>"), F.lit(None)).when(data.isNull(), empty).when(
+        valid, F.try_variant_get(v, "$.data", "array<struct<field:string,value:string>>"))
 
 
 def payload(document_id: Column, task_id: Column, task_type: Column, results: Column, error: Column) -> Column:
-    """The reply of a task as JSON; null members are left out."""
-    return F.to_json(F.struct(document_id.alias("documentId"), task_id.alias("taskId"), task_type.alias("taskType"), results.alias("results"), error.alias("error")))
+    """The reply of a task as JSON, ``results`` under the task's name, or ``error``; null members are left out."""
+    return F.to_json(F.struct(document_id.alias("documentId"), task_id.alias("taskId"), task_type.alias("taskType"), F.when(error.isNull(), results).alias("results"), error.alias("error")))
+
+
+#: Schemas of the answers with a fixed shape.
+CONFIDENTIAL_SCHEMA = json.dumps({"type": "object", "properties": {"contains_sensitive": {"type": "boolean"}, "types": {"type": "array", "items": {"enum": list(CONFIDENTIAL_LABELS)}}},
+                                  "required": ["contains_sensitive"], "additionalProperties": False})
+EXTRACTION_SCHEMA = json.dumps({"type": "object", "additionalProperties": False, "properties": {"data": {"type": "array", "items": {
+    "type": "object", "properties": {"field": {"type": "string"}, "value": {"type": "string"}}, "required": ["field", "value"], "additionalProperties": False}}}})
+
+
+def category_schema_of(categories: Column) -> Column:
+    """The schema of ``category_schema`` for ``array<struct<name, subs>>``, as a Column; null where no category is given."""
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    def branch(c: Column) -> Column:
+        has = F.coalesce(F.size(c["subs"]), F.lit(0)) > 0
+        return F.concat(F.lit('{"type":"object","properties":{"category":{"const":'), quoted(c["name"]), F.lit("}"),
+                        F.when(has, F.concat(F.lit(',"subcategory":{"enum":'), F.to_json(c["subs"]), F.lit('}},"required":["category","subcategory"]'))).otherwise(F.lit('},"required":["category"]')),
+                        F.lit(',"additionalProperties":false}'))
+    return F.when(F.size(categories) > 0, F.concat(F.lit('{"anyOf":['), F.array_join(F.transform(categories, branch), ","), F.lit("]}")))
+
+
+def department_schema_of(names: Column) -> Column:
+    return F.when(F.size(names) > 0, F.concat(F.lit('{"type":"object","properties":{"department":{"enum":'), F.to_json(names), F.lit('}},"required":["department"],"additionalProperties":false}')))
 
 
 def category_schema(categories: dict[str, list[str]]) -> str:

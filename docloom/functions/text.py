@@ -20,7 +20,12 @@ def is_blank(c: Column) -> Column:
 
 def squashed(c: Column) -> Column:
     """Lower case, inner white space as single blanks, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(c), SPACE + "+", " "))
+    return F.trim(F.regexp_replace(folded(c), SPACE + "+", " "))
+
+
+def folded(c: Column) -> Column:
+    """Case-folded: as lower case, but letters that have several small forms come out as one."""
+    return F.translate(F.regexp_replace(F.lower(F.upper(c)), "ß", "ss"), "ςſ", "σs")
 
 
 def preview(c: Column, limit: int = 2000) -> Column:
@@ -62,6 +67,7 @@ def to_bool(c: Column) -> Column:
 
 def without_markdown(c: Column) -> Column:
     """Plain text: emphasis, code, heading and quote marks removed, list hyphens kept."""
+    # fixed values: the marks of Markdown and the order in which they are taken off, which results depend on
     steps = [
         (r"```[a-zA-Z0-9_-]*\n?", ""), (r"`", ""),
         (r"(?s)\*\*(.+?)\*\*", "$1"), (r"(?s)__(.+?)__", "$1"), (r"(?s)\*(.+?)\*", "$1"),

@@ -7,7 +7,9 @@ match in quality for an encoder, a cross-encoder or a language model, and do not
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -22,8 +24,23 @@ class Encoder(Protocol):
     def encode(self, texts: Sequence[str]) -> np.ndarray: ...
 
 
+@dataclass(frozen=True)
+class Request:
+    """One call of a language model."""
+
+    task: str
+    prompt: str
+    system: str = ""
+    schema: str | None = None
+
+
 class LanguageModel(Protocol):
-    def answer(self, task: str, prompt: str, system: str = "", schema: str | None = None) -> str: ...
+    def answers(self, requests: Sequence[Request]) -> list[str | Exception]:
+        """Answers in order; a call that failed gives its exception and does not stop the others."""
+
+
+class Reranker(Protocol):
+    def score(self, pairs: Sequence[tuple[str, str]]) -> Sequence[float]: ...
 
 
 class Parser(Protocol):
@@ -49,10 +66,32 @@ class RecordedModel:
     """Answers from a fixed table by task, else the first characters of the prompt."""
 
     def __init__(self, answers: dict[str, str] | None = None, echo: int = 200):
-        self.answers, self.echo = answers or {}, echo
+        self.fixed, self.echo = answers or {}, echo
+
+    def answers(self, requests: Sequence[Request]) -> list[str | Exception]:
+        return [self.fixed.get(r.task, r.prompt[: self.echo]) for r in requests]
 
-    def answer(self, task: str, prompt: str, system: str = "", schema: str | None = None) -> str:
-        return self.answers.get(task, prompt[: self.echo])
+
+class FirstChoice:
+    """Takes the first choice a schema offers, says no and lists nothing; without a schema it echoes the prompt's beginning."""
+
+    def __init__(self, echo: int = 200):
+        self.echo = echo
+
+    def answers(self, requests: Sequence[Request]) -> list[str | Exception]:
+        return [json.dumps(self._first(json.loads(r.schema)), ensure_ascii=False) if r.schema else r.prompt[: self.echo] for r in requests]
+
+    def _first(self, schema: dict):
+        if "anyOf" in schema:
+            return self._first(schema["anyOf"][0])
+        if "const" in schema:
+            return schema["const"]
+        if "enum" in schema:
+            return schema["enum"][0]
+        kind = schema.get("type")
+        if kind == "object":
+            return {k: self._first(v) for k, v in schema.get("properties", {}).items()}
+        return {"boolean": False, "array": [], "string": ""}.get(kind)
 
 
 class PlainParser:
@@ -75,18 +114,22 @@ def encoded(c: Column, encoder: Encoder, prefix: str = "") -> Column:
     return run(c)
 
 
-def asked(task: Column, prompt: Column, model: LanguageModel, system: str = "", schema: str | None = None) -> Column:
-    """A model's answers; failures come out as null and are told apart by the caller."""
+ANSWER = "struct<text:string,error:string>"
+
+
+def asked(task: Column, prompt: Column, model: LanguageModel, system: Column | None = None, schema: Column | None = None) -> Column:
+    """``struct<text, error>``: a model's answers, whole batches at a time; a null prompt gives null."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for tasks, prompts in batches:
-            out = []
-            for t, p in zip(tasks, prompts):
-                try:
-                    out.append(None if p is None else model.answer(t, p, system, schema))
-                except Exception:
-                    out.append(None)
-            yield pd.Series(out, dtype=object)
+    @F.pandas_udf(ANSWER)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for tasks, prompts, systems, schemas in batches:
+            requests = [None if p is None else Request(t, p, s or "", j) for t, p, s, j in zip(tasks, prompts, systems, schemas)]
+            try:
+                answers = iter(model.answers([r for r in requests if r is not None]))
+                got = [None if r is None else next(answers) for r in requests]
+            except Exception as e:  # the client as a whole failed: every call of the batch did
+                got = [None if r is None else e for r in requests]
+            yield pd.DataFrame({"text": [None if isinstance(g, Exception) else g for g in got], "error": [(str(g) or type(g).__name__) if isinstance(g, Exception) else None for g in got]}, dtype=object)
 
-    return run(task, prompt)
+    nothing = F.lit(None).cast("string")
+    return run(task, prompt, nothing if system is None else system, nothing if schema is None else schema)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import is_blank
+from docloom.functions.text import content_hash, is_blank
+from docloom.runtime import written
 
 
 def cascade(incoming: DataFrame, collection: DataFrame) -> DataFrame:
@@ -17,26 +18,29 @@ def cascade(incoming: DataFrame, collection: DataFrame) -> DataFrame:
     give no row at all cannot become canonical and are ``empty``.
     """
     stored = collection.select("file_id").distinct().withColumn("_stored", F.lit(True))
-    canonical = collection.where("is_search and content_hash <> ''").groupBy("content_hash").agg(F.min("file_id").alias("_canonical"))
+    canonical = collection.where("is_search and content_hash <> ''").groupBy(F.lower("content_hash").alias("content_hash")).agg(F.min("file_id").alias("_canonical"))
     rows = incoming.select("seq", "file_id", F.coalesce("content_hash", F.lit("")).alias("content_hash"), "has_rows")
-    first = Window.partitionBy("file_id", "has_rows").orderBy("seq")
-    rows = rows.withColumn("_turn", F.row_number().over(first)).join(stored, "file_id", "left")
-    fresh = rows.where("has_rows and _turn = 1 and _stored is null").join(canonical, "content_hash", "left")
-    # an empty hash never repeats: such rows are spread by their own turn
-    group = Window.partitionBy("content_hash", F.when(F.col("content_hash") == "", F.col("seq"))).orderBy("seq")
-    fresh = fresh.withColumn("_first", F.first("file_id").over(group)).withColumn("_rn", F.row_number().over(group))
-    known = (F.col("content_hash") != "") & F.col("_canonical").isNotNull()
-    settled = fresh.select("seq", F.when(known | (F.col("_rn") > 1), F.lit("alias")).otherwise(F.lit("full")).alias("_a"),
-                           F.when(known, F.col("_canonical")).when(F.col("_rn") > 1, F.col("_first")).otherwise(F.col("file_id")).alias("_c"))
+    # firsts by aggregation, which combines before it shuffles: one file may be uploaded any number of times
+    turns = rows.where("has_rows").groupBy("file_id").agg(F.min("seq").alias("_turn"))
+    fresh = rows.where("has_rows").join(turns, "file_id").where("seq = _turn").join(stored, "file_id", "left").where("_stored is null").join(canonical, "content_hash", "left")
+    fresh = written(fresh.select("seq", "file_id", "content_hash", "_canonical"))
+    firsts = fresh.where("content_hash <> ''").groupBy("content_hash").agg(F.min(F.struct("seq", "file_id")).alias("_f"))
+    named = fresh.join(firsts, "content_hash", "left")
+    first = F.col("_f").isNull() | (F.col("_f.seq") == F.col("seq"))
+    settled = named.select("seq", F.when(F.col("_canonical").isNotNull() | ~first, F.lit("alias")).otherwise(F.lit("full")).alias("_a"),
+                           F.when(F.col("_canonical").isNotNull(), F.col("_canonical")).when(~first, F.col("_f.file_id")).otherwise(F.col("file_id")).alias("_c"))
     return rows.join(settled, "seq", "left").select(
         "seq", "file_id", F.when(~F.col("has_rows"), F.lit("empty")).otherwise(F.coalesce("_a", F.lit("skip"))).alias("action"), F.col("_c").alias("canonical_file_id"))
 
 
 def incoming_of(uploads: DataFrame) -> DataFrame:
-    """Uploads as the cascade takes them: would any text or usable table come of them?"""
+    """Uploads as the cascade takes them: their own bytes' hash, and would any text or usable table come of them?
+
+    The hash an upload states is not trusted: it may be missing, spelled otherwise or wrong. Without bytes there is none.
+    """
     text = F.exists(F.coalesce("pages", F.array().cast("array<string>")), lambda p: p.isNotNull() & ~is_blank(p))
     tables = F.exists(F.coalesce("tables", F.array().cast("array<struct<page_number:int,data:array<array<string>>>>")), lambda t: F.size(t["data"]) > 1)
-    return uploads.select("seq", "file_id", "filename", "content_hash", (text | tables).alias("has_rows"))
+    return uploads.select("seq", "file_id", "filename", F.coalesce(content_hash(F.col("content")), F.lit("")).alias("content_hash"), (text | tables).alias("has_rows"))
 
 
 def alias_rows(decided: DataFrame, incoming: DataFrame, width: int) -> DataFrame:
@@ -54,10 +58,14 @@ def scope(collection: DataFrame) -> DataFrame:
     return own.unionByName(files.where("not searchable and content_hash <> ''").join(target, "content_hash").select("file_id", "canonical_file_id"))
 
 
-def document_text(collection: DataFrame) -> DataFrame:
-    """``(file_id, text)`` of each file: its canonical text parents in order, joined by line breaks."""
+def texts_of(collection: DataFrame) -> DataFrame:
+    """``(canonical_file_id, text)``: a file's searchable text parents in order, joined by line breaks."""
     parents = collection.where("is_search and hierarchy = 'parent' and type = 'text'")
-    whole = parents.groupBy(F.col("file_id").alias("canonical_file_id")).agg(
+    return parents.groupBy(F.col("file_id").alias("canonical_file_id")).agg(
         F.array_sort(F.collect_list(F.struct("parent_id", "id", F.coalesce("contents", F.lit("")).alias("contents")))).alias("_p")).select(
         "canonical_file_id", F.array_join(F.transform("_p", lambda x: x["contents"]), "\n").alias("text"))
-    return scope(collection).join(whole, "canonical_file_id").select("file_id", "text")
+
+
+def document_text(collection: DataFrame) -> DataFrame:
+    """``(file_id, text)`` of each file, an alias with the text of the file it stands for."""
+    return scope(collection).join(texts_of(collection), "canonical_file_id").select("file_id", "text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.text import content_hash
 from docloom.models import Encoder, encoded
 from docloom.operators import chunking, collection, tables
 from docloom.runtime import written
@@ -35,7 +36,7 @@ def ingested(uploads: DataFrame, stored: DataFrame, encoder: Encoder) -> DataFra
     incoming = collection.incoming_of(uploads)
     decided = written(collection.cascade(incoming, stored))
     full = uploads.join(decided.where("action = 'full'").select("seq"), "seq", "left_semi")
-    docs = full.select("file_id", "filename", F.coalesce("content_hash", F.lit("")).alias("content_hash"), "pages", "tables")
+    docs = full.select("file_id", "filename", F.coalesce(content_hash(F.col("content")), F.lit("")).alias("content_hash"), "pages", "tables")
     new = rows_of(docs, encoder)
     aliases = collection.alias_rows(decided, incoming, encoder.width).withColumn("ord", F.lit(0))
     keyed = new.unionByName(aliases)

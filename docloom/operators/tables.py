@@ -39,6 +39,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 
     parent = F.concat(F.lit("["), F.array_join(F.transform(F.filter("_n", lambda r: F.size(r) > 0), as_object), ","), F.lit("]"))
     t = t.withColumn("parent", parent)
+    # fixed values: the words of a row's sentence
     rows = t.select("file_id", "table_no", "parent", "_h", F.posexplode("_b").alias("row_no", "_r"))
     clause = F.filter(F.transform("_r", lambda c, j: F.struct(F.when(j < F.size("_h"), F.get("_h", j)).otherwise(F.lit("")).alias("n"), _cell(c).alias("v"))),
                       lambda x: (x["n"] != "") & (x["v"] != ""))

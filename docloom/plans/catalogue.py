@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions import json_output as J
 from docloom.functions import text as X
-from docloom.models import HashedEncoder, RecordedModel
-from docloom.operators import chunking, collection, ingest, retrieval, tables, tasks
+from docloom import prompts
+from docloom.models import FirstChoice, HashedEncoder, RecordedModel
+from docloom.operators import answering, chunking, collection, ingest, retrieval, tables, tasks
 from docloom.runtime import table, written
 from docloom.sources import uploads as U
 from docloom.streaming.arrivals import event_counts
@@ -82,11 +83,10 @@ def hard_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Parents led by the end of the parent before them in their file."""
-    previous = F.lag("contents").over(Window.partitionBy("file_id").orderBy("parent_id", "id"))
-    lead = F.regexp_replace(F.when(F.length("_p") > 150, F.substring("_p", -150, 150)).otherwise(F.col("_p")), r"(?U)^[\s\x1c-\x1f]+", "")
-    rows = _text_parents(spark, d).select("id", "file_id", "parent_id", "contents").withColumn("_p", previous)
-    return rows.select("id", F.when(F.col("_p").isNull(), F.col("contents")).otherwise(X.strip(F.concat(lead, F.lit(" "), F.col("contents")))).alias("chunk"))
+    """The parents of each file in order, each led by the end of the one before it."""
+    files = _text_parents(spark, d).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("parent_id", "id", "contents"))).alias("p"))
+    led = files.select(F.explode(F.arrays_zip(F.transform("p", lambda x: x["id"]).alias("id"), chunking.overlapped(F.transform("p", lambda x: x["contents"]), 150).alias("chunk"))).alias("x"))
+    return led.select("x.id", "x.chunk")
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -158,24 +158,18 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(docs, asked, 10)
 
 
-def _children(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").where("is_search and hierarchy = 'child' and contents is not null").where(retrieval.usable_vectors("dense_embedding", 64))
-
-
-def _asked(children: DataFrame) -> DataFrame:
-    return children.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("contents").alias("query"), F.col("dense_embedding").alias("v"))
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Searchable children with text and a usable vector whose id is divisible by 100, as queries."""
+    rows = table(spark, d, "chunks").where("is_search and hierarchy = 'child' and contents is not null and id % 100 = 0").where(retrieval.usable_vectors("dense_embedding", 64))
+    return rows.select(F.col("id").alias("qid"), F.col("contents").alias("query"), F.col("dense_embedding").alias("v"))
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    children = _children(spark, d)
-    asked = _asked(children)
-    vectors = retrieval.dense(children.select("id", F.col("dense_embedding").alias("v")), asked.select("qid", "v"), 100)
-    words = retrieval.bm25(children.select("id", F.col("contents").alias("text")), asked.select("qid", "query"), 100)
-    return retrieval.fused([vectors, words], 50)
+    return retrieval.hybrid(table(spark, d, "chunks"), _asked(spark, d), 50, width=64)
 
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    """For every usable child whose id is divisible by 100, its hybrid hits among all children."""
+    """For every usable child whose id is divisible by 100, its hybrid hits: all children with text, those with a vector in the dense leg."""
     return _hybrid(spark, d)
 
 
@@ -185,7 +179,7 @@ def parent_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 def _reranked(spark: SparkSession, d: str) -> DataFrame:
     parents = retrieval.parents_of(_hybrid(spark, d), table(spark, d, "chunks"))
-    return retrieval.reranked(parents, _asked(_children(spark, d)).select("qid", "query"), 10)
+    return retrieval.reranked(parents, _asked(spark, d), 10)
 
 
 def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -196,6 +190,32 @@ def rag_context(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.context(_reranked(spark, d), everywhere=True).select("qid", F.length("context").alias("chars"), F.md5("context").alias("context_md5"))
 
 
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions on single documents: the children whose id is divisible by 100, each bound to its own file."""
+    rows = table(spark, d, "chunks").where("is_search and hierarchy = 'child' and contents is not null and id % 100 = 0")
+    return rows.select(F.col("id").alias("qid"), F.substring("contents", 1, 200).alias("query"), F.col("file_id").alias("document_id"))
+
+
+def scoped_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The sparse leg within each question's own document, aliases resolved."""
+    chunks = table(spark, d, "chunks")
+    docs = chunks.where("is_search and hierarchy = 'child' and contents is not null").select("id", F.col("contents").alias("text"), F.col("file_id").alias("scope"))
+    return retrieval.bm25(docs, retrieval.scoped(_questions(spark, d), collection.scope(chunks)), 10)
+
+
+def rag_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of the questions whose document fits the budget whole."""
+    found = answering.fragments(_questions(spark, d), table(spark, d, "chunks"), HashedEncoder(), budget_tokens=500)
+    told = answering.prompted(_questions(spark, d), written(found).where("full"))
+    return told.select("qid", F.length("system").alias("chars"), F.md5("system").alias("system_md5"))
+
+
+def rag_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a stand-in model, by whole document or by search, and how many sources each has."""
+    rows = answering.answer(_questions(spark, d), table(spark, d, "chunks"), HashedEncoder(), RecordedModel(), budget_tokens=500)
+    return rows.select("qid", "response", "error", F.size("sources").alias("sources"))
+
+
 # --- answers and tasks -------------------------------------------------------------
 
 def parse_json(spark: SparkSession, d: str) -> DataFrame:
@@ -235,16 +255,26 @@ def confidential_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def category_listing(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "taxonomy").groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("subcategory")), ", ").alias("subcategories"))
-    return rows.select("category", F.when(F.col("subcategories") == "", F.concat(F.lit("- "), F.col("category"))).otherwise(F.concat(F.lit("- "), F.col("category"), F.lit(": "), F.col("subcategories"))).alias("line"))
+    rows = table(spark, d, "taxonomy").groupBy("category").agg(F.array_sort(F.collect_list("subcategory")).alias("subs"))
+    return rows.select("category", prompts.category_listing(F.array(F.struct(F.col("category").alias("name"), "subs"))).alias("line"))
+
+
+def department_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Departments of each request, with their descriptions where given."""
+    rows = tasks.with_params(table(spark, d, "task_requests").where("task_type = 'DEPARTMENT_ASSIGNMENT'"))
+    return rows.select("task_id", F.unix_micros("requested_at").alias("at_us"), prompts.department_listing(F.col("departments")).alias("listing"), J.department_schema_of(F.transform("departments", lambda x: x["name"])).alias("schema"))
+
+
+def resolve_confidential(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded confidentiality answers, resolved from their raw JSON and rendered."""
+    rows = J.with_confidential(table(spark, d, "raw_answers").where("task_type = 'CHECK_CONFIDENTIAL'"), "raw")
+    return rows.select("doc_id", "attempt", F.coalesce(J.rendered_confidential(F.col("contains_sensitive"), F.col("types")), F.lit(J.MANUAL_REVIEW)).alias("report"))
 
 
 def task_params(spark: SparkSession, d: str) -> DataFrame:
     """Parameters of task requests, flattened."""
-    p = F.from_json(F.coalesce("params", F.lit("{}")), tasks.PARAMS)
-    rows = table(spark, d, "task_requests").select("task_id", "requested_at", "task_type", p.alias("p"))
-    return rows.select("task_id", F.unix_micros("requested_at").alias("at_us"), "task_type", F.coalesce(F.size("p.CATEGORY_SUBCATEGORY.categories"), F.lit(-1)).alias("categories"),
-                       F.col("p.OTHER.query").alias("query"))
+    rows = tasks.with_params(table(spark, d, "task_requests"))
+    return rows.select("task_id", F.unix_micros("requested_at").alias("at_us"), "task_type", F.size("categories").alias("categories"), F.size("departments").alias("departments"), "query")
 
 
 def latest_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -254,12 +284,26 @@ def latest_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, d: str) -> DataFrame:
-    docs = collection.document_text(table(spark, d, "chunks"))
+    """Summaries of the uploads, from their stripped pages."""
+    docs = table(spark, d, "documents_in").select(F.col("seq").alias("file_id"), X.strip(tasks.summary_text(F.col("pages"))).alias("text"))
     return tasks.summaries(docs, RecordedModel())
 
 
+def _dispatched(spark: SparkSession, d: str) -> DataFrame:
+    said = tasks.summaries(collection.document_text(table(spark, d, "chunks")), RecordedModel())
+    return tasks.dispatch(table(spark, d, "task_requests"), written(said), FirstChoice())
+
+
 def task_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    return tasks.dispatch(table(spark, d, "task_requests"), written(summaries(spark, d)), table(spark, d, "raw_answers"), RecordedModel())
+    return _dispatched(spark, d)
+
+
+def structured_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies of a model that takes the first choice it is offered: shape of the payloads of structured tasks."""
+    rows = _dispatched(spark, d).where(F.col("task_type").isin(*tasks.STRUCTURED))
+    field = lambda path: F.get_json_object("payload", f"$.{path}")
+    return rows.select("document_id", "task_id", "task_type", "ok", field("results.CATEGORY_SUBCATEGORY.CATEGORY").alias("category"), field("results.CATEGORY_SUBCATEGORY.SUBCATEGORY").alias("subcategory"),
+                       field("results.DEPARTMENT_ASSIGNMENT").alias("department"), field("results.BASE_EXTRACTION").alias("extraction"), field("results.CHECK_CONFIDENTIAL").alias("confidential"), field("error").alias("error"))
 
 
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -270,7 +314,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     content_hash, upload_hash, page_text, mime_filter, preview, strip_markdown, token_route, context_route, hard_split, overlap_chunks, sentences, parent_chunks, child_chunks,
     chunk_rows, table_chunks, dedup_cascade, alias_rows, resolve_scope, document_text, collection_counts, ingest_rows, dense_topk, bm25_topk, hybrid_topk, parent_lookup,
-    rerank_topk, rag_context, parse_json, coerce_category, resolve_category, confidential_report, category_listing, task_params, latest_requests, summaries, task_dispatch, event_windows)}
+    rerank_topk, rag_context, scoped_topk, rag_prompt, rag_answers, department_listing, resolve_confidential, structured_replies, parse_json, coerce_category, resolve_category, confidential_report, category_listing, task_params, latest_requests, summaries, task_dispatch, event_windows)}
 
 
 # --- the same in SQL ----------------------------------------------------------------
@@ -286,10 +330,11 @@ _BM25 = """
         FROM asked_terms JOIN tf USING (term) JOIN df USING (term), stats GROUP BY qid, id))"""
 
 _HYBRID = f"""
-    children AS (SELECT * FROM chunks WHERE is_search AND hierarchy = 'child' AND contents IS NOT NULL AND len(dense_embedding) = 64
+    searchable AS (SELECT * FROM chunks WHERE is_search AND hierarchy = 'child'),
+    children AS (SELECT * FROM searchable WHERE len(dense_embedding) = 64
         AND NOT list_bool_or(list_transform(dense_embedding, lambda e: isnan(e))) AND list_bool_or(list_transform(dense_embedding, lambda e: e <> 0))),
-    corpus AS (SELECT id, contents AS text FROM children),
-    asked AS (SELECT id AS qid, contents AS query, dense_embedding AS v FROM children WHERE id % 100 = 0),
+    corpus AS (SELECT id, contents AS text FROM searchable WHERE contents IS NOT NULL),
+    asked AS (SELECT id AS qid, contents AS query, dense_embedding AS v FROM children WHERE id % 100 = 0 AND contents IS NOT NULL),
     {_BM25},
     dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
         SELECT qid, c.id, round(list_inner_product(v::DOUBLE[], c.dense_embedding::DOUBLE[]), 6) AS score FROM asked, children c)),
@@ -317,11 +362,11 @@ _DOCUMENT_TEXT = f"""{_SCOPE},
     document_texts AS (SELECT scope.file_id, text FROM scope JOIN whole USING (canonical_file_id))"""
 
 _CASCADE = f"""
-    incoming AS (SELECT seq, file_id, filename, coalesce(content_hash, '') AS content_hash,
+    incoming AS (SELECT seq, file_id, filename, coalesce(sha256(content), '') AS content_hash,
         coalesce(list_bool_or(list_transform(pages, lambda p: p IS NOT NULL AND regexp_matches(p, '{NWS}'))), false)
         OR coalesce(list_bool_or(list_transform(tables, lambda t: len(t.data) > 1)), false) AS has_rows FROM documents_in),
     turns AS (SELECT *, row_number() OVER (PARTITION BY file_id, has_rows ORDER BY seq) AS turn, file_id IN (SELECT file_id FROM chunks) AS stored FROM incoming),
-    canonical AS (SELECT content_hash, min(file_id) AS canonical FROM chunks WHERE is_search AND content_hash <> '' GROUP BY content_hash),
+    canonical AS (SELECT lower(content_hash) AS content_hash, min(file_id) AS canonical FROM chunks WHERE is_search AND content_hash <> '' GROUP BY lower(content_hash)),
     fresh AS (SELECT t.*, c.canonical, row_number() OVER (PARTITION BY t.content_hash ORDER BY seq) AS rn, first_value(file_id) OVER (PARTITION BY t.content_hash ORDER BY seq) AS first_file
               FROM turns t LEFT JOIN canonical c ON t.content_hash = c.content_hash WHERE has_rows AND turn = 1 AND NOT stored),
     decided AS (SELECT t.seq, t.file_id,
@@ -351,6 +396,10 @@ def _cell(c: str) -> str:
     return f"coalesce({_strip(one_line)}, '')"
 
 
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
 _CLEAN = "regexp_replace(raw, '```(json)?', '', 'gi')"
 
 ORACLE: dict[str, str] = {
@@ -402,7 +451,7 @@ ORACLE: dict[str, str] = {
     "dedup_cascade": f"WITH {_CASCADE} SELECT seq, file_id, action, coalesce(canonical_file_id, -1) AS canonical_file_id FROM decided",
     "alias_rows": f"""WITH {_CASCADE}
         SELECT d.file_id, d.file_id AS parent_id, 'parent' AS hierarchy, 'text' AS type, u.filename, u.content_hash, false AS is_search, 'x' AS contents, 64 AS width
-        FROM decided d JOIN documents_in u USING (seq) WHERE action = 'alias'""",
+        FROM decided d JOIN incoming u USING (seq) WHERE action = 'alias'""",
     "resolve_scope": f"WITH {_SCOPE} SELECT * FROM scope",
     "document_text": f"WITH {_DOCUMENT_TEXT} SELECT * FROM document_texts",
     "collection_counts": "SELECT hierarchy, type, is_search, count(*) AS n, count(DISTINCT file_id) AS files, sum(length(contents))::BIGINT AS chars FROM chunks GROUP BY ALL",
@@ -463,8 +512,63 @@ ORACLE: dict[str, str] = {
     "category_listing": """
         SELECT category, '- ' || category || CASE WHEN count(subcategory) > 0 THEN ': ' || string_agg(subcategory, ', ' ORDER BY subcategory) ELSE '' END AS line FROM taxonomy GROUP BY category""",
     "task_params": """
-        SELECT task_id, epoch_us(requested_at) AS at_us, task_type, coalesce(json_array_length(json_extract(params, '$.CATEGORY_SUBCATEGORY.categories')), -1)::INT AS categories,
-               json_extract_string(params, '$.OTHER.query') AS query FROM task_requests""",
+        SELECT task_id, epoch_us(requested_at) AS at_us, task_type,
+               len(list_distinct(list_transform(json_extract(params, '$.CATEGORY_SUBCATEGORY.categories[*]'), lambda c: json_extract_string(c, '$.name'))))::INT AS categories,
+               coalesce(json_array_length(json_extract(params, '$.DEPARTMENT_ASSIGNMENT.departments')), 0)::INT AS departments,
+               json_extract_string(params, '$.OTHER.query') AS query FROM (SELECT * REPLACE (coalesce(params, '{}') AS params) FROM task_requests)""",
+    "department_listing": """
+        WITH d AS (SELECT task_id, requested_at, i, CASE WHEN json_type(x) = 'VARCHAR' THEN json_extract_string(x, '$') ELSE json_extract_string(x, '$.name') END AS name,
+                          CASE WHEN json_type(x) = 'OBJECT' THEN json_extract_string(x, '$.description') END AS description
+            FROM (SELECT rowid AS r, task_id, requested_at, unnest(json_extract(params, '$.DEPARTMENT_ASSIGNMENT.departments[*]')) AS x,
+                         generate_subscripts(json_extract(params, '$.DEPARTMENT_ASSIGNMENT.departments[*]'), 1) AS i
+                  FROM (SELECT row_number() OVER () AS rowid, * FROM task_requests) WHERE task_type = 'DEPARTMENT_ASSIGNMENT'))
+        SELECT task_id, epoch_us(requested_at) AS at_us, string_agg('- ' || name || CASE WHEN coalesce(description, '') <> '' THEN ': ' || description ELSE '' END, chr(10) ORDER BY i) AS listing,
+               '{"type":"object","properties":{"department":{"enum":' || to_json(list(name ORDER BY i)) || '}},"required":["department"],"additionalProperties":false}' AS schema
+        FROM d GROUP BY task_id, requested_at""",
+    "resolve_confidential": f"""
+        WITH kinds(kind, label) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in J.CONFIDENTIAL_LABELS.items())}),
+        cleaned AS (SELECT row_number() OVER () AS rid, doc_id, attempt, {_strip(_CLEAN)} AS c FROM raw_answers WHERE task_type = 'CHECK_CONFIDENTIAL'),
+        found AS (SELECT *, CASE WHEN json_valid(c) THEN c WHEN json_valid(regexp_extract(c, '(?s)\\{{.*\\}}')) THEN regexp_extract(c, '(?s)\\{{.*\\}}') END AS j FROM cleaned),
+        flags AS (SELECT *, CASE WHEN json_type(json_extract(j, '$.contains_sensitive')) = 'BOOLEAN' THEN json_extract_string(j, '$.contains_sensitive') = 'true'
+            WHEN json_type(json_extract(j, '$.contains_sensitive')) = 'VARCHAR' THEN CASE WHEN lower(trim(json_extract_string(j, '$.contains_sensitive'))) IN ('true', 'tak', 'yes', '1') THEN true
+                WHEN lower(trim(json_extract_string(j, '$.contains_sensitive'))) IN ('false', 'nie', 'no', '0') THEN false END END AS flag FROM found),
+        entered AS (SELECT rid, unnest(json_extract_string(j, '$.types[*]')) AS t, generate_subscripts(json_extract_string(j, '$.types[*]'), 1) AS i FROM flags),
+        plain AS (SELECT DISTINCT t, {_PLAIN.format(_squash("t"))} AS v FROM entered WHERE t IS NOT NULL),
+        scored AS (SELECT t, kind, {_similarity("v", "kind")} AS s FROM plain, kinds),
+        won AS ({_winner("scored", "t", "kind")}),
+        firsts AS (SELECT rid, coerced, min(i) AS i FROM entered LEFT JOIN won USING (t) GROUP BY rid, coerced),
+        listed AS (SELECT rid, bool_or(coerced IS NULL) AS bad, string_agg('- ' || label, chr(10) ORDER BY i) AS lines FROM firsts LEFT JOIN kinds ON coerced = kind GROUP BY rid)
+        SELECT doc_id, attempt, CASE WHEN flag IS NULL OR coalesce(bad, false) OR (json_extract(j, '$.types') IS NOT NULL AND json_type(json_extract(j, '$.types')) <> 'ARRAY') THEN '{J.MANUAL_REVIEW}'
+            WHEN NOT flag THEN 'Dane wrażliwe: NIE' WHEN lines IS NULL THEN 'Dane wrażliwe: TAK'
+            ELSE 'Dane wrażliwe: TAK' || chr(10) || 'Wykryte typy:' || chr(10) || lines END AS report FROM flags LEFT JOIN listed USING (rid)""",
+    "structured_replies": f"""
+        WITH {_DOCUMENT_TEXT},
+        rows AS (SELECT r.*, d.text, json_extract(coalesce(params, '{{}}'), '$.CATEGORY_SUBCATEGORY.categories[*]') AS cats,
+                        json_extract(coalesce(params, '{{}}'), '$.DEPARTMENT_ASSIGNMENT.departments[*]') AS deps
+                 FROM task_requests r LEFT JOIN document_texts d ON r.document_id = d.file_id
+                 WHERE task_type IN ('CATEGORY_SUBCATEGORY', 'DEPARTMENT_ASSIGNMENT', 'BASE_EXTRACTION', 'CHECK_CONFIDENTIAL')),
+        picked AS (SELECT *, json_extract_string(cats[1], '$.name') AS first_name FROM rows),
+        last_of AS (SELECT *, list_filter(cats, lambda c: json_extract_string(c, '$.name') = first_name)[-1] AS c FROM picked),
+        told AS (SELECT *, CASE WHEN task_type = 'CATEGORY_SUBCATEGORY' AND len(cats) = 0 THEN 'categories must not be empty'
+            WHEN task_type = 'DEPARTMENT_ASSIGNMENT' AND len(deps) = 0 THEN 'departments must not be empty' WHEN text IS NULL THEN 'document has no summary' END AS error FROM last_of)
+        SELECT document_id, task_id, task_type, error IS NULL AS ok, CASE WHEN error IS NULL AND task_type = 'CATEGORY_SUBCATEGORY' THEN first_name END AS category,
+               CASE WHEN error IS NULL AND task_type = 'CATEGORY_SUBCATEGORY' THEN json_extract_string(c, '$.subcategories[0].name') END AS subcategory,
+               CASE WHEN error IS NULL AND task_type = 'DEPARTMENT_ASSIGNMENT' THEN CASE WHEN json_type(deps[1]) = 'VARCHAR' THEN json_extract_string(deps[1], '$') ELSE json_extract_string(deps[1], '$.name') END END AS department,
+               CASE WHEN error IS NULL AND task_type = 'BASE_EXTRACTION' THEN '' END AS extraction,
+               CASE WHEN error IS NULL AND task_type = 'CHECK_CONFIDENTIAL' THEN 'Dane wrażliwe: NIE' END AS confidential, error FROM told""",
+    "scoped_topk": f"""
+        WITH {_SCOPE},
+        corpus AS (SELECT id, contents AS text, file_id FROM chunks WHERE is_search AND hierarchy = 'child' AND contents IS NOT NULL),
+        asked AS (SELECT c.id AS qid, substr(contents, 1, 200) AS query, s.canonical_file_id AS bound FROM chunks c JOIN scope s USING (file_id)
+                  WHERE is_search AND hierarchy = 'child' AND contents IS NOT NULL AND id % 100 = 0),
+        {_BM25.replace("FROM asked_terms JOIN tf USING (term) JOIN df USING (term), stats", "FROM asked_terms JOIN tf USING (term) JOIN df USING (term) JOIN corpus co USING (id) JOIN asked q USING (qid), stats WHERE co.file_id = q.bound")}
+        SELECT qid, id, score, rank FROM sparse WHERE rank <= 10""",
+    "rag_prompt": f"""
+        WITH {_DOCUMENT_TEXT},
+        asked AS (SELECT id AS qid, file_id FROM chunks WHERE is_search AND hierarchy = 'child' AND contents IS NOT NULL AND id % 100 = 0),
+        told AS (SELECT qid, {_sql_text(prompts.rag_parts()[0])} || '--- Fragment 1 ---' || chr(10) || text || chr(10) || chr(10) || {_sql_text(prompts.rag_parts()[1])} AS s
+                 FROM asked JOIN document_texts USING (file_id) WHERE length(text) <= 1750 AND text <> '')
+        SELECT qid, length(s) AS chars, md5(s) AS system_md5 FROM told""",
     "latest_requests": """
         SELECT task_id, document_id, task_type, epoch_us(requested_at) AS at_us FROM (
             SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY requested_at DESC, document_id, task_type) AS rn FROM task_requests) WHERE rn = 1""",

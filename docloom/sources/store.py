@@ -6,8 +6,11 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.config import ConfigError
+
 SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("file_id", T.LongType()),
@@ -49,6 +52,31 @@ def append(rows: DataFrame, path: str) -> None:
     rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in SCHEMA.fields]).write.mode("append").partitionBy("hierarchy").parquet(path)
 
 
+def hold_encoder(spark: SparkSession, path: str, name: str, width: int) -> None:
+    """Remember the encoder a collection's vectors come from; another one or another width is an error from then on."""
+    beside = f"{path.rstrip('/')}.encoder"
+    if not _exists(spark, beside):
+        spark.createDataFrame([(name, width)], "name string, width int").coalesce(1).write.json(beside)
+        return
+    held = spark.read.schema("name string, width int").json(beside).first()
+    if (held["name"], held["width"]) != (name, width):
+        raise ConfigError(f"the collection holds vectors of {held['name']} ({held['width']}), not of {name} ({width})")
+
+
+def retried(read: Callable[[], DataFrame], wait_s: float = 1.0) -> DataFrame:
+    """A read tried once more where planning it failed, as when a file was replaced meanwhile; tasks are retried by Spark."""
+    try:
+        return read()
+    except Exception:
+        time.sleep(wait_s)
+        return read()
+
+
+def addressed(replies: DataFrame, success_col: str = "success_url", error_col: str = "error_url") -> DataFrame:
+    """Replies with the address theirs goes to: one for results, one for errors."""
+    return replies.withColumn("callback_url", F.when(F.col("ok"), F.col(success_col)).otherwise(F.col(error_col)))
+
+
 def send(replies: DataFrame, post: Callable[[str, str], None], *, attempts: int = 3, backoff_s: float = 1.0, url_col: str = "callback_url") -> DataFrame:
     """Post each reply, retrying with a growing pause; ``(task_id, sent, tries)``.
 

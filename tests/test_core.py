@@ -153,6 +153,13 @@ def test_summaries(spark):
     got = {r[0]: r[1] for r in tasks.summaries(docs, RecordedModel(echo=20), budget_chars=300).collect()}
     assert got[1] == "short" and got[2] == "" and got[3] == "" and got[4].startswith("word")
 
+    class Failing(RecordedModel):
+        def answers(self, requests):
+            return [RuntimeError("no luck") if r.task == "SUMMARY_PART" else r.prompt[:20] for r in requests]
+
+    got = {r[0]: (r[1], r[2]) for r in tasks.summaries(docs, Failing(), budget_chars=300).collect()}
+    assert got[1] == ("short", None) and got[4] == (None, "no luck")
+
 
 def test_config_gates():
     assert config.load({}).provider == "local"
@@ -176,8 +183,9 @@ def test_stream_replay_adds_nothing(spark, tmp_path):
     from docloom.sources import store
     from docloom.streaming import arrivals
 
-    schema = "seq long, file_id long, filename string, content_hash string, pages array<string>, tables array<struct<page_number:int,data:array<array<string>>>>"
-    batch = spark.createDataFrame([(1, 10, "a", "h", ["Some text. More."], None), (2, 11, "b", "h", ["Some text. More."], None), (3, 10, "a", "z", ["other"], None)], schema)
+    schema = "seq long, file_id long, filename string, content binary, content_hash string, pages array<string>, tables array<struct<page_number:int,data:array<array<string>>>>"
+    # the hashes stated are wrong: bytes decide
+    batch = spark.createDataFrame([(1, 10, "a", b"h", "1", ["Some text. More."], None), (2, 11, "b", b"h", "2", ["Some text. More."], None), (3, 10, "a", b"z", "1", ["other"], None)], schema)
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     batch.coalesce(1).write.parquet(src)
     for n in (1, 2):
@@ -190,3 +198,133 @@ def test_every_query_is_registered():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 30
+
+
+def scripted(script):
+    """Answers of a task in turn: the repair call gets the second one."""
+
+    class Scripted:
+        def answers(self, requests):
+            out = []
+            for r in requests:
+                said = script.get(r.task, [r.prompt])
+                got = said[1] if "Odrzucona" in r.prompt and len(said) > 1 else said[0]
+                out.append(ValueError(got[1:]) if got.startswith("!") else got)
+            return out
+
+    return Scripted()
+
+
+REQUESTS = [
+    (1, "t1", "SUMMARY", None), (1, "t2", "CATEGORY_SUBCATEGORY", '{"CATEGORY_SUBCATEGORY": {"categories": [{"name": "Umowy", "subcategories": [{"name": "Stare"}]}, {"name": "Inne"}, {"name": "Umowy", "subcategories": [{"name": "Najem"}]}]}}'),
+    (1, "t3", "DEPARTMENT_ASSIGNMENT", '{"DEPARTMENT_ASSIGNMENT": {"departments": ["Kadry", {"name": "IT", "description": "systemy"}]}}'), (1, "t4", "BASE_EXTRACTION", "{}"),
+    (1, "t5", "CHECK_CONFIDENTIAL", None), (1, "t6", "SUGGESTED_ACTION", None), (1, "t7", "OTHER", '{"OTHER": {"query": "**ile**?"}}'), (1, "t8", "DANCE", None), (1, "t9", "OTHER", "{broken"),
+    (2, "t10", "SUMMARY", None), (1, "t11", "CATEGORY_SUBCATEGORY", "{}")]
+
+
+def test_dispatch_repairs_and_reports(spark):
+    import json
+
+    model = scripted({"CATEGORY_SUBCATEGORY": ['{"category": "zupa"}', '{"category": "umowa", "subcategory": "najem"}'], "DEPARTMENT_ASSIGNMENT": ['```json {"department": "it"}```'],
+                      "BASE_EXTRACTION": ['{"data": [{"field": "Kwota", "value": "5"}, {"field": "Data", "value": ""}]}'], "CHECK_CONFIDENTIAL": ['{"contains_sensitive": "może"}', "nadal nie"], "SUGGESTED_ACTION": ["!timeout"]})
+    requests = spark.createDataFrame(REQUESTS, "document_id long, task_id string, task_type string, params string")
+    summary = spark.createDataFrame([(1, "Treść", None)], "file_id long, summary string, error string")
+    rows = {r.task_id: (r.ok, json.loads(r.payload)) for r in tasks.dispatch(requests, summary, model).collect()}
+    result = {k: v[1].get("results") for k, v in rows.items()}
+    assert result["t1"] == {"SUMMARY": "Treść"} and result["t2"] == {"CATEGORY_SUBCATEGORY": {"CATEGORY": "Umowy", "SUBCATEGORY": "Najem"}}
+    assert result["t3"] == {"DEPARTMENT_ASSIGNMENT": "IT"} and result["t4"] == {"BASE_EXTRACTION": "Kwota: 5\nData: "}
+    assert result["t5"] == {"CHECK_CONFIDENTIAL": J.MANUAL_REVIEW} and result["t7"] == {"OTHER": "ile?"}
+    errors = {k: v[1]["error"] for k, v in rows.items() if not v[0]}
+    assert errors == {"t6": "timeout", "t8": "Unsupported task type: DANCE", "t9": "params are no JSON", "t10": "document has no summary", "t11": "categories must not be empty"}
+    assert rows["t6"][1] == {"documentId": 1, "taskId": "t6", "taskType": "SUGGESTED_ACTION", "error": "timeout"}
+
+
+def test_extraction_is_validated(spark):
+    rows = [('{"data": []}',), ("{}",), ('{"other": 1}',), ('{"data": [{"field": "a", "value": 5}]}',), ('{"data": [{"field": "a"}]}',), ("[1]",), ('{"data": "x"}',), ('{"data": [{"field": "a", "value": "b"}]}',), (None,)]
+    got = [r[0] for r in one(spark, "r string", rows, J.rendered_extraction(J.extraction_of(F.col("r"))))]
+    assert got == ["", None, "", None, None, None, None, "a: b", None]
+
+
+def test_answers_by_scope_and_route(spark):
+    from docloom.models import HashedEncoder, RecordedModel
+    from docloom.operators import answering
+
+    enc = HashedEncoder(16)
+    text = {1: "czynsz za lokal wynosi sto", 2: "kot pije mleko", 3: "umowa najmu lokalu " * 40}
+    vec = {k: [float(x) for x in v] for k, v in zip(text, enc.encode(list(text.values())))}
+    zero = [0.0] * 16
+    schema = "id long, file_id long, parent_id long, hierarchy string, type string, filename string, content_hash string, is_search boolean, contents string, dense_embedding array<float>"
+    rows = [(k * 10, k, k * 100, "parent", "text", f"f{k}", f"h{k}", True, t, zero) for k, t in text.items()]
+    rows += [(k * 10 + 1, k, k * 100, "child", "text", f"f{k}", f"h{k}", True, t, vec[k]) for k, t in text.items()]
+    rows += [(90, 9, 9, "parent", "text", "g", "h2", False, "x", zero), (21, 2, 200, "child", "text", "f2", "h2", True, "mleko bez wektora", None)]
+    stored = spark.createDataFrame(rows, schema)
+    asked = spark.createDataFrame([(1, "czynsz lokal", None), (2, "co pije kot", 9), (3, "umowa najmu", 3), (4, "nic", 77), (5, "mleko", None)], "qid long, query string, document_id long")
+    got = {r.qid: r for r in answering.answer(asked, stored, enc, RecordedModel(), budget_tokens=20).collect()}
+    assert got[4].error == answering.NO_CONTEXT and got[4].response is None
+    assert [s.contents for s in got[2].sources] == [text[2]] and got[2].sources[0].file_id == 9  # alias: whole document of its original
+    assert [s.file_id for s in got[3].sources] == [3] and got[3].sources[0].parent_id == 300  # too long: searched within
+    assert got[1].sources[0].file_id == 1 and got[1].response == "czynsz lokal"
+    assert any(s.file_id == 2 for s in got[5].sources)  # its text is found although one child has no vector
+    prompt = {r.qid: r.system for r in answering.prompted(asked, answering.fragments(asked, stored, enc, budget_tokens=20)).collect()}
+    assert "Fragment z dokumentu: f1" in prompt[1] and "4." in prompt[1] and "--- Fragment 1 ---" in prompt[2] and "4." not in prompt[2]
+
+
+def test_clients_by_provider():
+    from docloom import clients
+    from docloom.models import Request
+
+    sent = []
+
+    def transport(url, body, headers, timeout):
+        sent.append((url, body, headers))
+        if body.get("prompt") == "bad":
+            raise OSError("down")
+        return {"response": " a "} if "generate" in url else {"choices": [{"message": {"content": " b "}}]}
+
+    local = clients.client(config.load({}), base_url="http://x/", transport=transport)
+    got = local.answers([Request("BASE_EXTRACTION", "p", "s", "{}"), Request("OTHER", "bad")])
+    assert got[0] == "a" and isinstance(got[1], OSError)
+    assert sent[0][1]["options"]["temperature"] == 0.0 and sent[0][1]["format"] == {}
+    hosted = clients.client(config.load({"LLM_API_KEY": "k"}), base_url="http://y", api_key="k", transport=transport)
+    assert hosted.answers([Request("OTHER", "p", "s", '{"a":1}')]) == ["b"]
+    assert '{"a":1}' in sent[-1][1]["messages"][0]["content"] and sent[-1][2]["Authorization"] == "Bearer k"
+    with pytest.raises(config.ConfigError):
+        clients.client(config.load({}), base_url="")
+
+
+def test_requests_received(spark):
+    from docloom.sources import uploads
+
+    rows = [(1, "5", "text/plain", '["SUMMARY", "OTHER"]', None, b"x"), (2, "6", "image/png", "[]", None, b"x"), (3, "7", "text/plain", "nope", None, b"x"), (4, None, "text/plain", "[]", None, b"x"),
+            (5, "x", "text/plain", "[]", "{}", b"x"), (6, "8", "text/plain", "[]", "{", b"x"), (7, "9", "text/plain", "[]", None, b"x"), (8, "10", "text/plain", "[]", None, b"x")]
+    got = uploads.received(spark.createDataFrame(rows, "seq long, document_id string, content_type string, tasks string, params string, content binary"))
+    out = {r.seq: r for r in got.collect()}
+    assert {k: r.status for k, r in out.items()} == {1: 200, 2: 415, 3: 400, 4: 400, 5: 400, 6: 400, 7: 200, 8: 200}
+    assert [t.task_type for t in out[1].task_list] == ["SUMMARY", "OTHER"] and len({t.task_id for t in out[1].task_list}) == 2
+    busy = {r.seq: (r.status, r.retry_after) for r in uploads.within_capacity(got, pending=498, most=500).collect()}
+    assert busy[1] == (200, None) and busy[7] == (200, None) and busy[8] == (503, 10) and busy[2] == (415, None)
+
+
+def test_collection_lifecycle(spark, tmp_path):
+    from docloom import __main__ as cli
+    from docloom.sources import store
+
+    path = str(tmp_path / "c")
+    assert cli.main([path, "--encoder", "e", "--width", "4"]) == 0 and store.read(spark, path).count() == 0
+    with pytest.raises(config.ConfigError):
+        cli.main([path, "--encoder", "other", "--width", "4"])
+    assert cli.main([path, "--reset"], ask=lambda _: "no") == 1 and cli.main([path, "--reset"], ask=lambda _: path) == 0
+    assert config.encoder_fits(config.load({}), 512) and not config.encoder_fits(config.load({}), 64)
+
+
+def test_replies_go_to_their_address(spark):
+    from docloom.sources import store
+
+    rows = spark.createDataFrame([("t1", True, "ok", "err", "{}"), ("t2", False, "ok", "err", "{}")], "task_id string, ok boolean, success_url string, error_url string, payload string")
+
+    def post(url, body):
+        if url == "err":
+            raise OSError("down")
+
+    got = {r.task_id: (r.sent, r.tries) for r in store.send(store.addressed(rows), post, attempts=2, backoff_s=0).collect()}
+    assert got == {"t1": (True, 1), "t2": (False, 2)}
