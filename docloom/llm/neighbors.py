@@ -2,10 +2,13 @@
 
 Hierarchical navigable small-world graphs, one a shard, stored as flat neighbour arrays.
 Vectors go to the shard of their nearest pivot; pivots are themselves vectors of the
-collection, so dense regions get more of them and shards stay of like size. A vector is
-inserted into its own shard's graph, which finds its earlier neighbours on the way, and is
-searched for in the graphs of the next nearest pivots. The shards' results are merged, and
-every reported pair's cosine is computed again in double precision.
+collection, so dense regions get more of them and shards stay of like size. A shard that grows
+beyond ``SPLIT`` vectors all the same (a dense region, or more vectors than pivots provide for) is split
+by hash. A vector is inserted into its own shard's graph, which finds its earlier neighbours on the
+way. The graphs are written, one row a shard with its ids, vectors and flat neighbour arrays
+(``built``), and can be read again for other queries. Every vector is then searched for in the graphs of the
+next nearest pivots and in the other parts of its own shard. The shards' results are
+merged, and every reported pair's cosine is computed again in double precision.
 
 Inside a shard everything is done for many vectors at once: beams of a whole batch advance
 through the layers together over the neighbour arrays.
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from docloom.runtime import table, written
 
 WIDTH, K, COSINE = 64, 10, 0.90
-SHARD, MAX_PIVOTS, ROUTES = 2500, 8192, 3
+SHARD, SPLIT, MAX_PIVOTS, ROUTES = 2500, 10_000, 8192, 3
 LINKS, BEAM, BATCH, STRIDE = 10, 20, 512, 3
 _SLACK = 1e-4
 
@@ -54,6 +57,20 @@ class Graph:
         self.layers = [np.full((n, links * (2 if i == 0 else 1)), -1, dtype=np.int32) for i in range(level.max() + 1 if n else 1)]
         self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
+    def arrays(self) -> tuple[bytes, list[bytes]]:
+        """Levels of the rows and the neighbour arrays of the layers, as they are stored."""
+        return self.level.astype("<i4").tobytes(), [np.ascontiguousarray(t, dtype="<i4").tobytes() for t in self.layers]
+
+    @classmethod
+    def stored(cls, x: np.ndarray, level: bytes, layers: list[bytes], links: int = LINKS, beam: int = BEAM) -> Graph:
+        """A graph read back: nothing is inserted again."""
+        g = cls.__new__(cls)
+        g.x, g.links, g.beam, g.pairs = np.ascontiguousarray(x, dtype=np.float32), links, beam, []
+        g.level = np.frombuffer(level, dtype="<i4")
+        g.order = np.argsort(-g.level, kind="stable")
+        g.layers = [np.frombuffer(t, dtype="<i4").reshape(len(x), -1) for t in layers]
+        return g
+
     def build(self, report: float = 2.0) -> Graph:
         """Insert all rows; pairs of at least ``report`` met on the way are kept."""
         for layer in range(len(self.layers) - 1, -1, -1):
@@ -243,9 +260,11 @@ def _copies(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     Ids are gathered over salted keys first, cut to ``k + 1`` there, so a vector that
     fills a third of all rows is never in one task.
     """
-    salted = vectors.groupBy(F.xxhash64("v").alias("h"), F.pmod(F.xxhash64("id"), F.lit(32)).alias("_s")).agg(
+    # two hashes of 128 bits in all stand for the vector, which itself is carried once
+    key = [F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")]
+    salted = vectors.groupBy(*key, F.pmod(F.xxhash64("id"), F.lit(32)).alias("_s")).agg(
         F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"), F.min_by("v", "id").alias("v"))
-    one = salted.groupBy("h").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"), F.first("v").alias("v"))
+    one = salted.groupBy("h", "g").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"), F.first("v").alias("v"))
     one = written(one.select(F.col("ids")[0].alias("id"), "ids", "v"))
     return one.select("id", "v"), one.where(F.size("ids") > 1).select("id", "ids")
 
@@ -275,37 +294,65 @@ def routed(vectors: DataFrame, centres: np.ndarray, routes: int = ROUTES, width:
     return vectors.mapInArrow(run, "shard int, owner boolean, id long, v binary")
 
 
+def split(routed_rows: DataFrame, limit: int = SPLIT) -> DataFrame:
+    """``(shard, sub, owner, id, v)``: shards over the limit in parts; a vector owns a place in one part and is a guest of the others."""
+    sizes = routed_rows.where("owner").groupBy("shard").agg(F.ceil(F.count("*") / limit).cast("int").alias("_subs"))
+    rows = routed_rows.join(sizes, "shard").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_subs"))).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)))
+    return rows.select("shard", "sub", (F.col("owner") & (F.col("_own") == F.col("sub"))).alias("owner"), "id", "v")
+
+
+_GRAPH = "shard int, sub int, ids binary, x binary, level binary, layers array<binary>, met_a binary, met_b binary"
 _PAIR = "a long, b long, cos double"
 
 
-def similar_pairs(vectors: DataFrame, centres: np.ndarray, *, k: int = K, least: float = COSINE, beam: int = BEAM, routes: int = ROUTES, width: int = WIDTH) -> DataFrame:
-    """``(a, b, cos)``, a < b: distinct vectors' pairs of at least ``least`` met in the shards' graphs."""
+def built(rows: DataFrame, parts: int, *, least: float = COSINE, beam: int = BEAM, width: int = WIDTH) -> DataFrame:
+    """The stored graphs, one row a shard's part: ids, vectors, neighbour arrays, and the pairs of rows met on the way."""
 
-    def shard(t: pa.Table) -> pa.Table:
-        own = np.asarray(t.column("owner").to_pylist(), dtype=bool)
-        ids = t.column("id").to_numpy()
-        x = _units(t.column("v"), width)
-        mine, xs = ids[own], x[own]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        va, vb = [np.zeros((0, width), np.float32)], [np.zeros((0, width), np.float32)]
-        if len(mine):
-            g = Graph(xs, beam=beam).build(report=least - _SLACK)
-            for p, q, _ in g.pairs:
-                a.append(mine[p]), b.append(mine[q]), va.append(xs[p]), vb.append(xs[q])
-            guests, xg = ids[~own], x[~own]
-            if len(guests):
-                found, sims = g.search(xg, beam)
-                r, c = np.nonzero(sims >= least - _SLACK)
-                a.append(guests[r]), b.append(mine[found[r, c]]), va.append(xg[r]), vb.append(xs[found[r, c]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        va, vb = np.concatenate(va).astype(np.float64), np.concatenate(vb).astype(np.float64)
-        cos = np.round((va * vb).sum(1) / np.sqrt((va * va).sum(1) * (vb * vb).sum(1)), 6) if len(a) else np.zeros(0)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cos": cos})
+    def build(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("id").to_numpy(), kind="stable")
+        ids, x = t.column("id").to_numpy()[order], _units(t.column("v"), width)[order]
+        g = Graph(x, beam=beam).build(report=least - _SLACK)
+        met = [np.concatenate([p[i] for p in g.pairs]).astype("<i4") if g.pairs else np.zeros(0, "<i4") for i in (0, 1)]
+        level, layers = g.arrays()
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "sub": pa.array([key[1].as_py()], pa.int32()), "ids": [ids.astype("<i8").tobytes()], "x": [x.tobytes()], "level": [level],
+                         "layers": pa.array([layers], pa.list_(pa.binary())), "met_a": [met[0].tobytes()], "met_b": [met[1].tobytes()]})
 
     # as many partitions as shards: a task gets a shard or a few, however many there are
-    rows = routed(vectors, centres, routes, width).repartition(max(1, len(centres)), "shard")
-    pairs = rows.groupBy("shard").applyInArrow(shard, _PAIR)
-    return pairs.where(f"cos >= {least}").groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    return written(rows.where("owner").select("shard", "sub", "id", "v").repartition(parts, "shard", "sub").groupBy("shard", "sub").applyInArrow(build, _GRAPH))
+
+
+def searched(graphs: DataFrame, guests: DataFrame, parts: int, *, least: float = COSINE, beam: int = BEAM, width: int = WIDTH) -> DataFrame:
+    """``(a, b, cos)``, a < b: pairs met while the stored graphs were built, and those of guests ``(shard, sub, id, v)`` with their rows."""
+
+    def search(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b, cos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+
+        def add(i, j, x, y):
+            x, y = x.astype(np.float64), y.astype(np.float64)
+            a.append(np.minimum(i, j)), b.append(np.maximum(i, j))
+            cos.append(np.round((x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1)), 6))
+
+        for r in right.to_pylist():
+            ids, x = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["x"], np.float32).reshape(-1, width)
+            p, q = np.frombuffer(r["met_a"], "<i4"), np.frombuffer(r["met_b"], "<i4")
+            add(ids[p], ids[q], x[p], x[q])
+            if left.num_rows:
+                others, xg = left.column("id").to_numpy(), _units(left.column("v"), width)
+                found, sims = Graph.stored(x, r["level"], r["layers"], beam=beam).search(xg, beam)
+                i, j = np.nonzero(sims >= least - _SLACK)
+                add(others[i], ids[found[i, j]], xg[i], x[found[i, j]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "cos": np.concatenate(cos)})
+
+    left = guests.repartition(parts, "shard", "sub").groupBy("shard", "sub")
+    pairs = left.cogroup(graphs.repartition(parts, "shard", "sub").groupBy("shard", "sub")).applyInArrow(search, _PAIR)
+    return pairs.where(f"cos >= {least} and a <> b").groupBy("a", "b").agg(F.max("cos").alias("cos"))
+
+
+def similar_pairs(vectors: DataFrame, centres: np.ndarray, *, least: float = COSINE, beam: int = BEAM, routes: int = ROUTES, width: int = WIDTH, limit: int = SPLIT) -> DataFrame:
+    """``(a, b, cos)``, a < b: distinct vectors' pairs of at least ``least`` met in the shards' graphs."""
+    rows, parts = split(routed(vectors, centres, routes, width), limit), max(1, len(centres))
+    graphs = built(rows, parts, least=least, beam=beam, width=width)
+    return searched(graphs, rows.where("not owner").select("shard", "sub", "id", "v"), parts, least=least, beam=beam, width=width)
 
 
 def mutual(pairs: DataFrame, copies: DataFrame, k: int = K) -> DataFrame:
