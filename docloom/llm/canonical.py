@@ -104,18 +104,23 @@ distinct_values AS (
 SELECT field, value, {words_sql("plain")} AS words FROM (SELECT field, value, {plain_sql("value")} AS plain FROM distinct_values)
 """
 
-QUERY_PARTS = f"""
+#: The list's names with their words, and with their lengths and limits: small, and written once as well.
+NAMED = f"""
 WITH listed AS (
     SELECT entry_id, category, subcategory IS NULL AS is_category, explode(array_append(coalesce(aliases, array()), coalesce(subcategory, category))) AS label
-    FROM <taxonomy> WHERE entry_id IS NOT NULL),
-named AS (
-    SELECT entry_id, category, CASE WHEN is_category THEN 'category' ELSE 'subcategory' END AS field,
-           transform({words_sql(plain_sql("label"))}, w -> replace(w, '.', '')) AS words
-    FROM listed),
-names AS (
+    FROM <taxonomy> WHERE entry_id IS NOT NULL)
+SELECT entry_id, category, CASE WHEN is_category THEN 'category' ELSE 'subcategory' END AS field,
+       transform({words_sql(plain_sql("label"))}, w -> replace(w, '.', '')) AS words
+FROM listed"""
+
+SIZED = f"""
+WITH names AS (
     SELECT field, array_join(words, '') AS name, min(words) AS words, count(DISTINCT entry_id) AS entries, min(entry_id) AS entry_id
-    FROM named WHERE size(words) > 0 GROUP BY field, array_join(words, '')),
-sized AS (SELECT *, {EDITS_SQL} AS k FROM (SELECT *, {LIMIT_SQL} AS accepted FROM (SELECT *, length(name) AS len FROM names))),
+    FROM <named> WHERE size(words) > 0 GROUP BY field, array_join(words, ''))
+SELECT *, {EDITS_SQL} AS k FROM (SELECT *, {LIMIT_SQL} AS accepted FROM (SELECT *, length(name) AS len FROM names))"""
+
+QUERY_PARTS = f"""
+WITH sized AS (SELECT * FROM <sized>),
 longest AS (SELECT coalesce(max(len + k), 0) AS most FROM sized),
 segments AS (SELECT DISTINCT field, s.name, s.k, s.start, s.part FROM ({_segments_sql("sized")}) s JOIN sized USING (name)),
 worded AS (SELECT * FROM <worded>),
@@ -155,14 +160,7 @@ MAPPING = QUERY_PARTS.rstrip().rstrip(",") + """
 SELECT * FROM mapped UNION ALL SELECT * FROM unmatched"""
 
 ROWS = f"""
-WITH listed AS (
-    SELECT entry_id, category, subcategory IS NULL AS is_category, explode(array_append(coalesce(aliases, array()), coalesce(subcategory, category))) AS label
-    FROM <taxonomy> WHERE entry_id IS NOT NULL),
-named AS (
-    SELECT entry_id, category, CASE WHEN is_category THEN 'category' ELSE 'subcategory' END AS field,
-           transform({words_sql(plain_sql("label"))}, w -> replace(w, '.', '')) AS words
-    FROM listed),
-mapping AS (SELECT *, explode(sequence(0, {SALTS - 1})) AS salt FROM <mapping>),
+WITH mapping AS (SELECT *, explode(sequence(0, {SALTS - 1})) AS salt FROM <mapping>),
 first_field AS (
     SELECT a.*, coalesce(m.entry_id, -1) AS category_entry
     FROM (SELECT *, pmod(coalesce(answer_id, 0), {SALTS}) AS salt FROM <answers>) a
@@ -172,7 +170,7 @@ second_field AS (
     FROM first_field a
     LEFT JOIN mapping m ON m.field = 'subcategory' AND a.subcategory = m.value AND a.salt = m.salt
     LEFT JOIN <taxonomy> t ON a.category_entry = t.entry_id),
-several AS (SELECT DISTINCT category, array_join(words, '') AS name, entry_id FROM named WHERE field = 'subcategory')
+several AS (SELECT DISTINCT category, array_join(words, '') AS name, entry_id FROM <named> WHERE field = 'subcategory')
 SELECT answer_id, 'category' AS field, category_entry AS entry_id FROM second_field WHERE category rlike '(?U)[^\\\\s]'
 UNION ALL
 SELECT s.answer_id, 'subcategory', CASE WHEN s.entries > 1 THEN coalesce(u.entry_id, -1) ELSE coalesce(s.subcategory_entry, -1) END
@@ -195,10 +193,10 @@ def mapped(answers: DataFrame, taxonomy: DataFrame) -> DataFrame:
         return answers.sparkSession.sql(query)
 
     parts = 2 * answers.sparkSession.sparkContext.defaultParallelism
-    views["worded"] = f"docloom_worded_{uuid.uuid4().hex}"
-    written(run(WORDED)).createOrReplaceTempView(views["worded"])
-    views["mapping"] = f"docloom_mapping_{uuid.uuid4().hex}"
-    written(run(MAPPING.replace("<parts>", str(parts)))).createOrReplaceTempView(views["mapping"])
+    for name, query in (("named", NAMED), ("sized", SIZED), ("worded", WORDED), ("mapping", MAPPING)):
+        view = f"docloom_{name}_{uuid.uuid4().hex}"
+        written(run(query.replace("<parts>", str(parts)))).createOrReplaceTempView(view)
+        views[name] = view
     return run(ROWS)
 
 
