@@ -400,6 +400,20 @@ def _sql_text(x: str) -> str:
     return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
+def _sentences(source: str, key: str, text: str, where: str) -> str:
+    """The sentence split in SQL: fragments after marks and blank lines, joined while the one before goes on."""
+    return f"""
+        split_up AS (SELECT {key}, string_split(regexp_replace(regexp_replace({text}, '([.!?]){WS}+', '\\1' || chr(1), 'g'), '\\n{{2,}}', chr(1), 'g'), chr(1)) AS parts FROM {source} WHERE {where}),
+        placed AS (SELECT {key}, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM split_up),
+        fragments AS (SELECT {key}, i, {_strip("part")} AS f FROM placed WHERE regexp_matches(part, '{NWS}')),
+        tested AS (SELECT *, lower(rtrim(regexp_extract(f, '({NWS}+)$', 1), '.')) AS w FROM fragments),
+        marked AS (SELECT *, CASE WHEN f LIKE '%.' AND (length(w) <= 1 OR regexp_full_match(w, '[0-9]+')
+            OR regexp_replace(w, '[^a-ząćęłńóśźż0-9.]', '', 'g') IN ({', '.join(repr(a) for a in sorted(chunking.ABBREVIATIONS))})) THEN 0 ELSE 1 END AS ends FROM tested),
+        grouped AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM marked),
+        sentences AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY g) - 1 AS pos, sentence FROM (
+            SELECT {key}, g, string_agg(f, ' ' ORDER BY i) AS sentence FROM grouped GROUP BY {key}, g))"""
+
+
 _CLEAN = "regexp_replace(raw, '```(json)?', '', 'gi')"
 
 ORACLE: dict[str, str] = {
@@ -423,16 +437,24 @@ ORACLE: dict[str, str] = {
         SELECT id, CASE WHEN p IS NULL THEN contents ELSE {_strip(f"regexp_replace(right(p, 150), '^{WS}+', '') || ' ' || contents")} END AS chunk FROM (
             SELECT id, contents, lag(contents) OVER (PARTITION BY file_id ORDER BY parent_id, id) AS p FROM chunks
             WHERE is_search AND hierarchy = 'parent' AND type = 'text' AND contents IS NOT NULL)""",
-    "sentences": f"""
-        WITH split_up AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?]){WS}+', '\\1' || chr(1), 'g'), '\\n{{2,}}', chr(1), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL),
-        placed AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM split_up),
-        fragments AS (SELECT doc_id, i, {_strip("part")} AS f FROM placed WHERE regexp_matches(part, '{NWS}')),
-        tested AS (SELECT *, lower(rtrim(regexp_extract(f, '({NWS}+)$', 1), '.')) AS w FROM fragments),
-        marked AS (SELECT *, CASE WHEN f LIKE '%.' AND (length(w) <= 1 OR regexp_full_match(w, '[0-9]+')
-            OR regexp_replace(w, '[^a-ząćęłńóśźż0-9.]', '', 'g') IN ({', '.join(repr(a) for a in sorted(chunking.ABBREVIATIONS))})) THEN 0 ELSE 1 END AS ends FROM tested),
-        grouped AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM marked)
-        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS pos, sentence FROM (
-            SELECT doc_id, g, string_agg(f, ' ' ORDER BY i) AS sentence FROM grouped GROUP BY doc_id, g)""",
+    "sentences": f"WITH {_sentences('documents', 'doc_id', 'text', 'text IS NOT NULL')} SELECT doc_id, pos, sentence FROM sentences",
+    "child_chunks": f"""
+        WITH RECURSIVE parents AS (SELECT id, contents FROM chunks WHERE is_search AND hierarchy = 'parent' AND type = 'text' AND contents IS NOT NULL),
+        {_sentences('parents', 'id', 'contents', 'length(contents) > 400')},
+        fold AS (
+            SELECT DISTINCT id, -1::BIGINT AS n, '' AS held, '' AS closed, '' AS long FROM sentences
+            UNION ALL
+            SELECT f.id, s.pos, CASE WHEN length(s.sentence) > 400 THEN '' WHEN f.held = '' OR length(f.held) + 1 + length(s.sentence) > 400 THEN s.sentence ELSE f.held || ' ' || s.sentence END,
+                   CASE WHEN length(s.sentence) > 400 OR f.held <> '' AND length(f.held) + 1 + length(s.sentence) > 400 THEN f.held ELSE '' END,
+                   CASE WHEN length(s.sentence) > 400 THEN s.sentence ELSE '' END
+            FROM fold f JOIN sentences s ON f.id = s.id AND s.pos = f.n + 1),
+        pieces AS (
+            SELECT id, n, 0 AS kind, 0 AS w, closed AS c FROM fold WHERE closed <> ''
+            UNION ALL SELECT id, n, 1, w, substr(long, w + 1, 400) FROM (SELECT id, n, long, unnest(range(0, length(long), 400)) AS w FROM fold WHERE long <> '')
+            UNION ALL SELECT id, n, 2, 0, held FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS r FROM fold) WHERE r = 1 AND held <> ''
+            UNION ALL SELECT id, 0, 0, 0, contents FROM parents WHERE length(contents) <= 400),
+        stripped AS (SELECT id, n, kind, w, {_strip("c")} AS chunk FROM pieces WHERE regexp_matches(c, '{NWS}'))
+        SELECT id, row_number() OVER (PARTITION BY id ORDER BY n, kind, w) - 1 AS pos, chunk FROM stripped""",
     "table_chunks": f"""
         WITH t AS (SELECT seq, unnest(tables) AS t, generate_subscripts(tables, 1) - 1 AS table_no FROM documents_in WHERE tables IS NOT NULL),
         d AS (SELECT seq, table_no, t.data AS data FROM t WHERE t.data IS NOT NULL AND len(t.data) > 0),

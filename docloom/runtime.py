@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -39,7 +40,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="docloom-ship-")) / "docloom.zip"
+    folder = tempfile.mkdtemp(prefix="docloom-ship-")  # read by the driver alone, which sends it on
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "docloom.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
