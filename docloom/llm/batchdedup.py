@@ -55,18 +55,22 @@ SIMILARITY = 0.8
 #: ``SIMILARITY`` meet with a chance of ``RECALL``.
 TREES, LEVELS, RECALL = 32, 4, 0.95
 #: Numbers of the first tree for short texts of words, and for scripts without blanks; up to
-#: ``SHORT`` words a text is short. Those trees hold the words themselves with one hash function a
-#: level: agreement in four fifths is 2/3 of their union, so 32 whole keys meet with 1 - (1 - (2/3)^4)^32
-#: = 0.999 whatever the length and the place of changes, and no shorter prefix is tried.
-WORD_FIRST, CHAR_FIRST, SHORT = 32, 64, 256
+#: ``SHORT`` words a text is short. Those trees hold the words themselves, ``WORD_LEVELS`` hash functions mixed into
+#: a key: agreement in four fifths is 2/3 of their union, so one of 48 whole keys meets with
+#: 1 - (1 - (2/3)^6)^48 = 0.988 whatever the length and the place of changes, and no shorter prefix is tried.
+WORD_FIRST, WORD_TREES, WORD_LEVELS, CHAR_FIRST, SHORT = 640, 48, 6, 64, 256
 #: Scripts without blanks have trees of their own: single changes cost them more shingles.
 CHAR_TREES, SHINGLE, SHINGLE_CHARS = 128, 2, 3
 #: Up to so many tokens of such a script every level has a hash function of its own instead of a bin.
 CHAR_SHORT = 1200
 #: Alphabets written without blanks (Thai, Lao, Khmer, Burmese) have few letters: unrelated texts share a third of
-#: their runs of three, so their trees hold longer runs and are widened further. Of 512 values two texts that agree in
-#: four fifths share 47 (spread 6.5), unrelated ones 18: pairs below ``LEAST_SHARED`` are not compared.
-LETTER_FIRST, SHINGLE_LETTERS, LEAST_SHARED = 320, 8, 27
+#: their runs of three, so their trees hold longer runs and are widened further.
+LETTER_FIRST, SHINGLE_LETTERS = 320, 8
+#: By kind of tree, how many values of their keys two texts must have in common to be compared: what texts that agree
+#: in four fifths with scattered changes share (85 of 128 words, 60 of 128 pairs, 176 and 47 of 512 runs), less four
+#: spreads (three for the last). Small vocabularies make unrelated short texts meet; this tells them apart unread.
+WORD_SKETCH = 128
+LEAST_SHARED = {WORD_FIRST: 64, 0: 38, CHAR_FIRST: 133, CHAR_FIRST + CHAR_TREES: 133, LETTER_FIRST: 27}
 RANGE, GROWTH, MAX_RUNS = 64, 8, 8
 #: Rows of a file of a run, and keys searched in one by a task.
 FILE_ROWS, TASK_KEYS = 500_000, 200_000
@@ -163,31 +167,47 @@ def _binned(h: np.ndarray, trees: int) -> np.ndarray:
 _SEEDS = np.random.default_rng(17).integers(0, 2**63, (2, 4 * 128), dtype=np.uint64)
 
 
-def _separate(h: np.ndarray, trees: int) -> np.ndarray:
-    """Min-hash with one function a level: trees stay independent however few shingles there are."""
-    n = trees * LEVELS
+def _least(h: np.ndarray, functions: int) -> np.ndarray:
+    """16-bit min-hash values with one function each: they stay independent however few shingles there are."""
     h = np.unique(h)
-    least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
+    least = np.full(functions, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(h), 2048):
-            mixed = (h[i: i + 2048, None] ^ _SEEDS[0, :n]) * (_SEEDS[1, :n] | np.uint64(1))
+            mixed = (h[i: i + 2048, None] ^ _SEEDS[0, :functions]) * (_SEEDS[1, :functions] | np.uint64(1))
             mixed ^= mixed >> np.uint64(32)
             np.minimum(least, (mixed * np.uint64(0xD6E8FEB86659FD93)).min(axis=0), out=least)
-        return _keys((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48), trees)
+        return (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+
+
+def _separate(h: np.ndarray, trees: int) -> np.ndarray:
+    return _keys(_least(h, trees * LEVELS), trees)
+
+
+def _words(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole keys of the short texts' trees, all functions of a tree mixed into one, and the values themselves."""
+    values = _least(h, WORD_TREES * WORD_LEVELS)
+    key = np.zeros(WORD_TREES, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for v in values.reshape(WORD_LEVELS, WORD_TREES):
+            key = (key ^ v) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+    return key.view(np.int64), values
 
 
-def signature(paragraphs: list[list[str]], memo: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the trees a text is in, and its keys there.
+def signature(paragraphs: list[list[str]], memo: _Hashes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Numbers of the trees a text is in, its keys there, and its sketch.
 
     Which trees follows from script and length; a text near a border is in those of both
     sides, so that texts that agree in four fifths always share a kind of tree.
     """
     count = sum(map(len, paragraphs))
     mean = sum(len(t) for p in paragraphs for t in p) / count
-    kinds = []
+    kinds, sketches = [], []
     if mean >= 1.5:
         if count <= SHORT:
-            kinds.append((WORD_FIRST, _separate(_counted(paragraphs, memo), TREES)))
+            keys, values = _words(_counted(paragraphs, memo))
+            kinds.append((WORD_FIRST, keys))
+            sketches.append(_short_form(WORD_FIRST, values[: WORD_SKETCH]))
         if count >= SHORT * SIMILARITY:
             kinds.append((0, _binned(_shingles(paragraphs, memo, SHINGLE), TREES)))
     letters = _letter_share(paragraphs) if mean < 2.7 else 0.0
@@ -199,7 +219,13 @@ def signature(paragraphs: list[list[str]], memo: _Hashes) -> tuple[np.ndarray, n
             kinds.append((CHAR_FIRST, _separate(h, CHAR_TREES)))
         if count >= CHAR_SHORT * SIMILARITY:
             kinds.append((CHAR_FIRST + CHAR_TREES, _binned(h, CHAR_TREES)))
-    return np.concatenate([np.arange(f, f + len(k), dtype=np.int32) for f, k in kinds]), np.concatenate([k for _, k in kinds])
+    sketches += [_short_form(f, k.view(np.uint16)) for f, k in kinds if f != WORD_FIRST]
+    return np.concatenate([np.arange(f, f + len(k), dtype=np.int32) for f, k in kinds]), np.concatenate([k for _, k in kinds]), b"".join(sketches)
+
+
+def _short_form(first: int, values: np.ndarray) -> bytes:
+    """The low byte of each value behind the number of its kind of trees and its length."""
+    return np.array([first, len(values)], dtype="<u2").tobytes() + values.astype(np.uint8).tobytes()
 
 
 def _in_order(x: list[str], y: list[str]) -> int:
@@ -256,11 +282,26 @@ def agreement(a: str, b: str) -> float:
     return _aligned([p.split() for p in a.split("\n")], [p.split() for p in b.split("\n")])
 
 
+def _kinds(x: bytes) -> dict[int, np.ndarray]:
+    out, at = {}, 0
+    while at < len(x):
+        first, n = np.frombuffer(x, "<u2", 2, at)
+        out[int(first)] = np.frombuffer(x, np.uint8, int(n), at + 4)
+        at += 4 + int(n)
+    return out
+
+
+def worth_comparing(x: bytes, y: bytes) -> bool:
+    """Whether two sketches have enough in common in a kind of trees both texts are in."""
+    a, b = _kinds(x), _kinds(y)
+    return any(k in b and int((v == b[k]).sum()) >= LEAST_SHARED[k] for k, v in a.items())
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """``(id, cls, norm, sketch, trees, keys)`` of rows ``(id, text)``; no row for blank texts.
 
     ``cls`` is the same for texts of the same wording, ``norm`` the tokens with paragraphs
-    as lines, ``trees`` and ``keys`` the forest's, ``sketch`` the keys of an unspaced alphabet's trees.
+    as lines, ``trees`` and ``keys`` the forest's, ``sketch`` the keys in short.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,10 +313,9 @@ def texts_of(docs: DataFrame) -> DataFrame:
                 if not paragraphs:
                     continue
                 norm = [" ".join(t) for t in paragraphs]
-                trees, keys = signature(paragraphs, memo)
-                letters = trees >= LETTER_FIRST
+                trees, keys, short = signature(paragraphs, memo)
                 rows.append((number, hashlib.blake2b("\n".join(sorted(norm)).encode("utf-8", "surrogatepass"), digest_size=16).digest(), "\n".join(norm),
-                             keys[letters].tobytes() if letters.any() else None, trees, keys))
+                             short, trees, keys))
                 if len(memo) > 200_000:
                     memo.clear()
             yield pd.DataFrame(rows, columns=["id", "cls", "norm", "sketch", "trees", "keys"])
@@ -395,7 +435,7 @@ def _opened(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _bounds(tree: np.ndarray, key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last key of each prefix; short texts are looked up by whole keys, unspaced alphabets by shorter ones."""
-    short = (tree >= WORD_FIRST) & (tree < WORD_FIRST + TREES)
+    short = tree >= WORD_FIRST
     drop = LEVELS - depth
     shift = 16 * np.where(short, 0, np.where(tree >= LETTER_FIRST, min(2 * drop, LEVELS - 1), drop)).astype(np.int64)
     lo = (key >> shift) << shift
@@ -470,21 +510,21 @@ def _count():
 def _verified(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose whole texts agree; only texts that are in some pair are moved."""
 
-    @F.pandas_udf("int")
-    def shared(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else int((np.frombuffer(p, np.uint16) == np.frombuffer(q, np.uint16)).sum()) for p, q in zip(x, y)], dtype="Int32")
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([worth_comparing(p, q) for p, q in zip(x, y)], dtype=bool)
 
     @F.pandas_udf("double")
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([agreement(p, q) for p, q in zip(x, y)], dtype="float64")
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(norms.join(asked, "id", "left_semi").withColumn("n", _count()))
-    # numbers of tokens and sketches alone rule many hits out, before any text is moved
-    light = pairs.join(texts.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("sketch").alias("_s")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("n").alias("_m"), F.col("sketch").alias("_t")), "b").where(f"least(_n, _m) >= {similarity} * greatest(_n, _m)")
-    bare = light.where("_s is null or _t is null").select("a", "b")
-    near = written(light.where("_s is not null and _t is not null").select("a", "b", shared("_s", "_t").alias("_k")).where(f"_k >= {LEAST_SHARED}").select("a", "b").unionByName(bare))
+    # numbers of tokens and sketches alone rule most hits out, before any text is moved
+    short = written(norms.join(asked, "id", "left_semi").select("id", _count().alias("n"), "sketch"))
+    light = pairs.join(short.select(F.col("id").alias("a"), F.col("n").alias("_n"), F.col("sketch").alias("_s")), "a").join(
+        short.select(F.col("id").alias("b"), F.col("n").alias("_m"), F.col("sketch").alias("_t")), "b").where(f"least(_n, _m) >= {similarity} * greatest(_n, _m)")
+    near = written(light.where(alike("_s", "_t")).select("a", "b"))
+    texts = norms.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "norm")
     both = near.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("_x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("_y")), "b")
     return both.select("a", "b", agree("_x", "_y").alias("sim")).where(F.col("sim") >= similarity)
 
@@ -496,7 +536,7 @@ def entries(signed: DataFrame) -> DataFrame:
 
 def _long_ones(keys: DataFrame) -> DataFrame:
     """Keys whose prefixes may be shortened; short texts have met by whole keys."""
-    return keys.where(~F.col("tree").between(WORD_FIRST, WORD_FIRST + TREES - 1))
+    return keys.where(F.col("tree") < WORD_FIRST)
 
 
 def matches(runs: list[Run], batch: DataFrame, norms: DataFrame, *, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

@@ -21,19 +21,19 @@ MODULES = (
 )
 
 
-def _modules():
-    return [import_module(f"{__package__}.{m}") for m in MODULES]
+#: Imported with the registry, so that one that cannot be imported shows where the registry is.
+_LOADED = [import_module(f"{__package__}.{m}") for m in MODULES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for m in _modules():
+    for m in _LOADED:
         out.update(m.QUERIES)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for m in _modules():
+    for m in _LOADED:
         out.update(getattr(m, "ORACLE", {}))
     return out
